@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import quality
+from eventloom.llm import quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op5_quality_rules": quality.op5_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": secrets.OP1_SQL,
     "op5_quality_rules": quality.OP5_SQL,
 }
