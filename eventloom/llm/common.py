@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The columns of ``documents``; pipeline stages return exactly these.
@@ -64,3 +64,41 @@ def count_words(text: Column) -> Column:
 
 def blocks_for(n_rows: int, rows_per_block: int) -> int:
     return max(1, -(-n_rows // rows_per_block))
+
+
+def running_sums(df: DataFrame, group: list[str], block: str, order: list[str], values: list[str]) -> DataFrame:
+    """Add ``<value>_before``: the sum of a value over all earlier rows of the row's group.
+
+    The order within a group is (``block``, ``order``). No window holds more than one block
+    of one group, so a group with a third of all rows is summed by many tasks; a group's
+    blocks, one row each, then meet to get their starts. ``group`` and ``block`` must not be
+    null, and ``df`` should be materialized: it is read twice.
+    """
+    blocks = df.groupBy(*group, block).agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
+    by_group = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = blocks.select(
+        *group, block, *((F.sum(f"__t_{v}").over(by_group) - F.col(f"__t_{v}")).alias(f"__s_{v}") for v in values)
+    )
+    in_block = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = df.withColumns({f"__w_{v}": F.sum(v).over(in_block) - F.col(v) for v in values})
+    joined = placed.join(starts, [*group, block])
+    return joined.select(
+        *[joined[c] for c in df.columns],
+        *((F.col(f"__w_{v}") + F.col(f"__s_{v}")).cast("long").alias(f"{v}_before") for v in values),
+    )
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the place (from 0) in a total order, by ranges: no task sorts the whole table."""
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = counts.select("__part", (F.sum("__n").over(earlier) - F.col("__n")).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    ranked = ranged.withColumn("__inside", inside).join(starts, "__part")
+    return ranked.select(*df.columns, (F.col("__inside") + F.col("__start")).cast("long").alias(name))
+
+
+def parallelism(spark: SparkSession, n_rows: int, rows_per_task: int) -> int:
+    """Partitions for an exchange of small rows: as many as the rows ask for, no fewer than the setting."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks_for(n_rows, rows_per_task))

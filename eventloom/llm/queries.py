@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import quality, secrets
+from eventloom.llm import mixing, quality, resharding, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op10_min_cost_resharding": resharding.op10_min_cost_resharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
