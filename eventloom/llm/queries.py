@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, quality, resharding, secrets
+from eventloom.llm import mixing, packing, quality, resharding, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op10_min_cost_resharding": resharding.op10_min_cost_resharding,
 }
 
