@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, packing, quality, resharding, secrets, token_counts
+from eventloom.llm import fingerprints, mixing, packing, quality, resharding, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op8_consistent_sampling": fingerprints.op8_consistent_sampling,
     "op10_min_cost_resharding": resharding.op10_min_cost_resharding,
 }
 
