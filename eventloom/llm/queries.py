@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import fingerprints, mixing, packing, quality, resharding, secrets, token_counts
+from eventloom.llm import fingerprints, mixing, packing, quality, resharding, secrets, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,10 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_consistent_sampling": fingerprints.op8_consistent_sampling,
+    "op9_url_range_join": url_filters.op9_url_range_join,
     "op10_min_cost_resharding": resharding.op10_min_cost_resharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secrets.OP1_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op9_url_range_join": url_filters.OP9_SQL,
 }
