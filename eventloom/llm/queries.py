@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import fingerprints, mixing, packing, quality, resharding, secrets, token_counts, url_filters
+from eventloom.llm import fingerprints, jaccard_join, mixing, packing, quality, resharding, secrets, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
