@@ -119,10 +119,13 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass, with their own columns only (a pipeline stage)."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    counts = rule_counts(docs.select("*", F.col(host).alias("__source")), [*(c for c in DOCUMENT_COLUMNS if c != "text"), "__source"])
+    counts = rule_counts(docs.select("*", F.col(host).alias("__source")), ["__source"])
     bad = materialize(host_verdicts(counts, "__source")).where("__bad").select("__host")
     judged = rule_counts(docs.select("*", F.col("text").alias("__whole")), [*(c for c in DOCUMENT_COLUMNS if c != "text"), "__whole"])
-    good = judged.where(~F.col("base_failed")).withColumnRenamed("__whole", "text")
+    # The optimizer pushes a filter below a projection, where the counts' nested arrays would
+    # be worked out again for each of their elements, unless the projection isn't deterministic.
+    judged = judged.withColumn("__part", F.spark_partition_id())
+    good = judged.where(~F.col("base_failed") & (F.col("__part") >= 0)).withColumnRenamed("__whole", "text")
     bad = broadcast_if_small(bad)
     return good.join(bad, good[host].eqNullSafe(bad["__host"]), "left_anti").select(*DOCUMENT_COLUMNS)
 
