@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import fingerprints, jaccard_join, mixing, packing, quality, resharding, secrets, token_counts, url_filters
+from eventloom.llm import fingerprints, html_extraction, jaccard_join, mixing, packing, quality, resharding, secrets, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_main_text": html_extraction.op7_main_text,
     "op8_consistent_sampling": fingerprints.op8_consistent_sampling,
     "op9_url_range_join": url_filters.op9_url_range_join,
     "op10_min_cost_resharding": resharding.op10_min_cost_resharding,
