@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 #: Distinct words whose hashes a worker keeps.
-KEPT = 1_000_000
+KEPT = 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
