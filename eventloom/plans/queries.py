@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -741,15 +741,16 @@ def dataset_checks(spark, sf_dir):
 # Sources and streams, on small files written for the purpose
 
 
+def _shared(spark: SparkSession) -> str:
+    """A fresh path in the folder that all executors share; a temporary one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def _file(spark: SparkSession, text: str) -> str:
-    """A small file in the shared folder, or in a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{root.removeprefix('file://').rstrip('/')}/sources" if root and root.startswith(("file://", "/")) else tempfile.mkdtemp(prefix="sources-")
-    os.makedirs(folder, exist_ok=True)
-    handle, path = tempfile.mkstemp(dir=folder, suffix=".json")
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(text)
-    return f"file://{path}"
+    path = _shared(spark)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
 
 
 _OBJECTS = [
@@ -810,11 +811,6 @@ def process_messages(spark, sf_dir):
     return _as_text(process(posts, _chat).select("message_id", "event_title", "date", "reason"))
 
 
-def _shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{root.rstrip('/')}/{next(tempfile._get_candidate_names())}"
-
-
 @query()
 def stream_pipeline(spark, sf_dir):
     """The documents as a stream of files, gated and appended batch by batch."""
@@ -822,7 +818,7 @@ def stream_pipeline(spark, sf_dir):
 
     schema = fx.table(spark, sf_dir, "documents").schema
     out, checkpoint = _shared(spark), _shared(spark)
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet" if os.path.isdir(f"{sf_dir}/documents.parquet") else f"{sf_dir}/documents.parquet*")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
 
     def batch(df: DataFrame, n: int) -> None:
         gated = df.where(rules.is_candidate(F.col("text"), 3.0, _WORDS)).select("doc_id", rules.prefilter_score(F.col("text"), _WORDS).alias("score"))
@@ -839,7 +835,7 @@ def stream_dedup(spark, sf_dir):
 
     schema = fx.table(spark, sf_dir, "documents").schema
     out, checkpoint = _shared(spark), _shared(spark)
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet" if os.path.isdir(f"{sf_dir}/documents.parquet") else f"{sf_dir}/documents.parquet*")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     titled = stream.select("doc_id", F.coalesce(F.substring("text", 1, 512), F.lit("")).alias("title"), F.lit(None).cast("date").alias("date"))
     run_available(deduplicated(titled, "title", "date"), checkpoint, lambda df, n: df.select("content_hash").write.mode("overwrite").parquet(f"{out}/batch={n}"))
     return spark.read.schema("content_hash string").parquet(f"{out}/batch=*")
