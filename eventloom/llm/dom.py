@@ -82,7 +82,7 @@ class Forest:
         """Parse one page. Unclosed and misplaced tags are taken as browsers would, by and large."""
         root = self._node(-1, 0, 0, False)
         self.roots.append(root)
-        stack: list[tuple[str, int]] = [("", root)]
+        stack: list[tuple[str, int, bool]] = [("", root, False)]
         n_open: dict[str, int] = {}
         unseen = 0
         leaf, parts, linked, in_link = -1, [], 0, False
@@ -96,10 +96,10 @@ class Forest:
 
         def pop() -> None:
             nonlocal unseen
-            tag, at = stack.pop()
+            tag, at, hides = stack.pop()
             self.end[at] = len(self.parent)
             n_open[tag] -= 1
-            unseen -= tag in UNSEEN
+            unseen -= hides
 
         def put(text: str) -> None:
             nonlocal leaf, linked
@@ -165,17 +165,16 @@ class Forest:
                         while len(stack) > k:
                             pop()
             attrs = m["attrs"] or m["attrs2"] or ""
-            bits = 0
+            bits, hides = 0, tag in UNSEEN
             if attrs.strip():
                 for _, value in _ATTR.findall(attrs):
                     for word in _WORD.findall(_CAMEL.sub(" ", value).lower()):
                         bits |= _ATTR_BIT.get(word, 0)
-                if _HIDDEN.search(attrs):
-                    tag = "template"
+                hides = hides or bool(_HIDDEN.search(attrs))
             node = self._node(stack[-1][1], 1 << _TAG[tag] if tag in _TAG else 0, bits, False)
-            stack.append((tag, node))
+            stack.append((tag, node, hides))
             n_open[tag] = n_open.get(tag, 0) + 1
-            unseen += tag in UNSEEN
+            unseen += hides
         close_leaf()
         while len(stack) > 1:
             pop()

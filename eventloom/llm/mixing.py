@@ -100,14 +100,14 @@ def mix(docs: DataFrame, keep: list[str], n_shards: int = N_SHARDS, seed: int =
     """``keep``, ``size``, the source's ``source_size`` and ``target``, ``taken`` and ``draws``:
     the output shard, place key and words of each time the document is taken (two at most)."""
     key = F.xxhash64(F.lit(seed), "doc_id", F.col("text"))
-    sized = materialize(docs.select(*keep, "source", count_words(text_or_empty()).alias("size"), key.alias("__key")))
-    targets = source_targets(sized.select("source", "size"))
+    sized = materialize(docs.select(*keep, F.col("source").alias("__source"), count_words(text_or_empty()).alias("size"), key.alias("__key")))
+    targets = source_targets(sized.select(F.col("__source").alias("source"), "size"))
     own = targets.select(
-        F.col("source").alias("__source"), "rank", "source_size", "target",
+        F.col("source").alias("__named"), "rank", "source_size", "target",
         F.ceil(F.col("n_rows") / ROWS_PER_BLOCK).alias("__blocks"),
         F.floor(F.col("target") + 0.5).cast("long").alias("__words"),
     )
-    sized = sized.join(broadcast_if_small(own), sized["source"].eqNullSafe(own["__source"])).drop("__source")
+    sized = sized.join(broadcast_if_small(own), sized["__source"].eqNullSafe(own["__named"])).drop("__source", "__named")
     sized = materialize(sized.withColumn("__block", F.pmod("__key", F.col("__blocks"))))
     placed = running_sums(sized, ["rank"], "__block", ["__key", "doc_id"], ["size"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("__words") / F.col("source_size"))).otherwise(0)
