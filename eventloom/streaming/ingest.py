@@ -30,3 +30,21 @@ def deduplicated(stream: DataFrame, title: str, date: str) -> DataFrame:
 def deduplicated_within(stream: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
     """As a cheap first pass: state is dropped once the watermark is past."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+
+
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Merge each micro-batch into versions of a Parquet table under ``table``; redelivery of a batch writes it again.
+
+    The stream has channel, message_id, event_title, date, ordinal. The newest version below the
+    batch's own is read, so a batch that is tried again starts from the same table.
+    """
+    from eventloom.operators.store import merge_batch
+
+    schema = "channel string, message_id long, event_title string, date date, content_hash string, status string"
+
+    def batch(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        current = spark.read.schema(schema).parquet(f"{table}/v={n - 1}") if n else spark.createDataFrame([], schema)
+        merge_batch(current, df).write.mode("overwrite").parquet(f"{table}/v={n}")
+
+    return run_available(stream, checkpoint, batch)
