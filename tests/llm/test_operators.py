@@ -111,8 +111,7 @@ def _set(text):
 
 
 def test_jaccard_join(docs):
-    out = jaccard_join.jaccard_join(docs).collect()
-    members = [r for r in out if r.linked_class_id is None and r.jaccard is None]
+    members = jaccard_join.jaccard_join(docs).collect()
     assert Counter(r.doc_id for r in members) == Counter(d for d, *_ in ROWS)
     sets = {}
     for d, t, *_ in ROWS:
@@ -120,14 +119,18 @@ def test_jaccard_join(docs):
     class_of = {r.doc_id: r.class_id for r in members}
     for group in sets.values():
         assert {class_of[d] for d in group} == {min((d for d in group if d is not None), default=None)}
-    true = {}
+    true, near = {}, Counter()
     for a, x in sets.items():
+        near[a] += len(x) - 1
         for b, y in sets.items():
-            if x[0] is not None and y[0] is not None and min(x) < min(y) and a and b and len(a & b) / len(a | b) >= 0.8:
-                true[min(x), min(y)] = len(a & b) / len(a | b)
-    assert {(r.class_id, r.linked_class_id): pytest.approx(r.jaccard) for r in out if r.jaccard is not None} == true and true
+            if a != b and a and b and len(a & b) / len(a | b) >= 0.8:
+                near[a] += len(y)
+                if min(x) < min(y):
+                    true[min(x), min(y)] = len(a & b) / len(a | b)
+    assert Counter((r.doc_id, r.n_links) for r in members) == Counter((d, near[_set(t)]) for d, t, *_ in ROWS)
+    links = {(r.class_id, r.linked_class_id): r.jaccard for r in jaccard_join.jaccard_links(docs).collect()}
+    assert links == pytest.approx(true) and true
     assert class_of[101] == 100 and {r.group_id for r in members if r.doc_id in (100, 101, 102, 103, 110)} == {100}
-    assert next(r.n_links for r in members if r.doc_id == 102) == 5
 
 
 def test_one_stays_of_each_group(docs):
@@ -145,10 +148,12 @@ def test_cells_lose_no_pair(spark, monkeypatch):
         words = list(base)
         words[rng.randrange(200)] = f"b{i}"
         rows.append((i, " ".join(words)))
-    out = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = [_set(t) for _, t in rows]
-    true = sum(len(a & b) / len(a | b) >= 0.8 for i, a in enumerate(sets) for b in sets[:i])
-    assert out.where("jaccard is not null").count() == true > 0
+    true = {(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) / len(a | b) >= 0.8}
+    assert {(r.class_id, r.linked_class_id) for r in jaccard_join.jaccard_links(docs).collect()} == true and true
+    near = Counter(x for pair in true for x in pair)
+    assert {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs).collect()} == {i: near[i] for i, _ in rows}
 
 
 def test_pruning_loses_almost_nothing():
