@@ -115,7 +115,9 @@ class _Layouts:
             main = main[:1]
         blocks = []
         for i, text in enumerate(main):
-            tag = "h1" if i == 0 and self.chance(0.7) else self.pick("p", "p", "p", "p", "div", "blockquote", "h2", "li")
+            tag = "h1" if i == 0 and self.chance(0.7) else self.pick("p", "p", "p", "p", "div", "blockquote", "h2", "h3", "li")
+            if tag in ("h2", "h3") or self.chance(0.1):
+                text = self.some(1, 12)
             text = _MAIN + text
             if self.chance(0.1):
                 text += f' <a href="/x">{self.some(1, 3)}</a> {self.some(1, 6)}'
