@@ -163,8 +163,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     single = joined.where("__rows = 1").select(*docs.columns, "__size", F.explode("__draws").alias("d"))
     repeated = joined.where("__rows > 1").withColumn("__nth", nth).select(*docs.columns, "__size", F.explode(mine).alias("d"))
     text = F.when(F.col("d.words") < F.col("__size"), _cut(F.col("text"), F.col("d.words"))).otherwise(F.col("text"))
-    both = single.unionByName(repeated).sortWithinPartitions("d.place")
-    return both.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    both = single.unionByName(repeated).sortWithinPartitions("d.place").select("doc_id", text.alias("__taken"), "lang", "source")
+    return both.select("doc_id", F.col("__taken").alias("text"), "lang", "source", F.length("__taken").cast("long").alias("n_chars"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,9 @@ def _masked(docs: DataFrame, found: DataFrame, print_of: Column) -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     masked = F.when(F.col("__spans").isNull(), text).otherwise(cut)
-    return joined.select("doc_id", masked.alias("text"), "lang", "source", F.length(masked).cast("long").alias("n_chars"))
+    # Two steps: beside an alias ``text`` the lambdas would take that for the column.
+    joined = joined.select("doc_id", masked.alias("__masked"), "lang", "source")
+    return joined.select("doc_id", F.col("__masked").alias("text"), "lang", "source", F.length("__masked").cast("long").alias("n_chars"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
