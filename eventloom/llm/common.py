@@ -19,13 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that this process wrote, by application.
+_written: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors share.
 
     Where the setting is unset (tests on one machine) a temporary folder takes its place.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         root = sc.getCheckpointDir()
@@ -38,9 +42,21 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the lineage: whatever is built on the result survives a lost executor without
     running the scan below again, and columns that are not used are not read.
     """
-    path = scratch_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what ``materialize`` wrote for this application, once its results are stored; how many tables."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -476,3 +476,10 @@ def test_flow_moves_the_fewest_bytes():
             assert sum(x for (_, b), x in flow.items() if b == j) == capacity[j]
         moved = sum(x for (a, b), x in flow.items() if a != b)
         assert moved == total - sum(min(supply[i], capacity[i]) for i in range(min(n, m)))
+
+
+def test_scratch_is_cleared(spark):
+    from eventloom.llm.common import clear_scratch, materialize
+
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
