@@ -211,3 +211,8 @@ def stale_reason(text: Column, date: Column, reference: Column) -> Column:
 
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def channel_allowed(channel: Column, allowed: Sequence[str]) -> Column:
+    """Case-blind membership; an empty list allows all."""
+    return F.lower(channel).isin([c.lower() for c in allowed]) if allowed else F.lit(True)

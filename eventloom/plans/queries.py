@@ -431,6 +431,66 @@ def uk_prefilter(spark, sf_dir):
     return _values(spark, [(t,) for t, _ in _PREFILTERED], "text string").select("text", rules.prefilter_score(F.col("text")).alias("score"))
 
 
+_DATES = [
+    ("2026-11-15", "15-16 листопада", "ok"), ("2026-11-16", "з 15 по 16 листопада", "ok"), ("2026-11-17", "15.11 о 10:00", "invented"), ("2026-11-03", "завтра", "ok"),
+    ("2026-11-04", "післязавтра", "invented"), ("2026-11-06", "у п'ятницю", "ok"), ("2026-11-06", "без дати", "invented"), ("2026-11-15", "15 листопада 2025", "suspect"),
+]
+
+
+@query(_golden("date, text, status", _DATES))
+def uk_date_grounding(spark, sf_dir):
+    rows = _values(spark, [r[:2] for r in _DATES], "date string, text string")
+    return rows.select("date", "text", grounding.date_status(F.col("date").cast("date"), F.col("text"), F.lit(_MONDAY).cast("date")).alias("status"))
+
+
+_FOUND = [
+    ("аудиторія 405", "в ауд. 406", "invented"), ("корпус 3", "у аудиторії третього корпусу", "ok"), ("відкриття виставки", "відкриття завтра", "suspect"), ("12", "о 12 годині", "ok"),
+]
+
+
+@query(_golden("value, source, status", _FOUND))
+def uk_text_grounding(spark, sf_dir):
+    rows = _values(spark, [r[:2] for r in _FOUND], "value string, source string")
+    return rows.select("value", "source", grounding.text_status(F.col("value"), F.col("source")).alias("status"))
+
+
+_KINDS = [("ПАСТКА: реклама", "trap"), (" індивідуальна консультація", "individual"), ("подія", "announcement"), (None, "announcement")]
+
+
+@query(_golden("note, kind", _KINDS))
+def message_kinds(spark, sf_dir):
+    return _values(spark, [(n,) for n, _ in _KINDS], "note string").select("note", reports.message_kind(F.col("note")).alias("kind"))
+
+
+_ASKED = [("Лекція", "Reference date: 2026-11-02 (Monday)\nЛекція")]
+
+
+@query(_golden("text, prompt", _ASKED))
+def user_messages(spark, sf_dir):
+    from eventloom.plans.extract import user_message
+
+    return _values(spark, [(t,) for t, _ in _ASKED], "text string").select("text", user_message(F.col("text"), F.lit(_MONDAY).cast("date")).alias("prompt"))
+
+
+@query(f"WITH {fx.MESSAGES} SELECT message_id FROM msg WHERE lower(channel) IN ('@src1', '@src7')")
+def allowed_channels(spark, sf_dir):
+    return fx.messages(spark, sf_dir).where(rules.channel_allowed(F.col("channel"), ["@SRC1", "@src7"])).select("message_id")
+
+
+@query(f"WITH {fx.MESSAGES} SELECT message_id, channel FROM (SELECT * FROM msg ORDER BY message_id DESC LIMIT 60)")
+def last_history(spark, sf_dir):
+    from eventloom.sources.messages import last_messages
+
+    return last_messages(fx.messages(spark, sf_dir), 60).select("message_id", "channel")
+
+
+@query(f"""WITH {fx.CALENDAR} SELECT id, event_title || chr(10) || coalesce(strftime(date, '%Y-%m-%d'), '—') || ' ' || coalesce(time, '—') || chr(10) || '—' AS card FROM cal""")
+def moderation_cards(spark, sf_dir):
+    from eventloom.sources.sinks import card
+
+    return fx.calendar(spark, sf_dir).select("id", card(F.col("event_title"), F.col("date"), F.col("time"), F.lit(None).cast("string")).alias("card"))
+
+
 # Links, times, dates
 
 
