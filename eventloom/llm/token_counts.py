@@ -58,13 +58,26 @@ def vocabulary(texts: DataFrame, path: str) -> DataFrame:
     return materialize(found.mapInPandas(count, "pretoken string, freq long, pieces int"))
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """At most so many short pre-tokens: all above a frequency that a histogram of eighth powers
+    of two gives, so that nothing is sorted and no more than these come to the driver."""
+    short = words.where(F.length("pretoken") <= BROADCAST_LENGTH).withColumn("level", F.floor(F.log2("freq") * 8))
+    counts = sorted(((r["level"], r["count"]) for r in short.groupBy("level").count().collect()), reverse=True)
+    least, n = None, 0
+    for level, count in counts:
+        n += count
+        if n > most:
+            break
+        least = level
+    return short.where(F.lit(False) if least is None else F.col("level") >= least).select("pretoken", "pieces")
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row a document."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     words = vocabulary(texts, path)
-    short = words.where(F.length("pretoken") <= BROADCAST_LENGTH)
-    common = short.orderBy(F.desc("freq"), "pretoken").select("pretoken", "pieces").limit(BROADCAST_PRETOKENS).toPandas()
+    common = most_frequent(words, BROADCAST_PRETOKENS).toPandas()
     known = spark.sparkContext.broadcast(dict(zip(common["pretoken"], common["pieces"].tolist(), strict=True)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
