@@ -194,8 +194,11 @@ def main_texts(pages: list[str], model: BoostedTrees) -> list[str]:
 
 def extract_main_text(pages: DataFrame, seed: int = SEED) -> DataFrame:
     """page_id, url, text, n_chars: one row a page."""
-    few = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("page_id", "html")
-    few = few.orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id", F.xxhash64("html")).limit(SAMPLE_PAGES).collect()
+    fit = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+    fit = fit.select("page_id", "html", F.xxhash64("page_id", F.lit(seed)).alias("__h"))
+    # First the least hashes alone: else every partition would send its own best pages whole.
+    hashes = [r["__h"] for r in fit.select("__h").orderBy("__h").limit(SAMPLE_PAGES).collect()]
+    few = fit.where(F.col("__h") <= (max(hashes) if hashes else 0)).orderBy("__h", "page_id", F.xxhash64("html")).limit(SAMPLE_PAGES).collect()
     model = pages.sparkSession.sparkContext.broadcast(fit_extractor([(r["page_id"], r["html"]) for r in few], seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
