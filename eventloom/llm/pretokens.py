@@ -23,7 +23,9 @@ JOINED = 50
 
 # Characters below U+0250 are their own canonical composition, but for U+0130 lower-casing is one to one.
 _LATIN = [chr(c) for c in range(0xA1, 0x250) if c != 0x130]
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ–-…]*")
+# 23 capitals (Ə, Ɔ, Ɛ ...) lower-case to letters beyond U+024F: texts with them go to the library.
+_CLOSED = [c for c in _LATIN if c.lower() in _LATIN or c.lower().isascii()]
+_PLAIN = re.compile(f"[\t\n\r\x20-\x7e{''.join(_CLOSED)}–-…]*")
 _LETTERS = "a-z" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "0-9" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")

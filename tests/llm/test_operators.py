@@ -237,6 +237,29 @@ def test_pretokens_equal_the_library():
         assert known.encode(words).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_every_plain_character_equals_the_library():
+    path = vocabulary_path()
+    tok, known = tokenizer(path), pieces(path)
+    # U+0250 to U+02AF: what some capitals below lower-case to.
+    for c in [*range(0x20, 0x2B0), *range(0x2010, 0x2030)]:
+        for text in (f"The {chr(c)}hmad family", f"x{chr(c)}yx{chr(c)}yx{chr(c)}y", f"{chr(c) * 3}'s 1{chr(c)}."):
+            words = pretokens(text, path)
+            known.learn(set(words))
+            assert known.encode(words).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_counts_of_capitals_that_lower_beyond_the_plain(spark):
+    tok = tokenizer(vocabulary_path())
+    texts = ["xƏyxƏyxƏy", "ƏHMADIN KİTABI", "Ɔkɔ Ɛkɛ Ɓaba Ɗaɗi"]
+    df = spark.createDataFrame([(i, t, "az", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, vocabulary_path()).collect()}
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(df).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert counts[i] == len(ids)
+        assert packed[i] == (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
+
+
 # 4
 
 
