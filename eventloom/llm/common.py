@@ -36,6 +36,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/eventloom-{uuid.uuid4().hex}"
 
 
+def kept_scratch(spark: SparkSession) -> str:
+    """A fresh path that ``clear_scratch`` deletes."""
+    path = scratch_dir(spark)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -43,9 +50,8 @@ def materialize(df: DataFrame) -> DataFrame:
     running the scan below again, and columns that are not used are not read.
     """
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = kept_scratch(spark)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

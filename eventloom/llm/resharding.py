@@ -8,7 +8,9 @@ meet a flow to the byte: what is left over is settled by further, smaller flows
 new shards that move documents of at most a quarter of a flow.
 
 Only shard sizes (old times new numbers, both parameters) reach the driver. Sizes are
-bytes of UTF-8 plus 8. Law: ``bytes``.
+bytes of UTF-8 plus 8. Law: ``bytes``. At last the shards that lose or get a document are
+written anew; a row is known by its file and its place there, so null ids, repeated rows and
+equal texts of one id are each written once.
 
 Defined cases: a null text has no bytes; null sources count as one; repeated rows are
 placed one by one; an empty table gives an empty result; columns other than the named ones
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks_for, materialize, running_sums, table, text_or_empty
+from eventloom.llm.common import blocks_for, kept_scratch, materialize, running_sums, table, text_or_empty
 
 N_OLD = 16
 N_NEW = 24
@@ -88,12 +90,19 @@ def _sizes(df: DataFrame, shard: str, n: int) -> list[int]:
     return [found.get(i, 0) for i in range(n)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_old: int = N_OLD, n_new: int = N_NEW) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot: one row a document."""
+def row_in_file() -> Column:
+    """What tells rows of a Parquet table apart, whatever they hold."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+
+def reshard(docs: DataFrame, old_shard: Column, n_old: int = N_OLD, n_new: int = N_NEW, row: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot, and ``row`` where given: one row a document."""
     spark = docs.sparkSession
     text = text_or_empty()
+    known = [] if row is None else ["row"]
     narrow = docs.select(
         "doc_id",
+        *([] if row is None else [row.alias("row")]),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
@@ -102,7 +111,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int = N_OLD, n_new: int =
     narrow = materialize(narrow.withColumn("__one", F.lit(1)))
     n_rows = narrow.count()
     if not n_rows:
-        return narrow.select("doc_id", "size", "text_crc32", "old_shard", F.col("old_shard").alias("shard"), F.col("__key").alias("slot"))
+        return narrow.select("doc_id", "size", "text_crc32", "old_shard", F.col("old_shard").alias("shard"), F.col("__key").alias("slot"), *known)
     block = F.pmod("__key", F.lit(blocks_for(n_rows, ROWS_PER_BLOCK)))
     placed = narrow.withColumn("__block", block)
     old = _sizes(placed, "old_shard", n_old)
@@ -132,22 +141,35 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int = N_OLD, n_new: int =
         moved = summed.join(F.broadcast(arcs), fits, "left")
         placed = materialize(moved.select(*[c for c in placed.columns if c != "shard"], F.coalesce("__to", "shard").alias("shard")))
     slotted = running_sums(placed, ["shard"], "__block", ["__key", "doc_id"], ["__one"])
-    return slotted.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("__one_before").alias("slot"))
+    return slotted.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("__one_before").alias("slot"), *known)
 
 
 def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write anew the shards that lose or get a document, as ``path/shard=N``; others stay as they are."""
+    """Write anew the shards that lose or get a document, as ``path/shard=N``; others stay as they are.
+
+    ``docs`` is read from Parquet and ``placed`` is its ``reshard`` with ``row_in_file()``. A file holds its rows
+    by ``slot``; columns of ``docs`` named shard or slot give way. An old shard that is left empty gets no folder.
+    """
     touched = placed.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
     touched = touched.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    rows = placed.join(F.broadcast(touched), "shard", "left_semi").select("doc_id", "text_crc32", "shard", "slot")
-    held = docs.withColumn("text_crc32", F.crc32(text_or_empty())).dropDuplicates(["doc_id", "text_crc32"])
-    held.join(rows, ["doc_id", "text_crc32"]).drop("text_crc32").write.partitionBy("shard").parquet(path)
+    rows = placed.join(F.broadcast(touched), "shard", "left_semi").select("row.file", "row.place", "shard", "slot")
+    held = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("__doc"), row_in_file().alias("__row"))
+    held = held.select("__doc", F.col("__row.file").alias("file"), F.col("__row.place").alias("place"))
+    out = held.join(rows, ["file", "place"]).select("__doc.*", "shard", "slot")
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def reshard_files(docs: DataFrame, old_shard: Column, path: str, n_old: int = N_OLD, n_new: int = N_NEW) -> DataFrame:
+    """The whole method on a table read from Parquet: places the documents, writes the affected shards, returns the places."""
+    placed = materialize(reshard(docs, old_shard, n_old, n_new, row_in_file()))
+    rewrite_affected(docs, placed, path)
+    return placed.drop("row")
 
 
 def op10_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # As collected: a source's documents lie together, so old shards differ much in size.
     old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(N_OLD))
-    return reshard(docs, old).select(
+    return reshard_files(docs, old, kept_scratch(spark)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

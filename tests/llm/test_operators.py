@@ -477,6 +477,37 @@ def test_resharding(docs):
         assert slots == list(range(len(slots)))
 
 
+@pytest.mark.parametrize("n_new", [5, 1])
+def test_rewritten_shards_hold_every_row(spark, tmp_path, n_new):
+    rows = [(i, f"text {i} " * (i % 7 + 1), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(None, "no id", "en", "s0"), (None, "no id", "en", "s0"), (None, None, None, None), (None, "other", "de", "s1")]
+    rows += [(7, "same", "en", "s0"), (7, "same", "fr", "s1"), (7, "same", "en", "s0"), (7, "plumless", "en", "s2"), (7, "buckeroo", "en", "s2")]
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(n_new))
+    placed = resharding.reshard_files(docs, old, str(tmp_path / "out"), n_new, n_new)
+    places = placed.collect()
+    touched = {s for r in places if r.old_shard != r.shard for s in (r.old_shard, r.shard)}
+    assert len(places) == len(rows) and (touched == set() if n_new == 1 else touched)
+    written = spark.read.schema("doc_id long, text string, lang string, source string, slot long, shard int").parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.shard, r.slot, zlib.crc32((r.text or "").encode())) for r in written) == Counter((r.doc_id, r.shard, r.slot, r.text_crc32) for r in places if r.shard in touched)
+    if touched == set(range(n_new)):
+        assert Counter((r.doc_id, r.text, r.lang, r.source) for r in written) == Counter(rows)
+
+
+def test_op10_writes_its_shards(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(resharding, "kept_scratch", lambda spark: str(tmp_path / "shards"), raising=False)
+    out = queries.QUERIES["op10_min_cost_resharding"](spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    shards = {r.shard for r in written.select("shard").distinct().collect()}
+    places = [tuple(r) for r in out.select("doc_id", "shard", "slot").collect() if r.shard in shards]
+    assert len(shards) > 12 and Counter(map(tuple, written.select("doc_id", "shard", "slot").collect())) == Counter(places)
+    ids = Counter(p[0] for p in places)
+    assert Counter(map(tuple, written.select(*docs.columns).collect())) == Counter(tuple(r) for r in docs.collect() if r.doc_id in ids)
+
+
 def test_shards_are_near_equal(spark):
     from eventloom.llm.queries import QUERIES
 
