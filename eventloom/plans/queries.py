@@ -896,6 +896,6 @@ def stream_dedup(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "documents").schema
     out, checkpoint = _shared(spark), _shared(spark)
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
-    titled = stream.select("doc_id", F.coalesce(F.substring("text", 1, 512), F.lit("")).alias("title"), F.lit(None).cast("date").alias("date"))
+    titled = stream.select("doc_id", F.coalesce("text", F.lit("")).alias("title"), F.lit(None).cast("date").alias("date"))
     run_available(deduplicated(titled, "title", "date"), checkpoint, lambda df, n: df.select("content_hash").write.mode("overwrite").parquet(f"{out}/batch={n}"))
     return spark.read.schema("content_hash string").parquet(f"{out}/batch=*")

@@ -39,6 +39,19 @@ def test_stream_equals_batch(spark):
     assert queries.stream_dedup(spark, SF).count() == distinct
 
 
+def test_stream_dedup_hashes_whole_texts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from eventloom.functions.text import content_hash
+
+    texts = ["a" * 600 + " one", "a" * 600 + " two", "a" * 600 + " two", "short", "Short!", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = [r.content_hash for r in queries.stream_dedup(spark, str(tmp_path)).collect()]
+    want = docs.select(content_hash(F.coalesce("text", F.lit("")), F.lit(None).cast("date"))).distinct().collect()
+    assert len(found) == 4 and sorted(found) == sorted(r[0] for r in want)
+
+
 def test_entry():
     import __spark_entry__ as entry
 
