@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Largest table, in rows, that any operator here broadcasts.
 BROADCAST_ROWS = 100_000
+#: Most keys that ``join_hot`` broadcasts.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +29,14 @@ _written: dict[str, list[str]] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors share.
 
-    Where the setting is unset (tests on one machine) a temporary folder takes its place.
+    Where the setting is unset on one machine, as in tests, a temporary folder takes its place;
+    on a cluster that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/eventloom-{uuid.uuid4().hex}"
@@ -55,14 +61,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete what ``materialize`` wrote for this application, once its results are stored; how many tables."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    for path in paths:
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """What ``materialize`` and ``kept_scratch`` gave out for this application and still stands, oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete ``paths``, or all of ``scratch_paths``, once what is built on them is stored; how many."""
+    standing = _written.setdefault(spark.sparkContext.applicationId, [])
+    jvm, gone = spark.sparkContext._jvm, list(standing) if paths is None else [p for p in paths if p in standing]
+    for path in gone:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return len(paths)
+        standing.remove(path)
+    return len(gone)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,6 +83,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
+def join_hot(rows: DataFrame, values: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, one row a ``key`` with its number of rows as ``weight``.
+
+    Keys with at least a thousandth of the ``total`` are broadcast: as weights sum to the total,
+    there are no more than HOT_KEYS of them. So a key with a third of all rows stays where its
+    rows are. Both sides should be materialized: ``rows`` is read twice.
+    """
+    is_hot = F.col(weight) * HOT_KEYS >= F.lit(total)
+    hot, cold = values.where(is_hot).drop(weight), values.where(~is_hot).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
