@@ -2,11 +2,18 @@
 
 Base spans (assignments, access keys, long hex runs) are found in each whole text. The
 method then looks at every candidate value of the corpus, bare mixed-case tokens too:
-hashes are added up by distinct repository and owner, map-side first. A value that many
-owners hold is a copied example; a bare token that few owners hold is a live-looking
-credential and adds its span. Base spans always stay.
-
-Defined cases: a null text is empty; null owners and repositories count as one each;
+hashes are added up by distinct repository and owner, map-side first. A value that several
+owners hold, or many repositories of however few owners, is a widely copied example; a bare
+token that is not is an owner-specific, live-looking credential and adds its span. Base spans
+always stay.
+
+Spans are rows, not arrays, while they are placed: a text's places are running sums of the
+lengths between matches, and a bare token is held against the base spans before and after
+it, so work grows with the spans of a text and not with their square. A value with very many
+uses is joined by broadcast.
+
+Defined cases: a null text is empty; very long texts are searched whole; null owners and
+repositories count as one each; spans of one start are listed in the order of the kinds;
 repeated rows each get their own result; empty tables give empty results; columns other
 than the named ones are dropped. Places are code points, the end exclusive.
 """
@@ -15,10 +22,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import DOCUMENT_COLUMNS, broadcast_if_small, materialize, table, text_or_empty
+from eventloom.llm.common import DOCUMENT_COLUMNS, broadcast_if_small, join_hot, materialize, table, text_or_empty
 
 #: Kinds in the order in which spans of one start are listed: pattern, group of the value,
 #: least code points of the value. Java's (?i) without (?u) folds ASCII letters alone.
@@ -33,66 +40,56 @@ KINDS = [
 BARE = r"[A-Za-z0-9+/_=-]{20,}"
 BARE_HOLDS = ["[A-Z]", "[a-z]", "[0-9]"]
 
-#: Values held by at least so many owners are examples.
+LIVE = "live"
+#: Values held by at least so many owners, or in so many repositories, are examples.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 6
 MASK = "<SECRET>"
 
-_SPANS = "array<struct<s:int,e:int,h:string>>"
-
 
 def mixed_case(value: Column) -> Column:
     return reduce(lambda a, b: a & b, [value.rlike(p) for p in BARE_HOLDS])
 
 
-def _spans(text: Column, pattern: str, group: int) -> tuple[Column, Column, Column]:
-    """Gaps, values and matches of a pattern: places follow from the lengths in turn."""
-    hit = text.rlike(pattern)
-    none = F.array().cast("array<string>")
-    return (
-        F.when(hit, F.split(text, pattern, -1)).otherwise(none),
-        F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none),
-        F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none),
-    )
-
-
-def _placed(gaps: str, values: str, matches: str, least: int) -> Column:
-    gap, value, match = F.col(gaps), F.col(values), F.col(matches)
+def _matches(text: Column, pattern: str, group: int, order: int, kept: Column) -> Column:
+    """Every match in order: length of the gap before it, its own length, and the hash of its value if ``kept``."""
+    gaps = F.split(text, pattern, -1)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if group else values
+    zipped = F.arrays_zip(gaps.alias("g"), whole.alias("m"), values.alias("v"))
+    one = lambda x, i: F.struct(
+        F.lit(order).alias("k"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"),
+        F.when(kept(x["v"]), F.sha2(x["v"], 256)).alias("h"),
+    )
+    # The last gap has no match.
+    found = F.filter(F.transform(zipped, one), lambda x: x["n"].isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_MATCHES))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gap, i))
-        end = start + F.length(F.get(match, i))
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), F.sha2(F.get(value, i), 256).alias("h")))
-        return F.struct(
-            end.alias("at"),
-            F.when(F.length(F.get(value, i)) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"),
-        )
 
-    folded = F.aggregate(
-        F.sequence(F.lit(0), F.size(match) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(match) > 0, folded).otherwise(F.array().cast(_SPANS))
+_MATCHES = "array<struct<k:int,i:int,gap:int,n:int,h:string>>"
 
 
-def find_spans(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """``keep`` and arrays ``__assign``, ``__access``, ``__hex``, ``__bare`` of (s, e, h)."""
-    kinds = [*KINDS, ("bare", BARE, 0, 20)]
+def find_matches(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """``keep`` and ``__found``, the matches of all kinds; bare tokens are the last kind."""
     df = df.select(*keep, text.alias("__t"))
-    parts = []
-    for name, pattern, group, _ in kinds:
-        parts += [c.alias(f"__{name}_{k}") for k, c in zip("gvm", _spans(F.col("__t"), pattern, group), strict=True)]
-    df = df.select(*keep, *parts)
-    holds = F.exists("__bare_v", mixed_case)
-    out = [_placed(f"__{n}_g", f"__{n}_v", f"__{n}_m", least).alias(f"__{n}") for n, _, _, least in KINDS]
-    bare = F.when(holds, F.zip_with(_placed("__bare_g", "__bare_v", "__bare_m", 20), F.col("__bare_v"), lambda x, v: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h"), v.alias("v"))))
-    mixed = F.filter(bare, lambda x: mixed_case(x["v"]))
-    df = df.select(*keep, *out, F.coalesce(mixed, F.array().cast("array<struct<s:int,e:int,h:string,v:string>>")).alias("__mixed"))
-    base = F.concat(*(f"__{n}" for n, *_ in KINDS))
-    clear = F.filter("__mixed", lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"])))
-    own = F.transform(clear, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h")))
-    return df.select(*keep, *(f"__{n}" for n, *_ in KINDS), own.alias("__bare"))
+    parts = [_matches(F.col("__t"), p, g, k, lambda v, least=least: F.length(v) >= least) for k, (_, p, g, least) in enumerate(KINDS)]
+    bare = _matches(F.col("__t"), BARE, 0, len(KINDS), mixed_case)
+    return df.select(*keep, F.concat(*parts, bare).alias("__found"))
+
+
+def find_spans(found: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` (with ``__row``), ``k``, ``s``, ``e``, ``h``: a row a span; bare tokens that meet a base span are left out."""
+    each = found.where(F.exists("__found", lambda x: x["h"].isNotNull())).select(*keep, F.explode("__found").alias("x")).select(*keep, "x.*")
+    before = Window.partitionBy("__row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("e", F.sum(F.col("gap") + F.col("n")).over(before).cast("int"))
+    each = each.where("h is not null").select(*keep, "k", (F.col("e") - F.col("n")).alias("s"), "e", "h")
+    base = F.col("k") < len(KINDS)
+    by_start = Window.partitionBy("__row").orderBy("s")
+    earlier = F.max(F.when(base, F.col("e"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    later = F.min(F.when(base, F.col("s"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    each = each.withColumns({"__earlier": earlier, "__later": later})
+    meets = (F.col("__earlier") > F.col("s")) | (F.col("__later") < F.col("e"))
+    return each.where(base | ~F.coalesce(meets, F.lit(False))).select(*keep, "k", "s", "e", "h")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -104,88 +101,71 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(name: str, order: int, spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e"), F.lit(name).alias("n")))
-
+def judged_spans(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``__owners``, ``__repos`` and ``__example``: what the corpus says of each value."""
+    owned = materialize(ownership(spans.withColumnRenamed("h", "__h")))
+    uses = owned.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    judged = join_hot(spans.withColumnRenamed("h", "__h"), owned, "__h", "__n", uses)
+    example = (F.col("__owners") >= EXAMPLE_OWNERS) | (F.col("__repos") >= EXAMPLE_REPOSITORIES)
+    return judged.withColumn("__example", example)
 
-def _tagged(name: str, bare: bool) -> Column:
-    return F.transform(f"__{name}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h"), F.lit(bare).alias("bare")))
 
-
-def _joined(spans: Column) -> Column:
-    return F.array_join(
-        F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["n"], x["s"].cast("string"), x["e"].cast("string"))), ","
-    )
+def scan(docs: DataFrame, owner: Column, repository: Column, key: list[str], text: Column) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of ``docs`` (``key``, ``__row``), and the judged spans of all of them (``__row``, k, s, e ...)."""
+    keyed = docs.select(*key, owner.alias("__owner"), repository.alias("__repo"), text.alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    found = materialize(find_matches(keyed, F.col("__text"), [*key, "__owner", "__repo", "__row"]))
+    spans = materialize(find_spans(found, ["__row", "__owner", "__repo"]))
+    return found.select(*key, "__row"), judged_spans(spans)
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, key: list[str], text: Column) -> DataFrame:
-    """``key``, the span arrays, ``__live`` (owner-specific bare spans), and the counts
-    ``__n_live`` and ``__n_example`` of candidate values, one row for each row of ``docs``."""
-    keyed = docs.select(*key, owner.alias("__owner"), repository.alias("__repo"), text.alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    found = materialize(find_spans(keyed, F.col("__text"), [*key, "__owner", "__repo", "__row"]))
-    tagged = [_tagged(n, False) for n, *_ in KINDS] + [_tagged("bare", True)]
-    each = found.where(F.size(F.concat(*tagged)) > 0).select("__row", "__owner", "__repo", F.explode(F.concat(*tagged)).alias("c"))
-    each = each.select("__row", "__owner", "__repo", F.col("c.h").alias("__h"), "c.s", "c.e", "c.bare")
-    owned = ownership(each)
-    example = F.col("__owners") >= EXAMPLE_OWNERS
-    live = F.array_sort(F.collect_list(F.when(~example & F.col("bare"), F.struct(F.col("s").alias("s"), F.col("e").alias("e")))))
-    judged = each.join(owned, "__h").groupBy("__row").agg(
-        live.alias("__live"),
-        F.sum((~example).cast("long")).alias("__n_live"),
-        F.sum(example.cast("long")).alias("__n_example"),
-    )
-    return found.join(judged, "__row", "left").withColumns(
-        {
-            "__live": F.coalesce("__live", F.array().cast("array<struct<s:int,e:int>>")),
-            "__n_live": F.coalesce("__n_live", F.lit(0).cast("long")),
-            "__n_example": F.coalesce("__n_example", F.lit(0).cast("long")),
-        }
-    )
+def _listed(condition: Column) -> Column:
+    """kind:start:end by start and kind, joined by commas, of the spans for which the condition holds."""
+    name = F.element_at(F.array(*(F.lit(n) for n, *_ in KINDS), F.lit(LIVE)), F.col("k") + 1)
+    one = F.struct("s", "k", F.concat_ws(":", name, F.col("s").cast("string"), F.col("e").cast("string")).alias("t"))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(condition, one))), lambda x: x["t"]), ",")
 
 
 def secret_scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """Counts, the digest of the base spans, all spans, and how many values look live or copied."""
+    """Counts, the digest of the base spans, all spans, how many values look live or copied, and in
+    how many owners and repositories the most widely held value of the text is found."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
-    found = scan(docs, owner, repository, ["doc_id"], text_or_empty())
-    base = [_labelled(n, i, F.col(f"__{n}")) for i, (n, *_) in enumerate(KINDS)]
-    return found.select(
-        "doc_id",
-        *(F.size(f"__{n}").cast("long").alias(f"n_{n}") for n, *_ in KINDS),
-        F.sha2(_joined(F.concat(*base)), 256).alias("base_sha256"),
-        _joined(F.concat(*base, _labelled("live", len(KINDS), F.col("__live")))).alias("spans"),
-        F.col("__n_live").alias("n_live"),
-        F.col("__n_example").alias("n_example"),
-    )
+    rows, spans = scan(docs, owner, repository, ["doc_id"], text_or_empty())
+    base = F.col("k") < len(KINDS)
+    counts = {f"n_{n}": F.count_if(F.col("k") == i) for i, (n, *_) in enumerate(KINDS)}
+    counts |= {"n_live": F.count_if(~F.col("__example")), "n_example": F.count_if("__example"), "n_owners": F.max("__owners"), "n_repositories": F.max("__repos")}
+    told = spans.groupBy("__row").agg(*(c.alias(n) for n, c in counts.items()), _listed(base).alias("base"), _listed(base | ~F.col("__example")).alias("spans"))
+    none = F.lit("")
+    out = rows.join(told, "__row", "left")
+    number = {n: F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts}
+    names = [f"n_{n}" for n, *_ in KINDS]
+    return out.select(
+        "doc_id", *(number[n] for n in names), F.sha2(F.coalesce("base", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"),
+        *(number[n] for n in counts if n not in names),
+    )
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """Documents with every reported span replaced by ``MASK`` (a pipeline stage)."""
+    """Documents with every reported span replaced by ``MASK``, touching ones each by their own (a pipeline stage)."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     print_of = F.xxhash64("text")
-    found = scan(docs, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")), ["doc_id", "text"], text_or_empty())
-    return _masked(docs, found, print_of)
-
-
-def _masked(docs: DataFrame, found: DataFrame, print_of: Column) -> DataFrame:
-    spans = F.concat(*[F.transform(f"__{n}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for n, *_ in KINDS], "__live")
-    hits = found.where(F.size(spans) > 0).select(
-        F.col("doc_id").alias("__doc"), print_of.alias("__print"), F.array_sort(spans).alias("__spans")
-    )
-    hits = materialize(hits.groupBy("__doc", "__print").agg(F.min("__spans").alias("__spans")))
-    joined = docs.join(broadcast_if_small(hits), docs["doc_id"].eqNullSafe(hits["__doc"]) & (F.xxhash64(docs["text"]) == hits["__print"]), "left")
-    text = F.col("text")
-    cut = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK)))
-            .otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    masked = F.when(F.col("__spans").isNull(), text).otherwise(cut)
+    rows, spans = scan(docs.withColumn("__print", print_of), F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")), ["doc_id", "__print"], text_or_empty())
+    told = spans.where((F.col("k") < len(KINDS)) | ~F.col("__example"))
+    # Overlapping spans are one: it ends where the last of them does.
+    by_start = Window.partitionBy("__row").orderBy("s", "e")
+    reached = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    told = told.withColumn("__new", F.coalesce(F.col("s") >= reached, F.lit(True)).cast("int"))
+    told = told.withColumn("__island", F.sum("__new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = told.groupBy("__row", "__island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    merged = merged.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__spans"))
+    hits = rows.join(merged, "__row").groupBy(F.col("doc_id").alias("__doc"), F.col("__print").alias("__p")).agg(F.min("__spans").alias("__spans"))
+    hits = materialize(hits)
+    joined = docs.join(broadcast_if_small(hits), docs["doc_id"].eqNullSafe(hits["__doc"]) & (print_of == hits["__p"]), "left")
+    text, spans_of = F.col("text"), F.col("__spans")
+    before = lambda i: F.when(i > 0, F.get(spans_of, i - 1)["e"]).otherwise(0)
+    pieces = F.transform(spans_of, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["s"] - before(i)), F.lit(MASK)))
+    cut = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(spans_of, -1)["e"] + 1, F.length(text)))
+    masked = F.when(spans_of.isNull(), text).otherwise(cut)
     # Two steps: beside an alias ``text`` the lambdas would take that for the column.
     joined = joined.select("doc_id", masked.alias("__masked"), "lang", "source")
     return joined.select("doc_id", F.col("__masked").alias("text"), "lang", "source", F.length("__masked").cast("long").alias("n_chars"))
@@ -217,17 +197,18 @@ x AS (
   SELECT * FROM b UNION ALL
   SELECT * FROM z WHERE kind = 'live' AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
      AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = z.rid AND b.s < z.e AND b.e > z.s)
-), o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM c GROUP BY v),
-f AS (SELECT c.*, owners >= 3 AS example FROM c JOIN o USING (v)),
+), o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (source, concat_ws('/', source, lang))) AS repos FROM c GROUP BY v),
+f AS (SELECT c.*, owners, repos, owners >= 3 OR repos >= 6 AS example FROM c JOIN o USING (v)),
 a AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nk, count(*) FILTER (kind = 'hex') AS nh,
          string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, ord) FILTER (kind <> 'live') AS base,
          string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, ord) FILTER (kind <> 'live' OR NOT example) AS spans,
-         count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example
+         count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example, max(owners) AS n_owners, max(repos) AS n_repositories
   FROM f GROUP BY rid
 )
 SELECT doc_id, coalesce(na, 0)::BIGINT AS n_assign, coalesce(nk, 0)::BIGINT AS n_access, coalesce(nh, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+       coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example,
+       coalesce(n_owners, 0)::BIGINT AS n_owners, coalesce(n_repositories, 0)::BIGINT AS n_repositories
 FROM d LEFT JOIN a USING (rid)
 """
