@@ -1,12 +1,16 @@
 """Quality rules with a verdict on the host (DataFrame functions only).
 
 Every document gets five counts and a base verdict inside its own row, without a shuffle.
-Failures are then added up by host (map-side first, so a host with a third of all rows
-costs no more than another), each host's failure rate is shrunk towards the corpus by an
-empirical beta prior, and hosts above a limit take their documents with them.
-
-Defined cases: a null text has no words (so it fails); a null host is a host of its own;
-repeated rows are judged one by one; an empty table gives an empty result; columns other
+Failures are then added up by host and rule (map-side first, so a host with a third of all
+rows costs no more than another). For each rule a beta prior is fitted to the hosts' rates by
+moments, less what chance alone spreads them; a host's rate is shrunk towards it. A host
+takes all of its documents with it where, for some rule, its posterior rate, less two
+posterior deviations, is beyond three deviations of the prior and its odds of failing are at
+least eight times the corpus's. Both limits come from the fitted prior: no rate is fixed.
+
+Defined cases: a null text has no words (so it fails); a very long text is counted whole; a
+null host is a host of its own; repeated rows are judged one by one; of several rules that a
+host fails none goes before another; an empty table gives an empty result; columns other
 than the named ones are dropped.
 """
 
@@ -24,10 +28,13 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A document whose symbols exceed this share of its characters counts against its host.
 MAX_SYMBOL_PERCENT = 10
-#: A host whose shrunk failure rate is above this loses all of its documents.
-MAX_HOST_RATE = 0.5
-#: Weight of the prior, in documents, where the hosts' rates do not differ measurably.
-FLAT_PRIOR = 1000.0
+#: As many lines that repeat another for each so many words.
+WORDS_PER_DUP_LINE = 20
+#: A bad host's posterior rate, less DOUBT posterior deviations, is beyond SPREAD deviations of the
+#: prior, and its odds of failing are ODDS times the corpus's.
+DOUBT, SPREAD, ODDS = 2.0, 3.0, 8.0
+#: Weight of the prior, in documents: where the hosts' rates differ no more than by chance, and at least.
+FLAT_PRIOR, LEAST_PRIOR = 1000.0, 1.0
 
 
 def _repeat_words(grams: Column, runs: Column) -> Column:
@@ -89,23 +96,47 @@ def rule_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def failures() -> dict[str, Column]:
+    """What counts against a host, by rule."""
+    return {
+        "short": F.col("n_words") < MIN_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),
+        "dup_lines": WORDS_PER_DUP_LINE * F.col("n_dup_lines") > F.col("n_words"),
+    }
+
+
+def host_rates(counts: DataFrame, host: str) -> DataFrame:
+    """(host, rule, n, f, rate, bad): a row a host and rule, from the rules' failures and the fitted prior."""
+    rules = failures()
+    hosts = counts.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(r) for r, c in rules.items()))
+    long = hosts.select("host", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("f")) for r in rules))).alias("x"))
+    long = materialize(long.select("host", "n", "x.rule", "x.f"))
+    rate = F.col("f") / F.col("n")
+    # Chance alone gives a host of n documents the variance m (1 - m) / n.
+    prior = long.groupBy("rule").agg(
+        (F.sum("f") / F.sum("n")).alias("m"), F.avg(rate).alias("mean"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n")).alias("chance"),
+    )
+    spread = F.col("m") * (1 - F.col("m"))
+    over = F.col("v") - spread * F.col("chance")
+    strength = F.when(over > spread / FLAT_PRIOR, F.greatest(spread / over - 1, F.lit(LEAST_PRIOR))).otherwise(F.lit(FLAT_PRIOR))
+    # A row a rule.
+    prior = F.broadcast(prior.select("rule", "m", strength.alias("s")))
+    m, s, n = F.col("m"), F.col("s"), F.col("n")
+    shrunk = (F.col("f") + m * s) / (n + s)
+    doubt = F.sqrt(shrunk * (1 - shrunk) / (n + s + 1))
+    beyond = shrunk - DOUBT * doubt > m + SPREAD * F.sqrt(m * (1 - m) / (s + 1))
+    bad = beyond & (shrunk * (1 - m) >= ODDS * m * (1 - shrunk))
+    return long.join(prior, "rule").select("host", "rule", "n", "f", shrunk.alias("rate"), bad.alias("bad"))
+
+
 def host_verdicts(counts: DataFrame, host: str) -> DataFrame:
-    """One row a host: documents, failures, shrunk rate, rejected."""
-    failed = F.col("base_failed") | (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"))
-    hosts = counts.groupBy(F.col(host).alias("__host")).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(failed.cast("long")).alias("__f")
-    )
-    rate = F.col("__f") / F.col("__n")
-    # One row: the prior's mean and strength by moments over the hosts.
-    prior = hosts.agg(F.avg(rate).alias("__m"), F.var_pop(rate).alias("__v"))
-    varied = (F.col("__v") > 1e-12) & (F.col("__v") < F.col("__m") * (1 - F.col("__m")))
-    strength = F.when(varied, F.col("__m") * (1 - F.col("__m")) / F.col("__v") - 1).otherwise(F.lit(FLAT_PRIOR))
-    shrunk = (F.col("__f") + F.col("__m") * strength) / (F.col("__n") + strength)
-    return hosts.crossJoin(F.broadcast(prior)).select("__host", "__n", "__f", shrunk.alias("__rate"), (shrunk > MAX_HOST_RATE).alias("__bad"))
+    """(__host, __bad, __rate): a row a host; the largest of its shrunk rates."""
+    return host_rates(counts, host).groupBy(F.col("host").alias("__host")).agg(F.bool_or("bad").alias("__bad"), F.max("rate").alias("__rate"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the host's shrunk rate, one row a document."""
+    """doc_id, the counts, base_failed, kept, and the host's largest shrunk rate, one row a document."""
     counts = materialize(rule_counts(docs.select("doc_id", F.col(host).alias("__source"), "text"), ["doc_id", "__source"]))
     hosts = materialize(host_verdicts(counts, "__source"))
     out = counts.join(broadcast_if_small(hosts), counts["__source"].eqNullSafe(hosts["__host"]), "left")
@@ -117,17 +148,21 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that pass, with their own columns only (a pipeline stage)."""
+    """The documents that pass, with their own columns only (a pipeline stage).
+
+    Counts are worked out once: they are written beside the texts of documents that pass, and
+    without the texts of those that fail.
+    """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    counts = rule_counts(docs.select("*", F.col(host).alias("__source")), ["__source"])
-    bad = materialize(host_verdicts(counts, "__source")).where("__bad").select("__host")
-    judged = rule_counts(docs.select("*", F.col("text").alias("__whole")), [*(c for c in DOCUMENT_COLUMNS if c != "text"), "__whole"])
-    # The optimizer pushes a filter below a projection, where the counts' nested arrays would
-    # be worked out again for each of their elements, unless the projection isn't deterministic.
-    judged = judged.withColumn("__part", F.spark_partition_id())
-    good = judged.where(~F.col("base_failed") & (F.col("__part") >= 0)).withColumnRenamed("__whole", "text")
-    bad = broadcast_if_small(bad)
-    return good.join(bad, good[host].eqNullSafe(bad["__host"]), "left_anti").select(*DOCUMENT_COLUMNS)
+    whole = docs.select(*(F.col(c).alias(f"__{c}") for c in DOCUMENT_COLUMNS), "text", F.col(host).alias("__host_of"))
+    own = [f"__{c}" for c in DOCUMENT_COLUMNS]
+    judged = rule_counts(whole.withColumn("__whole", F.col("__text")).drop("__text"), [*(c for c in own if c != "__text"), "__whole", "__host_of"])
+    judged = judged.withColumn("__whole", F.when(~F.col("base_failed"), F.col("__whole")))
+    judged = materialize(judged)
+    bad = materialize(host_verdicts(judged, "__host_of")).where("__bad").select("__host")
+    good = judged.where(~F.col("base_failed"))
+    good = good.join(broadcast_if_small(bad), good["__host_of"].eqNullSafe(bad["__host"]), "left_anti")
+    return good.select(*(F.col("__whole" if c == "text" else f"__{c}").alias(c) for c in DOCUMENT_COLUMNS))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,14 +194,20 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
 ), h AS (
-  SELECT source, count(*) AS n, sum((base_failed OR 100 * n_symbols > 10 * word_chars)::BIGINT)::DOUBLE AS f
-  FROM b GROUP BY source
+  SELECT source, n, rule, f::DOUBLE AS f FROM (
+    SELECT source, count(*) AS n, count(*) FILTER (n_words < 20) AS short, count(*) FILTER (100 * n_repeat_words > 30 * n_words) AS repeats,
+           count(*) FILTER (100 * n_symbols > 10 * word_chars) AS symbols, count(*) FILTER (20 * n_dup_lines > n_words) AS dup_lines
+    FROM b GROUP BY source
+  ) UNPIVOT (f FOR rule IN (short, repeats, symbols, dup_lines))
 ), q AS (
-  SELECT m, CASE WHEN v > 1e-12 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1000.0 END AS s
-  FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h)
+  SELECT rule, m, CASE WHEN v - m * (1 - m) * c > m * (1 - m) / 1000.0 THEN greatest(m * (1 - m) / (v - m * (1 - m) * c) - 1, 1.0) ELSE 1000.0 END AS s
+  FROM (SELECT rule, sum(f) / sum(n) AS m, var_pop(f / n) AS v, avg(1 / n) AS c FROM h GROUP BY rule)
+), z AS (
+  SELECT source, n, m, s, (f + m * s) / (n + s) AS x FROM h JOIN q USING (rule)
+), k AS (
+  SELECT source, bool_or(x - 2 * sqrt(x * (1 - x) / (n + s + 1)) > m + 3 * sqrt(m * (1 - m) / (s + 1)) AND x * (1 - m) >= 8 * m * (1 - x)) AS bad FROM z GROUP BY source
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ((h.f + q.m * q.s) / (h.n + q.s) > 0.5) AS kept
-FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source CROSS JOIN q
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT k.bad AS kept
+FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source
 """
