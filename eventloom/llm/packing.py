@@ -8,9 +8,10 @@ piece is replaced by two unpacked pieces that fit the expanded gap more tightly,
 are such. The bin is repeated as often as the counts allow at once, so each step uses up a
 length. Pieces are numbered within their length by blocks, and join the plan's runs.
 
-Defined cases: a null text is empty; an empty text is the closing id alone; repeated rows are
-packed one by one; an empty table gives an empty result; columns other than the named ones
-are dropped.
+Defined cases: a null text is empty; an empty text is the closing id alone; a very long text is
+tokenized whole and cut into pieces; pieces of one length are dealt out by a hash, ties by
+doc_id; repeated rows are packed one by one; an empty table gives an empty result; columns
+other than the named ones are dropped.
 """
 
 from __future__ import annotations
@@ -136,7 +137,6 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     spark = parts.sparkSession
     parts = materialize(parts)
-    n_rows = parts.count()
     # One row a length: at most ``sequence`` of them.
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     runs, first = [], 0
@@ -152,8 +152,10 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     # A run list for each length, found by its rank: the join is on the length alone.
     plan = spark.createDataFrame(runs, "__length long, __lo long, __hi long, __k long, __first long, __at long")
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    placed = parts.withColumn("__one", F.lit(1)).withColumn("__key", key)
-    placed = placed.withColumn("__block", F.pmod("__key", F.lit(blocks_for(n_rows, ROWS_PER_BLOCK))))
+    # Blocks by the count of a length, so that seldom lengths are one block each.
+    blocks = spark.createDataFrame([(n, blocks_for(c, ROWS_PER_BLOCK)) for n, c in counts.items()], "__length long, __blocks long")
+    placed = parts.join(F.broadcast(blocks), F.col("length") == F.col("__length")).withColumn("__one", F.lit(1)).withColumn("__key", key)
+    placed = placed.withColumn("__block", F.pmod("__key", F.col("__blocks"))).drop("__length", "__blocks")
     ranked = running_sums(placed, ["length"], "__block", ["__key", "doc_id", "piece"], ["__one"])
     runs_of = plan.groupBy("__length").agg(F.sort_array(F.collect_list(F.struct("__lo", "__hi", "__k", "__first", "__at"))).alias("__runs"))
     rank = F.col("__one_before")
