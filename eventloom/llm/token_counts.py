@@ -1,13 +1,16 @@
-"""Token counts: pieces counted once a distinct pre-token, joined to per-document frequencies.
+"""Token counts: pieces counted once a distinct pre-token, joined to per-document pre-token frequencies.
 
 The first pass over the documents finds the distinct pre-tokens and how often each occurs
 (added up inside a task before the exchange), and the library counts the pieces of each of
 them once. The second pass makes the documents' pre-token frequencies. The most frequent
-pre-tokens, a fixed number of bounded length, are broadcast and joined inside the tasks;
-all others, none of which can be hot, are joined by an exchange. No ids are materialised.
-
-Defined cases: a null text is empty and has no tokens; repeated rows are counted one by one;
-an empty table gives an empty result; columns other than the named ones are dropped.
+pre-tokens, a fixed number of bounded size, are broadcast and joined inside the tasks; the
+others are joined by an exchange. A pre-token of more than 24 characters is known by a 128-bit
+hash of it, so a long one that is frequent is broadcast like any other and none of the others
+can be hot. No ids are materialised.
+
+Defined cases: a null text is empty and has no tokens; a very long text is counted whole, in
+one task; frequencies tie at random without effect on counts; repeated rows are counted one
+by one; an empty table gives an empty result; columns other than the named ones are dropped.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +28,28 @@ from eventloom.llm.common import materialize, table, text_or_empty
 from eventloom.llm.pretokens import pretokens, token_counts, vocabulary_path
 
 LIMIT = 2048
-#: What is broadcast: at most so many pre-tokens of at most so many characters.
+#: What is broadcast: at most so many pre-tokens, each as itself or as a hash of 33 characters.
 BROADCAST_PRETOKENS = 150_000
-BROADCAST_LENGTH = 24
+#: Characters of a pre-token that is its own key.
+KEY_CHARS = 24
 #: Distinct pre-tokens that a task of the first pass holds before it hands them on.
 HELD = 300_000
 
 
+def key_of(pretoken: str) -> str:
+    """No pre-token holds U+0000 beside hexadecimal digits alone: it is a control character, which splits."""
+    return pretoken if len(pretoken) <= KEY_CHARS else "\0" + xxhash.xxh3_128_hexdigest(pretoken.encode())
+
+
 def vocabulary(texts: DataFrame, path: str) -> DataFrame:
-    """(pretoken, freq, pieces), one row a distinct pre-token of the corpus."""
+    """(pretoken, freq, pieces), one row a distinct pre-token of the corpus, by its key."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
         def handed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"pretoken": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
+            long = [w if len(w) > KEY_CHARS else None for w in held]
+            out = pa.RecordBatch.from_pydict({"pretoken": pa.array(map(key_of, held), pa.string()), "whole": pa.array(long, pa.string()), "n": pa.array(held.values(), pa.int64())})
             held.clear()
             return out
 
@@ -51,25 +62,26 @@ def vocabulary(texts: DataFrame, path: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield part.assign(pieces=token_counts(part["pretoken"].tolist(), path))
+            words = [w if k is None else k for w, k in zip(part["pretoken"], part["whole"], strict=True)]
+            yield pd.DataFrame({"pretoken": part["pretoken"], "freq": part["freq"], "pieces": token_counts(words, path)})
 
-    found = texts.select("text").mapInArrow(distinct, "pretoken string, n long")
-    found = found.groupBy("pretoken").agg(F.sum("n").alias("freq"))
+    found = texts.select("text").mapInArrow(distinct, "pretoken string, whole string, n long")
+    found = found.groupBy("pretoken", "whole").agg(F.sum("n").alias("freq"))
     return materialize(found.mapInPandas(count, "pretoken string, freq long, pieces int"))
 
 
 def most_frequent(words: DataFrame, most: int) -> DataFrame:
-    """At most so many short pre-tokens: all above a frequency that a histogram of eighth powers
+    """At most so many pre-tokens: all above a frequency that a histogram of eighth powers
     of two gives, so that nothing is sorted and no more than these come to the driver."""
-    short = words.where(F.length("pretoken") <= BROADCAST_LENGTH).withColumn("level", F.floor(F.log2("freq") * 8))
-    counts = sorted(((r["level"], r["count"]) for r in short.groupBy("level").count().collect()), reverse=True)
+    levels = words.withColumn("level", F.floor(F.log2("freq") * 8))
+    counts = sorted(((r["level"], r["count"]) for r in levels.groupBy("level").count().collect()), reverse=True)
     least, n = None, 0
     for level, count in counts:
         n += count
         if n > most:
             break
         least = level
-    return short.where(F.lit(False) if least is None else F.col("level") >= least).select("pretoken", "pieces")
+    return levels.where(F.lit(False) if least is None else F.col("level") >= least).select("pretoken", "pieces")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -87,7 +99,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             for text in batch.column(1):
                 text = text.as_py()
                 n_bytes.append(len(text.encode()))
-                freq = Counter(pretokens(text, path))
+                freq = {key_of(w): n for w, n in Counter(pretokens(text, path)).items()}
                 other = {w: n for w, n in freq.items() if w not in have}
                 n_known.append(sum(have[w] * n for w, n in freq.items() if w in have))
                 rare.append(list(other))
