@@ -12,9 +12,10 @@ is also sent to the range before, so each task meets every pair it needs in a si
 over its sorted rows, one document at a time.
 
 Defined cases: a null text is empty, its fingerprint the empty string (like only itself); a
-null doc_id comes first; documents with one doc_id follow one another by a hash of the text;
-one lone document is its own next; an empty table gives an empty result; columns other than
-the named ones are dropped.
+very long text is sampled whole, some terms at a time; a null doc_id comes first, and doc_ids
+that are texts follow by code point; documents with one doc_id follow one another by a hash of
+the text, and lie in one range; one lone document is its own next; an empty table gives an
+empty result; columns other than the named ones are dropped.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks_for, parallelism, table, text_or_empty
+from eventloom.llm.common import blocks_for, table, text_or_empty
 from eventloom.llm.shingles import mixed, shingle_hashes
 
 SAMPLES = 64
@@ -109,36 +110,47 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _range_starts(docs: DataFrame, n: int, least) -> list:
+    """At most n - 1 doc_ids above the least, about as many rows between each two. They only balance the tasks."""
+    if dict(docs.dtypes)["doc_id"] == "string":
+        # Strings have no percentile_approx: every so many of a sample's sorted ids, which don't repeat much.
+        share = min(1.0, 64 * n / max(1, docs.count()))
+        some = sorted(r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").sample(share, seed=1).limit(128 * n).collect())
+        found = [some[len(some) * i // n] for i in range(1, n)] if some else []
+    else:
+        found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    return sorted({x for x in found if x > least})
+
+
 def by_ranges(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Rows dealt out by ranges of doc_id (``__range``) and sorted in them.
+    """Rows dealt out by ranges of doc_id (``__range``), a task a range, and sorted in them.
 
     Each range ends with the rows that begin the next one (``__ahead``); the first of all
-    follow the last range. One doc_id for each range comes to the driver, no more.
+    follow the last range. Some doc_ids for each range come to the driver, no more.
     """
     n_rows, n_null, least = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
     n = min(MOST_RANGES, blocks_for(n_rows, rows_per_range))
-    starts: list[int] = []
-    if n > 1 and least is not None:
-        shares = [i / n for i in range(1, n)]
-        found = docs.agg(F.percentile_approx("doc_id", shares, 100 * n)).first()[0]
-        starts = sorted({x for x in found if x > least or n_null})
-    begins, first, last = np.array(starts, np.int64), None if n_null else least, len(starts)
+    starts = _range_starts(docs, n, least) if n > 1 and least is not None else []
+    if starts and n_null:
+        # Rows without an id stand before all others: a range of their own.
+        starts = [least, *starts]
+    last = len(starts)
+    text = dict(docs.dtypes)["doc_id"] == "string"
+    begins, first = np.array(starts, object if text else np.int64), None if n_null else least
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
+    def places(ids: pd.Series, missing: pd.Series) -> pd.Series:
         """Twice the range, and for a row that is sent ahead also twice the range before and one."""
-        known = ids.notna().to_numpy()
-        value = ids.fillna(0).to_numpy(np.int64)
+        known, value = ~missing.to_numpy(), ids.to_numpy(object if text else np.int64)
         at = np.where(known, np.searchsorted(begins, value, side="right"), 0)
         begin = known & np.isin(value, begins)
         head = ~known if first is None else known & (value == first)
         return pd.Series([[2 * r, *([2 * r - 1] if b else []), *([2 * last + 1] if h else [])] for r, b, h in zip(at, begin, head, strict=True)])
 
-    out = docs.withColumn("__place", F.explode(places("doc_id"))).withColumn("__key", F.xxhash64("text"))
+    out = docs.withColumn("__place", F.explode(places(F.coalesce("doc_id", F.lit("" if text else 0)), F.col("doc_id").isNull()))).withColumn("__key", F.xxhash64("text"))
     out = out.withColumn("__range", F.shiftright("__place", 1)).withColumn("__ahead", F.col("__place") % 2 == 1)
-    n_parts = parallelism(docs.sparkSession, n_rows, 4 * rows_per_range)
     order = ["__range", "__ahead", F.col("doc_id").asc_nulls_first(), "__key"]
-    return out.repartition(n_parts, "__range").sortWithinPartitions(*order).select("__range", "__ahead", "doc_id", "text")
+    return out.repartitionById(last + 1, F.col("__range")).sortWithinPartitions(*order).select("__range", "__ahead", "doc_id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
@@ -168,10 +180,12 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, seed: int = S
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    ranged = by_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    kind = dict(docs.dtypes)["doc_id"]
+    kind = "string" if kind == "string" else "bigint"
+    types = [pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    ranged = by_ranges(docs.select(F.col("doc_id").cast(kind).alias("doc_id"), text_or_empty().alias("text")))
     return ranged.mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 
