@@ -2,13 +2,19 @@
 
 Counted as part of the subpackage eventloom.llm. All stages but the last return the columns
 of ``documents``.
+
+Defined cases, for every stage: a null text is empty, so it fails the quality rules; null
+sources and languages count as values of their own; null doc_ids and repeated rows are kept
+apart row by row, but of equal texts one row stays; very long texts are worked whole and only
+cut by packing; ties are broken by doc_id and hashes of the text; empty tables give empty
+tables; columns beside those of ``documents`` are dropped at the first stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm.common import materialize, table
+from eventloom.llm.common import clear_scratch, materialize, scratch_paths, table
 from eventloom.llm.jaccard_join import one_of_each_group
 from eventloom.llm.mixing import mixed_documents
 from eventloom.llm.packing import pack_documents
@@ -56,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        before = scratch_paths(spark)
         docs = materialize(stage(spark, docs, sf_dir))
+        # The stage's result is written: what it was made of, but for that, can go.
+        clear_scratch(spark, [p for p in scratch_paths(spark)[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
