@@ -22,13 +22,32 @@ def nfkc_casefold(text: Column) -> Column:
     return fold(text)
 
 
+#: Texts of these characters alone are their own compatibility composition, and fold as they lower-case:
+#: ASCII, Cyrillic letters without combining marks, typographic dashes, quotes and apostrophes.
+PLAIN = r"^[\x00-\x7F\u0400-\u045F\u0490\u0491\u2013\u2014\u2018\u2019\u201C\u201D\u00AB\u00BB\u02BC]*$"
+
+
+def folded(text: Column) -> Column:
+    """NFKC and case folding; plain texts stay in the JVM, only others go to the Arrow function."""
+    plain = text.rlike(PLAIN)
+    return F.when(plain, F.lower(text)).otherwise(nfkc_casefold(F.when(~plain, text)))
+
+
+#: White space beyond the blank, and the separators that count as such.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(value: Column) -> Column:
+    return F.btrim(value, F.lit(" " + WHITE))
+
+
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def normalize_title(title: Column, fold: Column | None = None) -> Column:
-    """Folded, without punctuation, single spaces. ``fold`` takes the place of the default ``lower``."""
-    return squeezed(F.regexp_replace(F.lower(title) if fold is None else fold, r"(?U)[^\w\s]", " "))
+def normalize_title(title: Column) -> Column:
+    """Folded, without punctuation, single spaces."""
+    return squeezed(F.regexp_replace(folded(title), r"(?U)[^\p{L}\p{N}_\s]", " "))
 
 
 def content_hash(title: Column, date: Column) -> Column:
@@ -40,10 +59,12 @@ def fit(field: str, value: Column) -> Column:
     return F.substring(value, 1, WIDTHS[field]) if field in WIDTHS else value
 
 
-def norm(text: Column, folded: bool = False) -> Column:
-    """One apostrophe and dash, ordinals as numbers, no number sign, single spaces."""
-    text = text if folded else F.lower(text)
-    text = F.translate(text, "’ʼ`´–—‑−", "''''----")
+def norm(text: Column) -> Column:
+    """Folded, one apostrophe and dash, ordinals as numbers, no number sign, single spaces.
+
+    Folding makes the number sign the letters ``no`` before it could be left out.
+    """
+    text = F.translate(folded(text), "’ʼ`´–—‑−", "''''----")
     text = F.regexp_replace(text, "№", "")
     text = F.regexp_replace(text, r"(?U)(\d)-(?:го|й|ого|му)\b", "$1")
     return squeezed(F.regexp_replace(text, r"(?U)\s*-\s*(?=\d)", "-"))
@@ -54,12 +75,29 @@ def flat(text: Column) -> Column:
 
 
 def is_empty(value: Column) -> Column:
-    return F.coalesce(F.trim(value), F.lit("")) == ""
+    return F.coalesce(stripped(value), F.lit("")) == ""
 
 
 def keys_ok(keys: Column, value: Column) -> Column:
-    """Each group of keys has an alternative that the value contains."""
-    return F.forall(keys, lambda group: F.exists(group, lambda alt: F.contains(value, norm(alt))))
+    """Each group of keys has an alternative that the value contains; both in normal form."""
+    return F.forall(keys, lambda group: F.exists(group, lambda alt: F.contains(value, alt)))
+
+
+def each_normal(groups: Column, form) -> Column:
+    """Groups of alternatives, each in the normal form ``form``.
+
+    Nested arrays can't be sent to an Arrow function element by element: they are joined by
+    control characters that no form touches, made normal as one text, and split again.
+    """
+    joined = F.array_join(F.transform(groups, lambda g: F.array_join(g, "\x01")), "\x02")
+    alternatives = F.transform(F.split(form(joined), "\x02"), lambda g: F.transform(F.split(g, "\x01"), lambda x: F.trim(x)))
+    return F.zip_with(groups, alternatives, lambda g, n: F.when(F.size(g) > 0, n).otherwise(F.array().cast("array<string>")))
+
+
+def joint_norm(values: list[Column]) -> Column:
+    """The normal forms of several values as one array, worked out in one go; a null value's is empty."""
+    joined = F.array_join(F.array(*(F.coalesce(v, F.lit("")) for v in values)), "\x03")
+    return F.transform(F.split(norm(joined), "\x03"), lambda x: F.trim(x))
 
 
 def parse_edit_lines(text: Column, aliases: dict[str, str], cleared: tuple[str, ...] = ("-", "—", "null")) -> Column:
