@@ -1,128 +1,241 @@
 """Scores of extracted events against gold data: alignment, field verdicts, counters, intervals.
 
-Gold events are rows (message_id, kind, gold_idx, <fields>), predictions (message_id,
-pred_idx, <fields>); both are numbered from 0 in a message. Everything is a join on the
-message and a fold inside it, then sums.
+Gold events are rows (message_id, gold_idx, the eleven fields, and where they have them
+``<field>_keys``, ``event_type_accept`` and ``inferred``), predictions (message_id, pred_idx,
+the fields); both are numbered from 0 in a message. Columns that are missing are null.
+
+Normal forms are worked out once an event. Gold and predicted events of a message then meet
+in one row (a message holds a few events), in which pairs are chosen and cells are judged, so
+that a score costs one exchange of each side. Everything after that are sums over messages,
+which combine map-side; resamples weigh messages inside their rows and need no join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.schedule import normalize_clock
-from eventloom.functions.text import is_empty, norm
+from eventloom.functions.text import each_normal, flat, is_empty, joint_norm, keys_ok, norm, stripped
 
+FIELDS = ["event_title", "date", "time", "location", "organizer", "target_audience", "event_type", "description", "language", "link", "meeting_code"]
+#: Fields that are held against keys: each group of them must be met by one of its alternatives.
+KEY_FIELDS = ["event_title", "location", "organizer", "target_audience"]
 PAIR_THRESHOLD = 2
 CATEGORIES = ["correct", "invented_ok", "wrong", "fabricated", "missed"]
-CI_METRICS = ["field_accuracy_all", "field_accuracy_paired", "fabrication_rate"]
+STATUSES = ["paired", "missed_event", "extra_event", "false_event"]
+CI_METRICS = ["field_accuracy_all", "fabrication_rate", "correct_reject_rate"]
+RESAMPLES, RESAMPLING_SEED = 1000, 20260922
+AMBIGUOUS_TAG, BOUNDARY_TAG = "ambiguous:next_weekday", "boundary"
+LINK_ENDS = "/.,;)"
 
 
-def title_matches(gold: Column, predicted: Column) -> Column:
-    """Without keys: the gold value stands in the prediction, in normal form."""
-    return ~is_empty(predicted) & F.contains(norm(predicted), norm(gold))
+def _of(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def pair_score(gold: dict[str, Column], predicted: dict[str, Column]) -> Column:
-    """3 for the date, 2 for the title, 1 for the time."""
-    date = F.when(~is_empty(predicted["date"]) & (F.trim(predicted["date"]) == gold["date"]), 3).otherwise(0)
-    title = F.when(title_matches(gold["title"], predicted["title"]), 2).otherwise(0)
-    time = F.when(normalize_clock(predicted["time"]) == gold["time"], 1).otherwise(0)
-    return date + title + time
+def normal_link(value: Column) -> Column:
+    bare = F.rtrim(stripped(value), F.lit(LINK_ENDS))
+    return F.when(bare != "", bare)
 
 
-def candidates(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(message_id, gi, pi, score) of pairs in one message that reach the threshold."""
-    g = gold.select("message_id", F.col("gold_idx").alias("gi"), *(F.col(c).alias(f"g_{c}") for c in ("title", "date", "time")))
-    p = predicted.select("message_id", F.col("pred_idx").alias("pi"), *(F.col(c).alias(f"p_{c}") for c in ("title", "date", "time")))
-    score = pair_score(*({c: F.col(f"{s}_{c}") for c in ("title", "date", "time")} for s in "gp"))
-    return g.join(p, "message_id").select("message_id", "gi", "pi", score.alias("score")).where(F.col("score") >= PAIR_THRESHOLD)
+def _keys(df: DataFrame, field: str, form, own: Column) -> Column:
+    """The keys in normal form; without any the value (``own``, its normal form) is the only one."""
+    value = F.array(F.array(own))
+    if f"{field}_keys" not in df.columns:
+        return value
+    keys = F.col(f"{field}_keys").cast("array<array<string>>")
+    return F.when(F.coalesce(F.size(keys), F.lit(0)) > 0, each_normal(keys, form)).otherwise(value)
 
 
-def align(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(message_id, gi, pi, score): greedily the best pair first, ties by gold and then by prediction.
+def _without_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", "")
 
-    The order is total, so a fold over a message's sorted candidates decides; no Python runs.
-    """
-    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "gi", "pi")))
-    grouped = candidates(gold, predicted).groupBy("message_id").agg(order.alias("c"))
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("p"), F.array().cast("array<struct<gi:int,pi:int,score:int>>").alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        used = F.array_contains(acc["g"], c["gi"]) | F.array_contains(acc["p"], c["pi"])
-        more = F.struct(
-            F.array_append(acc["g"], c["gi"]).alias("g"), F.array_append(acc["p"], c["pi"]).alias("p"),
-            F.array_append(acc["out"], F.struct(c["gi"].alias("gi"), c["pi"].alias("pi"), (-c["s"]).alias("score"))).alias("out"),
-        )
-        return F.when(used, acc).otherwise(more)
+def gold_rows(gold: DataFrame) -> DataFrame:
+    """(message_id, gold): the events of a message, by their number, with normal forms of what they are held against."""
+    keyed = [*KEY_FIELDS, "meeting_code"]
+    gold = gold.withColumn("__forms", joint_norm([_of(gold, f) for f in keyed]))
+    form = {f: F.get("__forms", i) for i, f in enumerate(keyed)}
+    event = F.struct(
+        F.col("gold_idx").cast("int").alias("gi"),
+        *(_of(gold, f).alias(f) for f in FIELDS),
+        *(_keys(gold, f, norm, form[f]).alias(f"{f}_keys") for f in KEY_FIELDS),
+        _keys(gold, "meeting_code", flat, _without_blanks(form["meeting_code"])).alias("meeting_code_keys"),
+        F.coalesce(_of(gold, "event_type_accept", "array<string>"), F.array().cast("array<string>")).alias("accept"),
+        normal_link(_of(gold, "link")).alias("bare_link"), F.coalesce(_of(gold, "inferred", "boolean"), F.lit(False)).alias("inferred"),
+    )
+    events = gold.select("message_id", event.alias("e"))
+    return events.groupBy("message_id").agg(F.sort_array(F.collect_list("e")).alias("gold"))
+
+
+def predicted_rows(predicted: DataFrame) -> DataFrame:
+    """(message_id, predicted): likewise; a value of white space alone is none."""
+    keyed = [*KEY_FIELDS, "meeting_code"]
+    said = {f: F.when(~is_empty(_of(predicted, f)), _of(predicted, f)) for f in FIELDS}
+    rows = predicted.select("message_id", F.col("pred_idx").cast("int").alias("pi"), *(said[f].alias(f) for f in FIELDS))
+    rows = rows.withColumn("__forms", joint_norm([F.col(f) for f in keyed]))
+    event = F.struct(
+        "pi", *FIELDS, *(F.get("__forms", i).alias(f"n_{f}") for i, f in enumerate(KEY_FIELDS)),
+        _without_blanks(F.get("__forms", len(KEY_FIELDS))).alias("n_meeting_code"), normalize_clock(F.col("time")).alias("clock"), normal_link(F.col("link")).alias("bare_link"),
+    )
+    events = rows.select("message_id", event.alias("e"))
+    return events.groupBy("message_id").agg(F.sort_array(F.collect_list("e")).alias("predicted"))
 
-    pairs = grouped.select("message_id", F.explode(F.aggregate("c", start, step, lambda acc: acc["out"])).alias("x"))
-    return pairs.select("message_id", "x.gi", "x.pi", "x.score")
 
+def field_matches(field: str, g: Column, p: Column) -> Column:
+    """Whether a value that was given counts as the gold one; ``g`` and ``p`` are events of ``gold_rows`` and ``predicted_rows``."""
+    if field in KEY_FIELDS or field == "meeting_code":
+        return keys_ok(g[f"{field}_keys"], p[f"n_{field}"])
+    if field == "time":
+        return p["clock"] == g["time"]
+    if field == "link":
+        return p["bare_link"].eqNullSafe(g["bare_link"])
+    if field == "description":
+        return F.lit(True)
+    same = stripped(p[field]) == g[field]
+    return same | F.array_contains(g["accept"], stripped(p[field])) if field == "event_type" else same
 
-def field_category(gold: Column, predicted: Column, matches: Column, inferred: Column | None = None) -> Column:
-    said = ~is_empty(predicted)
-    good = F.when(F.coalesce(inferred, F.lit(False)), "invented_ok").otherwise("correct") if inferred is not None else F.lit("correct")
+
+def _pair_score(g: Column, p: Column) -> Column:
+    """3 for the date, 2 for the title, 1 for the time."""
+    points = lambda field, n: F.when(F.coalesce(~is_empty(g[field]) & p[field].isNotNull() & field_matches(field, g, p), F.lit(False)), n).otherwise(0)
+    title = F.when(p["event_title"].isNotNull() & field_matches("event_title", g, p), 2).otherwise(0)
+    return points("date", 3) + title + points("time", 1)
+
+
+def field_category(gold: Column, said: Column, matches: Column, inferred: Column | None = None) -> Column:
+    good = F.lit("correct") if inferred is None else F.when(inferred, "invented_ok").otherwise("correct")
     return (
         F.when(gold.isNull() & ~said, "correct").when(gold.isNull(), "fabricated").when(~said, "missed")
         .when(F.coalesce(matches, F.lit(False)), good).otherwise("wrong")
     )
 
 
-def field_scores(gold: DataFrame, predicted: DataFrame, pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
+def scored(messages: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row a message: its columns, ``gold``, ``predicted``, ``candidates`` (s, gi, pi; s is the negative
+    score), ``pairs`` (gi, pi, score) and ``cells`` (gi, pi, field, category, gold_null, gold_value, said).
+
+    Pairs are chosen greedily, the best first, ties by gold and then by prediction: a total
+    order, so a fold over the sorted candidates decides. Fields are judged for each pair.
+    """
+    none = lambda c, of: F.coalesce(c, F.array().cast(dict(of.dtypes)[c]))
+    g_rows, p_rows = gold_rows(gold), predicted_rows(predicted)
+    df = messages.join(g_rows, "message_id", "left").join(p_rows, "message_id", "left")
+    df = df.withColumns({"gold": none("gold", g_rows), "predicted": none("predicted", p_rows)})
+    met = F.transform("gold", lambda g: F.transform("predicted", lambda p: F.struct((-_pair_score(g, p)).alias("s"), g["gi"].alias("gi"), p["pi"].alias("pi"))))
+    df = df.withColumn("candidates", F.sort_array(F.filter(F.flatten(met), lambda c: c["s"] <= -PAIR_THRESHOLD)))
+    start = F.array().cast("array<struct<gi:int,pi:int,score:int>>")
+
+    def step(acc: Column, c: Column) -> Column:
+        used = F.exists(acc, lambda x: (x["gi"] == c["gi"]) | (x["pi"] == c["pi"]))
+        return F.when(used, acc).otherwise(F.array_append(acc, F.struct(c["gi"].alias("gi"), c["pi"].alias("pi"), (-c["s"]).cast("int").alias("score"))))
+
+    df = df.withColumn("pairs", F.sort_array(F.aggregate("candidates", start, step)))
+
+    def judged(x: Column) -> Column:
+        g, p = F.filter("gold", lambda e: e["gi"] == x["gi"])[0], F.filter("predicted", lambda e: e["pi"] == x["pi"])[0]
+        return F.struct(x["gi"].alias("gi"), x["pi"].alias("pi"), g.alias("g"), p.alias("p"))
+
+    df = df.withColumn("__met", F.transform("pairs", judged))
+
+    def cells(x: Column) -> Column:
+        out = []
+        for f in FIELDS:
+            verdict = field_category(x["g"][f], x["p"][f].isNotNull(), field_matches(f, x["g"], x["p"]), x["g"]["inferred"] if f == "date" else None)
+            out.append(F.struct(x["gi"].alias("gi"), x["pi"].alias("pi"), F.lit(f).alias("field"), verdict.alias("category"), x["g"][f].isNull().alias("gold_null"), x["g"][f].alias("gold_value"), x["p"][f].alias("said")))
+        return F.array(*out)
+
+    return df.withColumn("cells", F.flatten(F.transform("__met", cells))).drop("__met")
+
+
+def candidates(scores: DataFrame) -> DataFrame:
+    """(message_id, gi, pi, score) of pairs in one message that reach the threshold."""
+    each = scores.select("message_id", F.explode("candidates").alias("x"))
+    return each.select("message_id", "x.gi", "x.pi", (-F.col("x.s")).alias("score"))
+
+
+def align(scores: DataFrame) -> DataFrame:
+    """(message_id, gi, pi, score) of the chosen pairs."""
+    return scores.select("message_id", F.explode("pairs").alias("x")).select("message_id", "x.*")
+
+
+def field_scores(scores: DataFrame) -> DataFrame:
     """(message_id, gi, field, category, gold_null): a row for each field of each pair."""
-    g = gold.select("message_id", F.col("gold_idx").alias("gi"), *(F.col(f).alias(f"g_{f}") for f in fields), *(["inferred"] if "inferred" in gold.columns else []))
-    p = predicted.select("message_id", F.col("pred_idx").alias("pi"), *(F.col(f).alias(f"p_{f}") for f in fields))
-    both = pairs.join(g, ["message_id", "gi"]).join(p, ["message_id", "pi"])
-    cells = []
-    for f in fields:
-        a, b = F.col(f"g_{f}"), F.col(f"p_{f}")
-        matches = {"title": title_matches(a, b), "time": normalize_clock(b) == a}.get(f, F.trim(b) == a)
-        inferred = F.col("inferred") if f == "date" and "inferred" in gold.columns else None
-        cells.append(F.struct(F.lit(f).alias("field"), field_category(a, b, matches, inferred).alias("category"), a.isNull().alias("gold_null")))
-    return both.select("message_id", "gi", F.explode(F.array(*cells)).alias("x")).select("message_id", "gi", "x.*")
-
-
-def message_counters(messages: DataFrame, gold: DataFrame, predicted: DataFrame, pairs: DataFrame, scores: DataFrame, n_fields: int) -> DataFrame:
-    """One row a message of additive counters; ``messages`` has message_id and kind. Sums of them are the total's."""
-    n_gold = gold.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    n_pred = predicted.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_pred"))
-    n_pair = pairs.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_pair"))
-    by_field = scores.groupBy("message_id").agg(
-        *(F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES),
-        F.count_if((F.col("category") == "correct") & F.col("gold_null")).alias("correct_null"),
-        F.count(F.lit(1)).alias("paired_fields"), F.count_if("gold_null").alias("paired_gold_null"), F.count_if(~F.col("gold_null")).alias("paired_gold_nonnull"),
-    )
-    df = messages.select("message_id", "kind")
-    for part in (n_gold, n_pred, n_pair, by_field):
-        df = df.join(part, "message_id", "left")
-    counted = [c for c in df.columns if c not in ("message_id", "kind")]
-    df = df.fillna(0, counted)
-    said, trap, alone = F.col("kind") == "announcement", F.col("kind") == "trap", F.col("kind") == "individual"
-    n_missed, multi = F.col("n_gold") - F.col("n_pair"), said & (F.col("n_gold") > 1)
-    n_extra = F.col("n_pred") - F.col("n_pair")
-
-    def only(cond: Column, value: Column | int = 1) -> Column:
-        return F.when(cond, value if isinstance(value, Column) else F.lit(value)).otherwise(0).cast("long")
-
-    return df.select(
-        "message_id", "kind",
-        *(only(said, F.col(c)).alias(c) for c in [*CATEGORIES, "correct_null", "paired_fields", "paired_gold_null", "paired_gold_nonnull"]),
-        only(said, n_missed * n_fields).alias("missed_event_fields"), only(said, F.col("n_gold") * n_fields).alias("gold_fields_total"),
-        only(said).alias("announcements"), only(said & (F.col("n_pair") > 0)).alias("announcements_detected"),
-        only(trap).alias("traps"), only(trap & (F.col("n_pred") == 0)).alias("traps_clean"), only(trap, F.col("n_pred")).alias("trap_false_events"),
-        only(alone).alias("individual"), only(alone & (F.col("n_pred") > 0)).alias("individual_extracted"),
-        only(multi).alias("multi"), only(multi & (n_missed == 0)).alias("multi_all_paired"),
-        only(multi & (F.col("n_pred") < F.col("n_gold")) & (F.col("n_pred") > 0) & (n_extra == 0)).alias("multi_merged"),
-        only(said, n_extra).alias("extra_events"), only(said, n_missed).alias("missed_events"), F.lit(1).cast("long").alias("messages"),
-    )
+    return scores.select("message_id", F.explode("cells").alias("x")).select("message_id", "x.gi", "x.field", "x.category", "x.gold_null")
+
+
+def _lost(scores_of: str = "gold") -> Column:
+    return F.filter(scores_of, lambda g: ~F.exists("pairs", lambda x: x["gi"] == g["gi"]))
+
+
+def alignment_rows(scores: DataFrame) -> DataFrame:
+    """(message_id, kind, status, gi, pi, score, gold_title, pred_title): pairs, then what has no partner; of a
+    trap a prediction is a false event, else an extra one."""
+    nul = F.lit(None).cast("int")
+    title_of = lambda rows, key, value, f: F.filter(rows, lambda e: e[key] == value)[0][f]
+    row = lambda status, gi, pi, score, a, b: F.struct(
+        status.alias("status"), gi.alias("gi"), pi.alias("pi"), score.alias("score"), a.alias("gold_title"), b.alias("pred_title")
+    )
+    blank, none = F.lit(""), F.lit(0)
+    paired = F.transform("pairs", lambda x: row(F.lit("paired"), x["gi"], x["pi"], x["score"], F.coalesce(title_of("gold", "gi", x["gi"], "event_title"), blank), F.coalesce(title_of("predicted", "pi", x["pi"], "event_title"), blank)))
+    missed = F.transform(_lost(), lambda g: row(F.lit("missed_event"), g["gi"], nul, none, F.coalesce(g["event_title"], blank), blank))
+    alone = F.filter("predicted", lambda p: ~F.exists("pairs", lambda x: x["pi"] == p["pi"]))
+    status = F.when(F.col("kind") == "trap", "false_event").otherwise("extra_event")
+    extra = F.transform(alone, lambda p: row(status, nul, p["pi"], none, blank, F.coalesce(p["event_title"], blank)))
+    each = scores.select("message_id", "kind", F.explode(F.concat(paired, missed, extra)).alias("x"))
+    return each.select("message_id", "kind", "x.*")
+
+
+def field_rows(scores: DataFrame) -> DataFrame:
+    """(message_id, kind, gold_event, field, field_category, gold_value, predicted_value): the cells of pairs, and a
+    missed cell for every field of an event that was not found."""
+    blank = F.lit("")
+    value = lambda c: F.coalesce(F.when((c["field"] == "description") & ~c["gold_null"], "є деталі").otherwise(c["gold_value"]), blank)
+    row = lambda gi, field, category, a, b: F.struct(gi.alias("gold_event"), field.alias("field"), category.alias("field_category"), a.alias("gold_value"), b.alias("predicted_value"))
+    met = F.transform("cells", lambda c: row(c["gi"], c["field"], c["category"], value(c), F.coalesce(c["said"], blank)))
+    lost = F.flatten(F.transform(_lost(), lambda g: F.array(*(row(g["gi"], F.lit(f), F.lit("missed"), blank, blank) for f in FIELDS))))
+    return scores.select("message_id", "kind", F.explode(F.concat(met, lost)).alias("x")).select("message_id", "kind", "x.*")
+
+
+def message_counters(scores: DataFrame) -> DataFrame:
+    """One row a message of additive counters. Sums of them are the total's.
+
+    ``scores`` may have ``error`` (the extraction failed: it counts, and a silent trap isn't clean)
+    and ``kept`` (events that outlast the filters).
+    """
+    said, trap, alone = (F.col("kind") == k for k in ("announcement", "trap", "individual"))
+    n_gold, n_pred, n_pair = F.size("gold"), F.size("predicted"), F.size("pairs")
+    failed = _of(scores, "error").isNotNull()
+    dropped = _of(scores, "kept", "int") == 0
+    n_missed, n_extra, multi = n_gold - n_pair, n_pred - n_pair, said & (n_gold > 1)
+    n_of = lambda test: F.size(F.filter("cells", test))
+    n_in = lambda category: n_of(lambda x: x["category"] == category)
+    only = lambda cond, value=1: F.when(F.coalesce(cond, F.lit(False)), value).otherwise(0).cast("long")
+    n = len(FIELDS)
+    counts = {
+        **{c: only(said, n_in(c)) for c in CATEGORIES},
+        "correct_null": only(said, n_of(lambda x: (x["category"] == "correct") & x["gold_null"])),
+        "paired_fields": only(said, F.size("cells")), "paired_gold_null": only(said, n_of(lambda x: x["gold_null"])), "paired_gold_nonnull": only(said, n_of(lambda x: ~x["gold_null"])),
+        "missed_event_fields": only(said, n_missed * n), "gold_fields_total": only(said, n_gold * n),
+        "announcements": only(said), "announcements_detected": only(said & (n_pair > 0)),
+        "traps": only(trap), "traps_clean": only(trap & (n_pred == 0) & ~failed), "trap_false_events": only(trap, n_pred),
+        "individual": only(alone), "individual_extracted": only(alone & (n_pred > 0)), "individual_dropped": only(alone & (n_pred > 0) & dropped),
+        "multi": only(multi), "multi_all_paired": only(multi & (n_missed == 0)), "multi_merged": only(multi & (n_pred < n_gold) & (n_pred > 0) & (n_extra == 0)),
+        "extra_events": only(said, n_extra), "missed_events": only(said, n_missed), "errors": only(failed), "messages": F.lit(1).cast("long"),
+    }
+    return scores.select("message_id", "kind", *(c.alias(k) for k, c in counts.items()))
+
+
+def counter_names(counters: DataFrame, by: Sequence[str] = ()) -> list[str]:
+    return [c for c, kind in counters.dtypes if kind == "bigint" and c not in ("message_id", *by)]
 
 
 def summed(counters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    names = [c for c in counters.columns if c not in ("message_id", "kind", *by)]
-    return counters.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+    return counters.groupBy(*by).agg(*(F.sum(c).alias(c) for c in counter_names(counters, by)))
 
 
 def metrics(total: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -137,45 +250,94 @@ def metrics(total: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def per_field_errors(scores: DataFrame, gold: DataFrame, pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row a field: verdicts of the pairs; a missed event adds a miss to every field."""
-    lost = gold.join(pairs, (gold["message_id"] == pairs["message_id"]) & (gold["gold_idx"] == pairs["gi"]), "left_anti")
-    lost = lost.select(F.explode(F.array(*map(F.lit, fields))).alias("field"), F.lit("missed").alias("category"), F.lit(False).alias("gold_null"))
-    every = scores.select("field", "category", "gold_null").unionByName(lost)
+def per_field_errors(scores: DataFrame) -> DataFrame:
+    """One row a field, over announcements: verdicts of the pairs; a missed event adds a miss to every field."""
+    lost = F.transform(_lost(), lambda g: F.array(*(F.struct(F.lit(f).alias("field"), F.lit("missed").alias("category"), F.lit(False).alias("gold_null")) for f in FIELDS)))
+    met = F.transform("cells", lambda c: F.struct(c["field"].alias("field"), c["category"].alias("category"), c["gold_null"].alias("gold_null")))
+    every = scores.where("kind = 'announcement'").select(F.explode(F.concat(met, F.flatten(lost))).alias("x")).select("x.*")
     return every.groupBy("field").agg(
         *(F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES),
         F.count_if((F.col("category") == "correct") & F.col("gold_null")).alias("correct_null"), F.count(F.lit(1)).alias("total"),
     )
 
 
-def resampled(counters: DataFrame, draws: DataFrame) -> DataFrame:
-    """Counters summed for each draw; ``draws`` has draw, message_id and the times a message is drawn.
+def trap_breakdown(counters: DataFrame, subtype: Column, boundary: Column | None = None) -> DataFrame:
+    """Traps by their subtype: how many are clean, how many false events, how many on the boundary."""
+    traps = counters.where("kind = 'trap'").withColumn("__b", F.lit(False) if boundary is None else boundary)
+    return traps.groupBy(subtype.alias("subtype")).agg(
+        F.count(F.lit(1)).alias("traps"), F.sum("traps_clean").alias("clean"), F.sum("trap_false_events").alias("false_events"), F.count_if("__b").alias("boundary")
+    )
+
+
+def subtype(category: Column) -> Column:
+    """What stands behind the first colon, else the whole."""
+    return F.when(F.contains(category, F.lit(":")), F.substring(category, F.instr(category, ":") + 1, F.length(category))).otherwise(category)
 
-    Messages are summed before, so a draw joins one narrow row a message.
+
+#: Cumulative probabilities of a Poisson number with mean 1, in 2**32 steps: how often a message is drawn.
+TIMES = [int((1 << 32) * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
+
+
+def draw_times(message_id: Column, draw: Column, seed: int = RESAMPLING_SEED) -> Column:
+    """How often a resample draws a message: a Poisson number from a hash of both, as many resamples of equal
+    size hold it. Integers alone, so that every engine makes the same table of draws."""
+    wide = 1 << 32
+    x = (F.pmod(message_id, F.lit(1_000_000_007)) * 2_654_435_761 + draw.cast("long") * 40_503 + seed) % wide
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * 73_244_475, F.lit(wide))
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    times = F.lit(len(TIMES))
+    for k in range(len(TIMES) - 1, -1, -1):
+        times = F.when(x < TIMES[k], k).otherwise(times)
+    return times
+
+
+def resampled(counters: DataFrame, resamples: int = RESAMPLES, seed: int = RESAMPLING_SEED) -> DataFrame:
+    """Counters summed for each draw: messages, not fields, are drawn with replacement, a seeded number of times each.
+
+    Draws are made inside a message's row and added up map-side: a partition sends on one row a draw.
     """
-    names = [c for c in counters.columns if c not in ("message_id", "kind")]
-    joined = draws.join(counters, "message_id")
-    return joined.groupBy("draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in names))
+    names = counter_names(counters)
+    each = counters.select("message_id", *names, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("draw"))
+    each = each.withColumn("__times", draw_times(F.col("message_id"), F.col("draw"), seed)).where("__times > 0")
+    return each.groupBy("draw").agg(*(F.sum(F.col(c) * F.col("__times")).alias(c) for c in names))
+
+
+_RATED = ["correct", "invented_ok", "wrong", "fabricated", "missed", "gold_fields_total", "paired_fields", "paired_gold_null", "paired_gold_nonnull", "announcements", "announcements_detected", "traps", "traps_clean"]
 
 
-def bootstrap_intervals(counters: DataFrame, draws: DataFrame, names: Sequence[str] = CI_METRICS) -> DataFrame:
-    """(metric, low, high): percentile intervals over messages; null draws are left out."""
-    rates = metrics(resampled(counters, draws), ["draw"])
+def bootstrap_intervals(counters: DataFrame, names: Sequence[str] = CI_METRICS, resamples: int = RESAMPLES, seed: int = RESAMPLING_SEED) -> DataFrame:
+    """(metric, low, high): 95% percentile intervals over messages; null draws are left out."""
+    rates = metrics(resampled(counters.select("message_id", *_RATED), resamples, seed), ["draw"])
     long = rates.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in names))).alias("x")).select("x.*")
     return long.where("v is not null").groupBy("metric").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
 
 
-def paired_difference(left: DataFrame, right: DataFrame, draws: DataFrame, metric: str = "field_accuracy_all") -> DataFrame:
-    """(observed, low, high) of the difference of a metric, on the same draws of common messages."""
-    ids = left.select("message_id").intersect(right.select("message_id"))
-    left, right = (t.join(ids, "message_id", "left_semi") for t in (left, right))
-    seen = [metrics(summed(t)).select(F.coalesce(F.col(metric), F.lit(0.0)).alias(k)) for t, k in ((left, "a"), (right, "b"))]
-    drawn = [metrics(resampled(t, draws), ["draw"]).select("draw", F.col(metric).alias(k)) for t, k in ((left, "a"), (right, "b"))]
-    each = drawn[0].join(drawn[1], "draw").select((F.col("a") - F.col("b")).alias("d")).where("d is not null")
-    interval = each.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
-    # One row each.
-    observed = seen[0].join(F.broadcast(seen[1])).select((F.col("a") - F.col("b")).alias("observed"))
-    return observed.join(F.broadcast(interval))
+def paired_difference(left: DataFrame, right: DataFrame, metric: str = "field_accuracy_all", resamples: int = RESAMPLES, seed: int = RESAMPLING_SEED) -> DataFrame:
+    """(observed, low, high) of the difference of a metric, on the same draws of common messages.
+
+    Without a draw in which both have a value the interval is the observed difference.
+    """
+    both = left.select("message_id", *(F.col(c).alias(f"a_{c}") for c in _RATED)).join(right.select("message_id", *(F.col(c).alias(f"b_{c}") for c in _RATED)), "message_id")
+    side = lambda t, k, keep: metrics(t.select(*keep, *(F.col(f"{k}_{c}").alias(c) for c in _RATED)), keep).select(*keep, F.col(metric).alias(k))
+    drawn = resampled(both, resamples, seed)
+    # A row a draw, and one row of all.
+    each = side(drawn, "a", ["draw"]).join(side(drawn, "b", ["draw"]), "draw").select((F.col("a") - F.col("b")).alias("d"))
+    interval = each.where("d is not null").agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+    total = both.agg(*(F.sum(f"{k}_{c}").alias(f"{k}_{c}") for k in "ab" for c in _RATED)).withColumn("one", F.lit(1))
+    observed = side(total, "a", ["one"]).join(side(total, "b", ["one"]), "one").select((F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("observed"), "one")
+    out = observed.join(F.broadcast(interval.withColumn("one", F.lit(1))), "one")
+    return out.select("observed", F.coalesce("low", "observed").alias("low"), F.coalesce("high", "observed").alias("high"))
+
+
+def without_ambiguous(scores: DataFrame) -> DataFrame:
+    """Without messages whose next weekday can be read in two ways."""
+    return scores.where(~F.coalesce(F.array_contains("tags", AMBIGUOUS_TAG), F.lit(False)))
+
+
+def without_boundary(scores: DataFrame) -> DataFrame:
+    """Without traps that are traps by a convention."""
+    return scores.where(~F.coalesce(F.array_contains("tags", BOUNDARY_TAG), F.lit(False)))
 
 
 def halves_gap(counters: DataFrame, half: Column, flag_above: float = 0.05) -> DataFrame:

@@ -70,65 +70,110 @@ MESSAGES = """msg AS (
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of an order: its lineitems, numbered by a total order."""
+    """Events of an order: its lineitems, numbered by a total order, with keys and accepted types for some fields."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    text = lambda c: c.cast("string")
+    keys = "array<array<string>>"
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("message_id"),
         (F.row_number().over(w) - 1).cast("int").alias("gold_idx"),
-        F.concat(F.lit("part "), (F.col("l_partkey") % 20).cast("string")).alias("title"),
+        F.concat(F.lit("part "), text(part % 20)).alias("event_title"),
+        F.when(part % 3 != 0, F.array(F.array(F.concat(F.lit("Part "), text(part % 20)), F.concat(F.lit("item "), text(part % 20))))).cast(keys).alias("event_title_keys"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
-        F.concat(F.lpad((F.col("l_partkey") % 24).cast("string"), 2, "0"), F.lit(":00")).alias("time"),
-        F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("hall "), (F.col("l_suppkey") % 9).cast("string"))).alias("location"),
+        F.concat(F.lpad(text(part % 24), 2, "0"), F.lit(":00")).alias("time"),
+        F.when(supp % 4 != 0, F.concat(F.lit("hall "), text(supp % 9))).alias("location"),
+        F.when(supp % 2 == 0, F.array(F.array(F.lit("Hall"), F.lit("room")), F.array(text(supp % 9)))).cast(keys).alias("location_keys"),
+        F.when(part % 4 != 0, F.concat(F.lit("Dept. No "), text(part % 6))).alias("organizer"),
+        F.concat(F.lit("students of year "), text(F.col("l_linenumber"))).alias("target_audience"),
+        F.array(F.array(F.concat(F.lit("YEAR  "), text(F.col("l_linenumber"))))).alias("target_audience_keys"),
+        F.element_at(F.array(*map(F.lit, ["lecture", "seminar", "workshop"])), (part % 3 + 1).cast("int")).alias("event_type"),
+        F.when(supp % 2 == 0, F.array(F.lit("webinar"))).alias("event_type_accept"),
+        F.when(supp % 3 != 0, "true").alias("description"), F.lit("en").alias("language"),
+        F.when(part % 5 == 1, F.concat(F.lit("https://a.example/"), text(part % 7))).alias("link"),
+        F.when(supp % 6 == 1, F.concat(F.lit("ID 12 34 "), text(part % 10))).alias("meeting_code"),
+        F.when(part % 2 == 0, F.array(F.array(F.concat(F.lit("1234"), text(part % 10)), F.lit("none")))).cast(keys).alias("meeting_code_keys"),
         (F.col("l_linenumber") % 2 == 0).alias("inferred"),
         "l_partkey", "l_suppkey",
     )
 
 
 def predicted(spark: SparkSession, sf_dir: str, shift: int = 7) -> DataFrame:
-    """What a model might say of them: some events dropped, some dates shifted, some times left out."""
+    """What a model might say of them: some events dropped, some dates shifted, some fields left out, made up or put otherwise."""
     from pyspark.sql import Window
 
-    kept = gold(spark, sf_dir).where((F.col("l_partkey") + F.col("l_suppkey")) % 11 != 0)
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    kept = gold(spark, sf_dir).where((part + supp) % 11 != 0)
     w = Window.partitionBy("message_id").orderBy("gold_idx")
     moved = F.date_format(F.date_add(F.col("date").cast("date"), 1), "yyyy-MM-dd")
     return kept.select(
         "message_id", (F.row_number().over(w) - 1).cast("int").alias("pred_idx"),
-        F.when(F.col("l_partkey") % 5 == 0, F.lit("other")).otherwise(F.upper("title")).alias("title"),
-        F.when(F.col("l_partkey") % shift == 0, moved).otherwise(F.col("date")).alias("date"),
-        F.when(F.col("l_suppkey") % 5 != 0, F.col("time")).alias("time"),
-        F.when(F.col("l_suppkey") % 3 == 0, F.lit("hall 1")).otherwise(F.col("location")).alias("location"),
+        F.when(part % 5 == 0, F.lit("other")).otherwise(F.upper("event_title")).alias("event_title"),
+        F.when(part % shift == 0, moved).otherwise(F.col("date")).alias("date"),
+        F.when(supp % 5 != 0, F.concat(F.lit("at "), F.ltrim(F.regexp_replace("time", "^0", "")))).alias("time"),
+        F.when(supp % 3 == 0, F.lit("hall 1")).otherwise(F.upper("location")).alias("location"),
+        F.when(part % 9 == 0, None).when(supp % 7 == 0, "DEPT. NO 1").when(part % 8 == 0, "Someone").otherwise(F.upper("organizer")).alias("organizer"),
+        F.when(supp % 5 != 0, F.concat(F.lit("Year "), F.element_at(F.split("target_audience", " "), -1), F.lit(" students"))).otherwise("everyone").alias("target_audience"),
+        F.when(part % 4 == 1, "webinar").otherwise(F.col("event_type")).alias("event_type"),
+        F.when(supp % 4 == 0, "  ").otherwise("details").alias("description"),
+        F.when(part % 10 == 3, " en ").when(part % 10 == 4, "uk").otherwise("en").alias("language"),
+        F.when(supp % 4 == 1, "https://b.example").otherwise(F.concat(F.lit(" "), "link", F.lit(").,"))).alias("link"),
+        F.when(supp % 5 == 2, "code 1234").otherwise(F.regexp_replace("meeting_code", "ID 12 ", "id 1 2")).alias("meeting_code"),
     )
 
 
 GOLD = """gold AS (
   SELECT l_orderkey AS message_id,
          (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS gold_idx,
-         'part ' || (l_partkey % 20)::VARCHAR AS title, strftime(l_shipdate, '%Y-%m-%d') AS date,
-         lpad((l_partkey % 24)::VARCHAR, 2, '0') || ':00' AS time,
+         'part ' || (l_partkey % 20)::VARCHAR AS event_title,
+         CASE WHEN l_partkey % 3 = 0 THEN [['part ' || (l_partkey % 20)::VARCHAR]] ELSE [['part ' || (l_partkey % 20)::VARCHAR, 'item ' || (l_partkey % 20)::VARCHAR]] END AS event_title_keys,
+         strftime(l_shipdate, '%Y-%m-%d') AS date, lpad((l_partkey % 24)::VARCHAR, 2, '0') || ':00' AS time,
          CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'hall ' || (l_suppkey % 9)::VARCHAR END AS location,
+         CASE WHEN l_suppkey % 2 = 0 THEN [['hall', 'room'], [(l_suppkey % 9)::VARCHAR]] ELSE [['hall ' || (l_suppkey % 9)::VARCHAR]] END AS location_keys,
+         CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'Dept. No ' || (l_partkey % 6)::VARCHAR END AS organizer, [['dept. no ' || (l_partkey % 6)::VARCHAR]] AS organizer_keys,
+         'students of year ' || l_linenumber::VARCHAR AS target_audience, [['year ' || l_linenumber::VARCHAR]] AS target_audience_keys,
+         ['lecture', 'seminar', 'workshop'][(l_partkey % 3 + 1)::INT] AS event_type, CASE WHEN l_suppkey % 2 = 0 THEN ['webinar'] ELSE []::VARCHAR[] END AS event_type_accept,
+         CASE WHEN l_suppkey % 3 <> 0 THEN 'true' END AS description, 'en' AS language,
+         CASE WHEN l_partkey % 5 = 1 THEN 'https://a.example/' || (l_partkey % 7)::VARCHAR END AS link,
+         CASE WHEN l_suppkey % 6 = 1 THEN 'ID 12 34 ' || (l_partkey % 10)::VARCHAR END AS meeting_code,
+         CASE WHEN l_partkey % 2 = 0 THEN [['1234' || (l_partkey % 10)::VARCHAR, 'none']] ELSE [['id1234' || (l_partkey % 10)::VARCHAR]] END AS meeting_code_keys,
          l_linenumber % 2 = 0 AS inferred, l_partkey, l_suppkey
   FROM lineitem)"""
 
 
 def predicted_sql(name: str = "pred", shift: int = 7) -> str:
+    """Values that are white space alone are null here."""
     return f"""{name} AS (
   SELECT message_id, (row_number() OVER (PARTITION BY message_id ORDER BY gold_idx) - 1)::INT AS pred_idx,
-         CASE WHEN l_partkey % 5 = 0 THEN 'other' ELSE upper(title) END AS title,
+         CASE WHEN l_partkey % 5 = 0 THEN 'other' ELSE upper(event_title) END AS event_title,
          CASE WHEN l_partkey % {shift} = 0 THEN strftime(date::DATE + 1, '%Y-%m-%d') ELSE date END AS date,
-         CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE time END AS time,
-         CASE WHEN l_suppkey % 3 = 0 THEN 'hall 1' ELSE location END AS location
+         CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'at ' || regexp_replace(time, '^0', '') END AS time,
+         CASE WHEN l_suppkey % 3 = 0 THEN 'hall 1' ELSE upper(location) END AS location,
+         CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_suppkey % 7 = 0 THEN 'DEPT. NO 1' WHEN l_partkey % 8 = 0 THEN 'Someone' ELSE upper(organizer) END AS organizer,
+         CASE WHEN l_suppkey % 5 <> 0 THEN 'Year ' || string_split(target_audience, ' ')[-1] || ' students' ELSE 'everyone' END AS target_audience,
+         CASE WHEN l_partkey % 4 = 1 THEN 'webinar' ELSE event_type END AS event_type,
+         CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'details' END AS description,
+         CASE WHEN l_partkey % 10 = 3 THEN ' en ' WHEN l_partkey % 10 = 4 THEN 'uk' ELSE 'en' END AS language,
+         CASE WHEN l_suppkey % 4 = 1 THEN 'https://b.example' ELSE ' ' || link || ').,' END AS link,
+         CASE WHEN l_suppkey % 5 = 2 THEN 'code 1234' ELSE replace(meeting_code, 'ID 12 ', 'id 1 2') END AS meeting_code
   FROM gold WHERE (l_partkey + l_suppkey) % 11 <> 0)"""
 
 
 def scored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("o_orderpriority").startswith("5"), "trap").when(F.col("o_orderpriority").startswith("4"), "individual").otherwise("announcement")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_id"), kind.alias("kind"))
+    n = F.col("o_orderkey")
+    tags = F.array_compact(F.array(F.when(n % 13 == 0, "ambiguous:next_weekday"), F.when(n % 17 == 0, "boundary")))
+    category = F.concat(kind, F.lit(":"), F.element_at(F.array(*map(F.lit, ["poll", "past_report", "advert"])), (n % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "orders").select(
+        n.alias("message_id"), kind.alias("kind"), category.alias("category"), tags.alias("tags"), F.when(n % 29 == 0, "unavailable").alias("error")
+    )
 
 
 SCORED = """scored AS (
-  SELECT o_orderkey AS message_id, CASE WHEN o_orderpriority LIKE '5%' THEN 'trap' WHEN o_orderpriority LIKE '4%' THEN 'individual' ELSE 'announcement' END AS kind
+  SELECT o_orderkey AS message_id, CASE WHEN o_orderpriority LIKE '5%' THEN 'trap' WHEN o_orderpriority LIKE '4%' THEN 'individual' ELSE 'announcement' END AS kind,
+         o_orderkey % 13 = 0 AS ambiguous, o_orderkey % 17 = 0 AS boundary, o_orderkey % 29 = 0 AS failed, ['poll', 'past_report', 'advert'][(o_orderkey % 3 + 1)::INT] AS subtype
   FROM orders)"""
 
 
