@@ -30,30 +30,61 @@ def claim(jobs: DataFrame, batch: int, now: str) -> DataFrame:
     return ready.withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "locked_at": moment(now)})
 
 
+#: What is said of jobs whose worker fell silent.
+LOST, REQUEUED = "Воркер не завершил задачу за отведённое время", "Задача возвращена в очередь: воркер не отчитался"
+
+
+def _kept(jobs: DataFrame, column: str, kind: str) -> Column:
+    return F.col(column) if column in jobs.columns else F.lit(None).cast(kind)
+
+
+def _free() -> dict[str, Column]:
+    return {"locked_at": F.lit(None).cast("timestamp_ntz"), "locked_by": F.lit(None).cast("string")}
+
+
 def requeue_stale(jobs: DataFrame, lease_seconds: int, max_attempts: int, now: str) -> DataFrame:
-    """Jobs whose lock is older than the lease: queued again, or failed after too many attempts."""
+    """Jobs whose lock is older than the lease: free and due again, or failed and finished after too many attempts."""
     limit = moment(now) - F.make_dt_interval(secs=F.lit(lease_seconds))
     stale = jobs.where((F.col("status") == "processing") & (F.col("locked_at") < limit))
-    return stale.withColumn("status", F.when(F.col("attempts") >= max_attempts, "failed").otherwise("queued"))
+    over = F.col("attempts") >= max_attempts
+    return stale.withColumns(
+        {
+            "status": F.when(over, "failed").otherwise("queued"), "available_at": F.when(over, F.col("available_at")).otherwise(moment(now)),
+            "finished_at": F.when(over, moment(now)).otherwise(_kept(jobs, "finished_at", "timestamp_ntz")), "last_error": F.when(over, LOST).otherwise(REQUEUED), **_free(),
+        }
+    )
 
 
 def mark_done(jobs: DataFrame, which: Column, now: str) -> DataFrame:
-    return jobs.withColumns({"status": F.when(which, "done").otherwise(F.col("status")), "finished_at": F.when(which, moment(now))})
+    """Finished without error and free; other jobs stay as they are."""
+    set_to = {"status": F.lit("done"), "finished_at": moment(now), "last_error": F.lit(None).cast("string"), **_free()}
+    kinds = {"status": "string", "finished_at": "timestamp_ntz", "last_error": "string", "locked_at": "timestamp_ntz", "locked_by": "string"}
+    return jobs.withColumns({c: F.when(which, v).otherwise(_kept(jobs, c, kinds[c])) for c, v in set_to.items()})
 
 
 def mark_failed(jobs: DataFrame, error: Column, backoff_seconds: int, max_attempts: int, now: str) -> DataFrame:
-    """Failed for good after so many attempts, else queued after a wait that doubles each time."""
+    """Failed for good after so many attempts, else queued after a wait that doubles each time; free either way."""
     over = F.col("attempts") >= max_attempts
     wait = F.lit(backoff_seconds) * F.pow(F.lit(2), F.greatest(F.col("attempts") - 1, F.lit(0)))
     later = moment(now) + F.make_dt_interval(secs=wait)
     return jobs.withColumns(
-        {"status": F.when(over, "failed").otherwise("queued"), "available_at": F.when(over, F.col("available_at")).otherwise(later), "last_error": F.substring(error, 1, ERROR_CHARS)}
+        {
+            "status": F.when(over, "failed").otherwise("queued"), "available_at": F.when(over, F.col("available_at")).otherwise(later),
+            "finished_at": F.when(over, moment(now)).otherwise(_kept(jobs, "finished_at", "timestamp_ntz")), "last_error": F.substring(error, 1, ERROR_CHARS), **_free(),
+        }
+    )
+
+
+def release(jobs: DataFrame, now: str, reason: Column | None = None) -> DataFrame:
+    """Back to the queue without a penalty, due at once."""
+    return jobs.withColumns(
+        {"status": F.lit("queued"), "attempts": F.greatest(F.col("attempts") - 1, F.lit(0)), "available_at": moment(now), "last_error": F.lit(None).cast("string") if reason is None else reason, **_free()}
     )
 
 
-def release(jobs: DataFrame) -> DataFrame:
-    """Back to the queue without a penalty."""
-    return jobs.withColumns({"status": F.lit("queued"), "attempts": F.greatest(F.col("attempts") - 1, F.lit(0)), "locked_at": F.lit(None).cast("timestamp_ntz")})
+def due_again(jobs: DataFrame, batch_time: str) -> DataFrame:
+    """The retry table of a micro-batch: failed before, waited long enough."""
+    return jobs.where((F.col("status") == "queued") & (F.col("attempts") > 0) & (F.col("available_at") <= moment(batch_time)))
 
 
 def recent(jobs: DataFrame, limit: int = 50, status: str | None = None) -> DataFrame:

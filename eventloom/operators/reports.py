@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FATES = ["saved", "duplicate", "filtered", "individual", "stale", "language"]
 
 
-def nth_value(values: Column, index: Column) -> Column:
-    """The value at a place (from 0) of the sorted values."""
-    return F.element_at(F.sort_array(F.collect_list(values)), (index + 1).cast("int"))
+def upper_median(n: Column) -> Column:
+    """The place (from 0) of the middle of n sorted values, the upper one of two: by index, not interpolated."""
+    return F.floor(n / 2)
+
 
+def p95(n: Column) -> Column:
+    return F.least(n - 1, F.floor(n * 0.95))
 
-def upper_median(values: Column) -> Column:
-    """The middle of the sorted values, the upper one of two: by index, not interpolated."""
-    return nth_value(values, F.floor(F.count(values) / 2))
 
+def placed_values(df: DataFrame, by: str, value: str, places: dict[str, Callable[[Column], Column]], width: float = 1.0) -> DataFrame:
+    """One row a group: the values at places of its sorted values, each place a function of their number.
 
-def p95(values: Column) -> Column:
-    n = F.count(values)
-    return nth_value(values, F.least(n - 1, F.floor(n * 0.95)))
+    Values are counted (map-side first) by ranges of ``width``; running sums over a group's
+    ranges tell in which one a place lies, and only the values of that range are put in order.
+    """
+    v = F.col(value)
+    counts = df.where(v.isNotNull()).groupBy(by, F.floor(v / width).alias("__r"), v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ranges = counts.groupBy(by, "__r").agg(F.sum("__c").alias("__in"))
+    of = Window.partitionBy(by).orderBy("__r")
+    ranges = ranges.withColumn("__before", F.sum("__in").over(of) - F.col("__in")).withColumn("__n", F.sum("__in").over(Window.partitionBy(by)))
+    wanted = F.array(*(F.struct(F.lit(k).alias("name"), f(F.col("__n")).cast("long").alias("at")) for k, f in places.items()))
+    aims = ranges.select(by, "__r", "__before", "__in", F.explode(wanted).alias("x"))
+    aims = aims.where((F.col("x.at") >= F.col("__before")) & (F.col("x.at") < F.col("__before") + F.col("__in")))
+    aims = aims.select(by, "__r", F.col("x.name").alias("__name"), (F.col("x.at") - F.col("__before")).alias("__at"))
+    inside = counts.join(aims, [by, "__r"])
+    inside = inside.withColumn("__upto", F.sum("__c").over(Window.partitionBy(by, "__name").orderBy("__v")))
+    found = inside.where((F.col("__at") < F.col("__upto")) & (F.col("__at") >= F.col("__upto") - F.col("__c")))
+    return found.groupBy(by).agg(*(F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(k) for k in places))
 
 
 def latency_table(runs: DataFrame, by: str, seconds: str) -> DataFrame:
+    timed = runs.where(F.col(seconds) > 0)
     s = F.col(seconds)
-    return runs.where(s > 0).groupBy(by).agg(
-        upper_median(s).alias("median"), p95(s).alias("p95"), F.min(s).alias("least"), F.max(s).alias("most"), (F.sum(s) / 60).alias("minutes")
-    )
+    totals = timed.groupBy(by).agg(F.avg(s).alias("mean"), F.min(s).alias("least"), F.max(s).alias("most"), (F.sum(s) / 60).alias("minutes"))
+    return placed_values(timed, by, seconds, {"median": upper_median, "p95": p95}).join(totals, by)
 
 
 def bench_summary(runs: DataFrame) -> DataFrame:
@@ -53,9 +70,12 @@ def destinies(events: DataFrame) -> DataFrame:
     """
     gate = F.when(~F.col("is_candidate"), "filtered").when(F.col("is_foreign"), "language").when(F.col("is_individual"), "individual").when(F.col("is_stale"), "stale")
     gated = events.withColumn("__gate", gate)
-    first = F.row_number().over(Window.partitionBy("content_hash", F.col("__gate").isNull()).orderBy("index", "ordinal")) == 1
-    fate = F.coalesce("__gate", F.when(first, "saved").otherwise("duplicate"))
-    return gated.withColumn("fate", fate).drop("__gate").withColumn("feed", F.when(F.col("fate") == "saved", F.when(F.col("date").isNull(), "no_date").otherwise("feed")))
+    # The first of a hash by a minimum, map-side, and a join on the row's own keys: a common hash is no hot key.
+    first = gated.where("__gate is null").groupBy("content_hash").agg(F.min(F.struct("index", "ordinal")).alias("__f"))
+    first = first.select("content_hash", "__f.index", "__f.ordinal", F.lit(True).alias("__first"))
+    fate = F.coalesce("__gate", F.when(F.col("__first"), "saved").otherwise("duplicate"))
+    marked = gated.join(first, ["content_hash", "index", "ordinal"], "left").withColumn("fate", fate).drop("__gate", "__first")
+    return marked.withColumn("feed", F.when(F.col("fate") == "saved", F.when(F.col("date").isNull(), "no_date").otherwise("feed")))
 
 
 def summarize_destinies(events: DataFrame) -> DataFrame:

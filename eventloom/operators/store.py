@@ -6,11 +6,15 @@ current version, apply, write the next. ``write_version`` does that with Parquet
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.schedule import event_start
 from eventloom.functions.text import content_hash, fit
+from eventloom.sources.sinks import notification_body
 
 FIELDS = ["event_title", "date", "time", "location", "organizer", "target_audience", "event_type", "description", "language", "link", "meeting_code"]
 
@@ -58,19 +62,19 @@ def merge_batch(current: DataFrame, batch: DataFrame) -> DataFrame:
     keyed = batch.withColumn("content_hash", content_hash(F.col("event_title"), F.col("date")))
     source = F.when(F.col("channel").isNotNull() & F.col("message_id").isNotNull(), F.struct("channel", "message_id"))
     keyed = keyed.withColumn("__key", F.coalesce(F.to_json(source), F.concat(F.lit("#"), F.col("ordinal").cast("string"))))
-    last = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.desc("ordinal")))).where("__n = 1")
+    # Last of a key and first of a hash by a maximum and a minimum, map-side: a common hash is no hot key.
+    row = ["channel", "message_id", "event_title", "date", "content_hash"]
+    last = keyed.groupBy("__key").agg(F.max(F.struct("ordinal", *row)).alias("__r")).select("__r.*")
     held = current.select("channel", "message_id", F.lit(True).alias("__exact"))
     known = current.select("content_hash").distinct().withColumn("__known", F.lit(True))
     marked = last.join(held, ["channel", "message_id"], "left").join(known, "content_hash", "left")
-    # Of new rows with one hash the first stays.
-    first = Window.partitionBy("content_hash", F.col("__exact").isNull()).orderBy("ordinal")
-    marked = marked.withColumn("__first", F.row_number().over(first))
     over = marked.where("__exact").select("channel", "message_id", *(F.col(c).alias(f"__{c}") for c in ("event_title", "date", "content_hash")))
     changed = current.join(over, ["channel", "message_id"], "left")
     hit = F.col("__content_hash").isNotNull()
     changed = changed.select(*(F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in ("event_title", "date", "content_hash") else F.col(c) for c in current.columns))
-    new = marked.where("__exact is null and __known is null and __first = 1")
-    new = new.select("channel", "message_id", "event_title", "date", "content_hash", F.lit("pending").alias("status"))
+    # Of new rows with one hash the first stays.
+    new = marked.where("__exact is null and __known is null").groupBy("content_hash").agg(F.min(F.struct("ordinal", "channel", "message_id", "event_title", "date")).alias("__r"))
+    new = new.select("__r.channel", "__r.message_id", "__r.event_title", "__r.date", "content_hash", F.lit("pending").alias("status"))
     return changed.unionByName(new.select(*current.columns))
 
 
@@ -78,23 +82,32 @@ def fold_batch(batch: DataFrame, groups: Column) -> DataFrame:
     """The exact row-by-row upsert into an empty table, one ordered fold for each group.
 
     ``groups`` must put rows that can meet (by source key or content hash) into one group, as a
-    micro-batch's channel does. A group's rows are one array, so this is for small batches.
+    micro-batch's channel does where titles are its own. A group is folded in one pass over its
+    rows with two dictionaries, by one task: this is for micro-batches, ``merge_batch`` for more.
     """
-    keyed = batch.withColumn("content_hash", content_hash(F.col("event_title"), F.col("date")))
-    row = F.struct("ordinal", "message_id", "event_title", "date", "content_hash")
-    grouped = keyed.groupBy(groups.alias("channel")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def step(acc: Column, r: Column) -> Column:
-        exact = F.exists(acc, lambda e: e["message_id"] == r["message_id"])
-        known = F.exists(acc, lambda e: e["content_hash"] == r["content_hash"])
-        new = F.struct(r["ordinal"].alias("id"), r["message_id"].alias("message_id"), r["event_title"].alias("event_title"), r["date"].alias("date"), r["content_hash"].alias("content_hash"))
-        swapped = F.transform(acc, lambda e: F.when(e["message_id"] == r["message_id"], F.struct(e["id"].alias("id"), r["message_id"].alias("message_id"), r["event_title"].alias("event_title"), r["date"].alias("date"), r["content_hash"].alias("content_hash"))).otherwise(e))
-        return F.when(F.coalesce(exact, F.lit(False)), swapped).when(known, acc).otherwise(F.concat(acc, F.array(new)))
-
+    keyed = batch.withColumn("content_hash", content_hash(F.col("event_title"), F.col("date"))).withColumn("__group", groups)
     kinds = dict(keyed.dtypes)
-    empty = F.array().cast(f"array<struct<id:{kinds['ordinal']},message_id:{kinds['message_id']},event_title:string,date:date,content_hash:string>>")
-    folded = grouped.select("channel", F.explode(F.aggregate("rows", empty, step)).alias("e"))
-    return folded.select("channel", "e.*")
+    columns = ["ordinal", "message_id", "event_title", "date", "content_hash"]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict[object, list] = {}
+        uses: Counter[str] = Counter()
+        for row in rows.sort_values("ordinal")[["channel", *columns]].itertuples(index=False, name=None):
+            channel, ordinal, message_id, title, date, digest = row
+            # A null source key matches no row.
+            key = ordinal if pd.isna(channel) or pd.isna(message_id) else (channel, message_id)
+            if key in held:
+                uses[held[key][-1]] -= 1
+                held[key][2:] = [message_id, title, date, digest]
+            elif uses[digest] > 0:
+                continue
+            else:
+                held[key] = [channel, ordinal, message_id, title, date, digest]
+            uses[digest] += 1
+        return pd.DataFrame(list(held.values()), columns=["channel", "id", "message_id", "event_title", "date", "content_hash"])
+
+    schema = f"channel {kinds['channel']}, id {kinds['ordinal']}, message_id {kinds['message_id']}, event_title string, date date, content_hash string"
+    return keyed.groupBy("__group").applyInPandas(fold, schema)
 
 
 def patched(events: DataFrame, patches: DataFrame) -> DataFrame:
@@ -114,7 +127,8 @@ def patched(events: DataFrame, patches: DataFrame) -> DataFrame:
 def notifications(events: DataFrame, approved: Column, asof: str) -> DataFrame:
     """(id, title, body) of what is told on approval: only events that are not over."""
     today = F.lit(asof).cast("date")
-    body = F.concat_ws(", ", F.coalesce(F.col("date").cast("string"), F.lit("дата уточнюється")), "time")
+    place = F.col("location") if "location" in events.columns else F.lit(None).cast("string")
+    body = notification_body(F.col("date"), F.col("time"), place)
     return events.where(approved & (F.col("date").isNull() | (F.col("date") >= today))).select("id", F.col("event_title").alias("title"), body.alias("body"))
 
 
