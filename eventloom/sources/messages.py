@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OBJECT = "source_message_id string, id string, source_channel string, channel string, date string, text string, _expect string"
@@ -30,12 +30,24 @@ def _checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select(*MESSAGE), warned.where("warning is not null").select("message_id", "warning")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, at): the lines of text files with their place (from 1) in the file, however a file is split.
+
+    Lines are counted in each split; a split starts where the counts of those before it end.
+    """
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    )
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    starts = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("line", (F.col("id") + F.col("shift") + 1).alias("at"))
+
+
 def load_jsonl(spark: SparkSession, path: str, today: str) -> tuple[DataFrame, DataFrame]:
-    """A JSON object a line; blank lines and those that start with # are skipped. Lines are
-    numbered by file and place (text files keep their order within a file)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("at", "line"))
-    kept = lines.where(~F.col("line").rlike(r"^\s*(#|$)"))
-    objects = kept.select((F.col("at") + 1).cast("long").alias("at"), F.from_json("line", OBJECT).alias("o"))
+    """A JSON object a line; blank lines and those that start with # are skipped."""
+    kept = numbered_lines(spark, path).where(~F.col("line").rlike(r"^\s*(#|$)"))
+    objects = kept.select("at", F.from_json("line", OBJECT).alias("o"))
     return _checked(objects.select(*_message(F.col("o"), F.col("at"), today)))
 
 
@@ -66,21 +78,34 @@ def load_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_messages(spark: SparkSession, path: str, today: str) -> tuple[DataFrame, DataFrame]:
-    """Whatever of the three the file is, by its first character; pretty-printed exports too."""
-    head = spark.read.text(path, wholetext=True).select(
-        F.substring(F.ltrim(F.regexp_replace("value", "^﻿", "")), 1, 1).alias("first"),
-        F.get_json_object("value", "$.messages").isNotNull().alias("export"),
+    """Whatever of the three the file is, by its first line that says something.
+
+    Lines of JSON may be of any number; an array or an export is one value, so one task reads
+    the whole file, of at most the 2 GB that a row can hold.
+    """
+    lines = spark.read.text(path).select(F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("line")).where(~F.col("line").rlike(r"^\s*(#|$)"))
+    head = lines.select(
+        F.substring("line", 1, 1).alias("first"), F.get_json_object("line", "$.messages").isNotNull().alias("export"), F.get_json_object("line", "$").isNotNull().alias("whole")
     ).first()
-    if head is None or not head["first"]:
+    if head is None:
         empty = spark.createDataFrame([], "message_id long, date date, text string, channel string, note string")
         return empty, spark.createDataFrame([(None, "the file is empty")], "message_id long, warning string")
     if head["first"] == "[":
         return load_array(spark, path, today)
-    if head["first"] == "{" and head["export"]:
+    if head["first"] == "{" and (head["export"] or not head["whole"]):
         return load_export(spark, path), spark.createDataFrame([], "message_id long, warning string")
     return load_jsonl(spark, path, today)
 
 
+def manual_posts(posts: DataFrame) -> DataFrame:
+    """Posts that an admin sends by hand (chat_id, message_id, text, caption, origin_date, date): a forwarded post keeps the
+    date of its origin; the channel names the chat; posts without any text are left out."""
+    text = F.coalesce(F.when(F.col("text") != "", F.col("text")), F.when(F.col("caption") != "", F.col("caption")))
+    return posts.where(text.isNotNull()).select(
+        "message_id", F.concat(F.lit("manual:"), F.col("chat_id").cast("string")).alias("channel"), text.alias("text"), F.coalesce("origin_date", "date").cast("date").alias("ref_date")
+    )
+
+
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
     """The last n of a history, in order."""
     return messages.orderBy(F.desc("message_id")).limit(n).orderBy("message_id")
