@@ -7,18 +7,18 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import grounding, meeting, rules, schedule
 from eventloom.functions import text as texts
-from eventloom.operators import feed, jobs, reports, scoring, store
+from eventloom.operators import dataset, feed, jobs, reports, review, scoring, store
 from eventloom.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FIELDS = ["title", "date", "time", "location"]
+FIELDS = scoring.FIELDS
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -135,18 +135,17 @@ def event_starts(spark, sf_dir):
 _HASH = "sha256(trim(regexp_replace(regexp_replace(lower(event_title), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || '|' || coalesce(strftime(date, '%Y-%m-%d'), ''))"
 
 
-def _batch(spark, sf_dir):
-    """A batch of posts: channels of some users, ids that repeat, events as titles and dates."""
-    e = fx.calendar(spark, sf_dir).where("id % 3 = 0")
-    return e.select(
-        F.concat(F.lit("c"), (F.col("id") % 40).cast("string")).alias("channel"), (F.col("id") % 900).alias("message_id"), "event_title", "date", F.col("id").alias("ordinal")
-    )
+_POSTED = "'c' || (id % 40)::VARCHAR AS channel, id % 900 AS message_id"
 
 
-_BATCH = """bat AS (SELECT 'c' || (id % 40)::VARCHAR AS channel, id % 900 AS message_id, event_title, date, id AS ordinal FROM cal WHERE id % 3 = 0)"""
+def _posts(spark, sf_dir, own_titles=False):
+    """Posts of forty channels whose ids repeat, with events as titles and dates; a channel's titles may be its own."""
+    channel = F.concat(F.lit("c"), (F.col("id") % 40).cast("string"))
+    title = F.concat(channel, F.lit(" "), "event_title") if own_titles else F.col("event_title")
+    return fx.calendar(spark, sf_dir).select(channel.alias("channel"), (F.col("id") % 900).alias("message_id"), title.alias("event_title"), "date", "status", F.col("id").alias("ordinal"))
 
 
-@query(f"""WITH RECURSIVE {fx.CALENDAR}, {_BATCH}, s AS (
+@query(f"""WITH RECURSIVE {fx.CALENDAR}, bat AS (SELECT {_POSTED}, 'c' || (id % 40)::VARCHAR || ' ' || event_title AS event_title, date, id AS ordinal FROM cal), s AS (
   SELECT *, {_HASH} AS h, row_number() OVER (PARTITION BY channel ORDER BY ordinal) AS k FROM bat
 ), f AS (
   SELECT channel, 0::BIGINT AS k, []::STRUCT(id BIGINT, m BIGINT, t VARCHAR, d DATE, h VARCHAR)[] AS st FROM (SELECT DISTINCT channel FROM s)
@@ -160,28 +159,33 @@ _BATCH = """bat AS (SELECT 'c' || (id % 40)::VARCHAR AS channel, id % 900 AS mes
 ), z AS (SELECT channel, unnest(arg_max(st, k)) AS e FROM f GROUP BY channel)
 SELECT channel, e.id AS id, e.m AS message_id, e.t AS event_title, strftime(e.d, '%Y-%m-%d') AS date, e.h AS content_hash FROM z""")
 def upsert_fold(spark, sf_dir):
-    return _as_text(store.fold_batch(_batch(spark, sf_dir), F.col("channel")))
+    """All posts, row by row: channels that keep their own titles never meet."""
+    return _as_text(store.fold_batch(_posts(spark, sf_dir, own_titles=True), F.col("channel")))
 
 
 @query(f"""WITH {fx.CALENDAR}, cur AS (
-  SELECT 'c' || (id % 40)::VARCHAR AS channel, id % 900 AS message_id, event_title, date, {_HASH} AS content_hash, status,
-         row_number() OVER (PARTITION BY 'c' || (id % 40)::VARCHAR, id % 900 ORDER BY id) AS k FROM cal WHERE id % 5 = 1
-), c AS (SELECT * FROM cur WHERE k = 1), {_BATCH}, b AS (
-  SELECT *, {_HASH} AS content_hash, row_number() OVER (PARTITION BY channel, message_id ORDER BY ordinal DESC) AS n FROM bat
-), l AS (
-  SELECT b.*, EXISTS (SELECT 1 FROM c WHERE c.channel = b.channel AND c.message_id = b.message_id) AS ex, b.content_hash IN (SELECT content_hash FROM c) AS kn FROM b WHERE n = 1
+  SELECT {_POSTED}, event_title, date, {_HASH} AS content_hash, status, row_number() OVER (PARTITION BY 'c' || (id % 40)::VARCHAR, id % 900 ORDER BY id) AS k FROM cal WHERE id % 3 <> 0
+), c AS (SELECT * FROM cur WHERE k = 1), b AS (
+  SELECT {_POSTED}, event_title, date, id AS ordinal, {_HASH} AS content_hash FROM cal WHERE id % 3 = 0
+  UNION ALL SELECT channel, message_id, event_title, date, 1000000000 + row_number() OVER (ORDER BY channel, message_id, k), content_hash FROM cur WHERE k > 1
+), n AS (SELECT *, row_number() OVER (PARTITION BY channel, message_id ORDER BY ordinal DESC) AS n FROM b), l AS (
+  SELECT n.*, EXISTS (SELECT 1 FROM c WHERE c.channel = n.channel AND c.message_id = n.message_id) AS ex, n.content_hash IN (SELECT content_hash FROM c) AS kn FROM n WHERE n = 1
 ), m AS (SELECT *, row_number() OVER (PARTITION BY content_hash, ex ORDER BY ordinal) AS f FROM l)
 SELECT c.channel, c.message_id, coalesce(m.event_title, c.event_title) AS event_title, strftime(CASE WHEN m.channel IS NULL THEN c.date ELSE m.date END, '%Y-%m-%d') AS date,
        coalesce(m.content_hash, c.content_hash) AS content_hash, c.status
 FROM c LEFT JOIN m ON m.ex AND m.channel = c.channel AND m.message_id = c.message_id
 UNION ALL SELECT channel, message_id, event_title, strftime(date, '%Y-%m-%d'), content_hash, 'pending' FROM m WHERE NOT ex AND NOT kn AND f = 1""")
 def upsert_merge(spark, sf_dir):
-    current = fx.calendar(spark, sf_dir).where("id % 5 = 1").select(
-        F.concat(F.lit("c"), (F.col("id") % 40).cast("string")).alias("channel"), (F.col("id") % 900).alias("message_id"), "event_title", "date",
-        texts.content_hash(F.col("event_title"), F.col("date")).alias("content_hash"), "status", "id",
-    )
-    current = jobs.first_per(current, ["channel", "message_id"], ["id"]).drop("id")
-    return _as_text(store.merge_batch(current, _batch(spark, sf_dir)))
+    """Two thirds of the posts are the table, the first of each key; the others, and what repeats a key, come as one batch."""
+    posts = _posts(spark, sf_dir)
+    w = Window.partitionBy("channel", "message_id").orderBy("ordinal")
+    before = posts.where("ordinal % 3 <> 0").withColumn("k", F.row_number().over(w))
+    hashed = texts.content_hash(F.col("event_title"), F.col("date")).alias("content_hash")
+    current = before.where("k = 1").select("channel", "message_id", "event_title", "date", hashed, "status")
+    # Repeats come after all others, by channel, message and turn: the last turn of a key counts.
+    columns = ["channel", "message_id", "event_title", "date", "ordinal"]
+    again = before.where("k > 1").withColumn("ordinal", F.col("ordinal") + 1_000_000_000).select(*columns)
+    return _as_text(store.merge_batch(current, posts.where("ordinal % 3 = 0").select(*columns).unionByName(again)))
 
 
 @query(f"""WITH {fx.CALENDAR} SELECT id, CASE WHEN id % 6 = 0 THEN 'new ' || event_title ELSE event_title END AS event_title,
@@ -195,10 +199,12 @@ def patch_edit(spark, sf_dir):
     return _as_text(store.patched(events, patches).select("id", "event_title", "date"))
 
 
-@query(f"""WITH {fx.CALENDAR} SELECT id, event_title AS title, concat_ws(', ', coalesce(strftime(date, '%Y-%m-%d'), 'дата уточнюється'), time) AS body
+@query(f"""WITH {fx.CALENDAR} SELECT id, event_title AS title, concat_ws(', ', coalesce(strftime(date, '%Y-%m-%d'), 'дата уточнюється'), time, CASE id % 4 WHEN 0 THEN 'hall ' || (id % 9)::VARCHAR END) AS body
 FROM cal WHERE status = 'pending' AND id % 3 = 0 AND (date IS NULL OR date >= DATE '{fx.TODAY}')""")
 def approve_notify(spark, sf_dir):
-    return store.notifications(fx.calendar(spark, sf_dir), (F.col("status") == "pending") & (F.col("id") % 3 == 0), fx.TODAY)
+    n = F.col("id")
+    events = fx.calendar(spark, sf_dir).withColumn("location", F.when(n % 4 == 0, F.concat(F.lit("hall "), (n % 9).cast("string"))).when(n % 4 == 1, ""))
+    return store.notifications(events, (F.col("status") == "pending") & (F.col("id") % 3 == 0), fx.TODAY)
 
 
 # The queue
@@ -209,22 +215,41 @@ def claim_batch(spark, sf_dir):
     return jobs.claim(fx.jobs(spark, sf_dir), 250, fx.NOW).select("id", "status", "attempts")
 
 
-@query(f"WITH {fx.JOBS} SELECT id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END AS status FROM jobs WHERE status = 'processing' AND locked_at < TIMESTAMP '{fx.NOW}' - INTERVAL 600 SECOND")
+_FMT = "'%Y-%m-%d %H:%M:%S'"
+
+
+@query(f"""WITH {fx.JOBS} SELECT id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END AS status, strftime(CASE WHEN attempts >= 3 THEN available_at ELSE TIMESTAMP '{fx.NOW}' END, {_FMT}) AS available_at,
+CASE WHEN attempts >= 3 THEN strftime(TIMESTAMP '{fx.NOW}', {_FMT}) END AS finished_at, CASE WHEN attempts >= 3 THEN '{jobs.LOST}' ELSE '{jobs.REQUEUED}' END AS last_error, true AS free
+FROM jobs WHERE status = 'processing' AND locked_at < TIMESTAMP '{fx.NOW}' - INTERVAL 600 SECOND""")
 def requeue_stale(spark, sf_dir):
-    return jobs.requeue_stale(fx.jobs(spark, sf_dir), 600, 3, fx.NOW).select("id", "status")
+    out = jobs.requeue_stale(fx.jobs(spark, sf_dir), 600, 3, fx.NOW)
+    return _as_text(out.select("id", "status", "available_at", "finished_at", "last_error", (F.col("locked_at").isNull() & F.col("locked_by").isNull()).alias("free")))
+
 
+@query(f"""WITH {fx.JOBS} SELECT id, CASE WHEN d THEN 'done' ELSE status END AS status, CASE WHEN d THEN strftime(TIMESTAMP '{fx.NOW}', {_FMT}) WHEN id % 4 = 2 THEN strftime(available_at, {_FMT}) END AS finished_at,
+CASE WHEN NOT d THEN 'old' END AS last_error, CASE WHEN NOT d THEN strftime(locked_at, {_FMT}) END AS locked_at FROM (SELECT *, status = 'processing' AND id % 8 = 1 AS d FROM jobs)""")
+def mark_done(spark, sf_dir):
+    table = fx.jobs(spark, sf_dir).withColumns({"finished_at": F.when(F.col("id") % 4 == 2, F.col("available_at")), "last_error": F.lit("old")})
+    done = jobs.mark_done(table, (F.col("status") == "processing") & (F.col("id") % 8 == 1), fx.NOW)
+    return _as_text(done.select("id", "status", "finished_at", "last_error", "locked_at"))
 
-@query(f"""WITH {fx.JOBS} SELECT id, CASE WHEN attempts >= 4 THEN 'failed' ELSE 'queued' END AS status,
-strftime(CASE WHEN attempts >= 4 THEN available_at ELSE TIMESTAMP '{fx.NOW}' + to_seconds(30 * (2 ** greatest(attempts - 1, 0))::INT) END, '%Y-%m-%d %H:%M:%S') AS available_at
+
+@query(f"""WITH {fx.JOBS} SELECT id, CASE WHEN attempts >= 4 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN attempts >= 4 THEN strftime(TIMESTAMP '{fx.NOW}', {_FMT}) END AS finished_at, NULL::VARCHAR AS locked_at,
+strftime(CASE WHEN attempts >= 4 THEN available_at ELSE TIMESTAMP '{fx.NOW}' + to_seconds(30 * (2 ** greatest(attempts - 1, 0))::INT) END, {_FMT}) AS available_at
 FROM jobs WHERE status = 'processing'""")
 def fail_backoff(spark, sf_dir):
     running = fx.jobs(spark, sf_dir).where("status = 'processing'")
-    return _as_text(jobs.mark_failed(running, F.lit("timeout"), 30, 4, fx.NOW).select("id", "status", "available_at"))
+    return _as_text(jobs.mark_failed(running, F.lit("timeout"), 30, 4, fx.NOW).select("id", "status", "available_at", "finished_at", "locked_at"))
 
 
-@query(f"WITH {fx.JOBS} SELECT id, 'queued' AS status, greatest(attempts - 1, 0) AS attempts FROM jobs WHERE status = 'processing'")
+@query(f"WITH {fx.JOBS} SELECT id, 'queued' AS status, greatest(attempts - 1, 0) AS attempts, strftime(TIMESTAMP '{fx.NOW}', {_FMT}) AS available_at FROM jobs WHERE status = 'processing'")
 def release(spark, sf_dir):
-    return jobs.release(fx.jobs(spark, sf_dir).where("status = 'processing'")).select("id", "status", "attempts")
+    return _as_text(jobs.release(fx.jobs(spark, sf_dir).where("status = 'processing'"), fx.NOW).select("id", "status", "attempts", "available_at"))
+
+
+@query(f"WITH {fx.JOBS} SELECT id FROM jobs WHERE status = 'queued' AND attempts > 0 AND available_at <= TIMESTAMP '{fx.NOW}'")
+def retry_due(spark, sf_dir):
+    return jobs.due_again(fx.jobs(spark, sf_dir), fx.NOW).select("id")
 
 
 @query(f"""WITH {fx.JOBS}, m AS (SELECT id, channel, message_id FROM jobs WHERE id % 7 = 3)
@@ -259,6 +284,21 @@ def content_hash(spark, sf_dir):
     return fx.calendar(spark, sf_dir).select("id", texts.content_hash(F.col("event_title"), F.col("date")).alias("content_hash"))
 
 
+_TITLES = [
+    ("Лекція №5", "лекція no5", "лекція no5"), ("Ⅷ Олімпіада", "viii олімпіада", "viii олімпіада"), ("Straße", "strasse", "strasse"), ("Ｚｏｏｍ  МИТЬ", "zoom мить", "zoom мить"),
+    ("«Відкрита» лекція, 2-го курсу!", "відкрита лекція 2 го курсу", "«відкрита» лекція, 2 курсу!"), ("ПʼЯТНИЦЯ 15 – 16", "п ятниця 15 16", "п'ятниця 15-16"), ("", "", ""), ("½ ﬁn² …", "1 2 fin2", "1⁄2 fin2 ..."),
+]
+
+
+@query(f"""WITH t(title, normal, value_form) AS (VALUES {", ".join("('" + "', '".join(x.replace("'", "''") for x in r) + "')" for r in _TITLES)})
+SELECT title, normal, value_form, sha256(replace(normal, 'п ятниця', 'пʼятниця') || '|2026-11-02') AS content_hash FROM t""")
+def title_forms(spark, sf_dir):
+    """Letters that fold to others: the hash and the normal form of values."""
+    t = F.col("title")
+    rows = _values(spark, [(r[0],) for r in _TITLES], "title string")
+    return rows.select("title", F.regexp_replace(texts.normalize_title(t), "ʼ", " ").alias("normal"), texts.norm(t).alias("value_form"), texts.content_hash(t, F.lit(_MONDAY).cast("date")).alias("content_hash"))
+
+
 @query(f"WITH {fx.CALENDAR}, x AS (SELECT *, row_number() OVER (PARTITION BY id // 50, lower(trim(event_title)), date ORDER BY id) AS k FROM cal) SELECT id FROM x WHERE k = 1")
 def dedup_in_message(spark, sf_dir):
     keyed = fx.calendar(spark, sf_dir).withColumns({"message_id": F.floor(F.col("id") / 50), "key": F.lower(F.trim("event_title"))})
@@ -312,8 +352,8 @@ _CLOCK = r"(^|[^\p{L}\p{N}_])([01]?[0-9]|2[0-3])[:.][0-5][0-9]($|[^\p{L}\p{N}_])
 + CASE WHEN regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])[0-9]{{1,2}}[./][0-9]{{1,2}}([./][0-9]{{2,4}})?($|[^\p{{L}}\p{{N}}_])') THEN 1.0 ELSE 0.0 END AS v, text FROM msg)
 SELECT message_id, CASE WHEN coalesce(trim(text), '') = '' THEN 0.0 ELSE v END AS score, coalesce(trim(text), '') <> '' AND v >= 3 AS candidate FROM s""")
 def prefilter_score(spark, sf_dir):
-    t = F.col("text")
-    return fx.messages(spark, sf_dir).select("message_id", rules.prefilter_score(t, _WORDS).alias("score"), rules.is_candidate(t, 3.0, _WORDS).alias("candidate"))
+    scored = fx.messages(spark, sf_dir).select("message_id", "text", rules.prefilter_score(F.col("text"), _WORDS).alias("score"))
+    return scored.select("message_id", "score", ((F.coalesce(F.trim("text"), F.lit("")) != "") & (F.col("score") >= 3.0)).alias("candidate"))
 
 
 _LEFT, _RIGHT = "éèêç", "äöüß"
@@ -462,7 +502,7 @@ def message_kinds(spark, sf_dir):
     return _values(spark, [(n,) for n, _ in _KINDS], "note string").select("note", reports.message_kind(F.col("note")).alias("kind"))
 
 
-_ASKED = [("Лекція", "Reference date: 2026-11-02 (Monday)\nЛекція")]
+_ASKED = [("Лекція", 'Reference date: 2026-11-02 (Monday)\nMessage: "Лекція"')]
 
 
 @query(_golden("text, prompt", _ASKED))
@@ -526,73 +566,114 @@ def relative_weekday(spark, sf_dir):
 
 # Scores against gold data
 
-_PAIRS = f"""{fx.GOLD}, {fx.predicted_sql()}, cand AS (
-  SELECT g.message_id, g.gold_idx AS gi, p.pred_idx AS pi, CASE WHEN p.date = g.date THEN 3 ELSE 0 END + CASE WHEN contains(lower(p.title), lower(g.title)) THEN 2 ELSE 0 END
-         + CASE WHEN p.time = g.time THEN 1 ELSE 0 END AS score
-  FROM gold g JOIN pred p USING (message_id)
-), c AS (SELECT * FROM cand WHERE score >= 2)"""
-_ALIGNED = f"""{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY score DESC, gi, pi) AS k FROM c),
-a AS (
-  SELECT message_id, 0::BIGINT AS k, []::INT[] AS ug, []::INT[] AS up, []::STRUCT(gi INT, pi INT, score INT)[] AS ps FROM (SELECT DISTINCT message_id FROM r)
+
+def _keys_sql(field: str, value: str) -> str:
+    """Each group of keys has an alternative in the value."""
+    return f"list_bool_and(list_transform(g.{field}_keys, lambda grp: list_bool_or(list_transform(grp, lambda alt: contains({value}, alt)))))"
+
+
+_CLOCK_SQL = "lpad(regexp_extract(p.time, '([0-9]{1,2}):([0-9]{2})', 1), 2, '0') || ':' || regexp_extract(p.time, '([0-9]{1,2}):([0-9]{2})', 2)"
+_MATCH = {
+    **{f: _keys_sql(f, f"lower(p.{f})") for f in scoring.KEY_FIELDS}, "date": "trim(p.date) = g.date", "time": f"{_CLOCK_SQL} = g.time",
+    "event_type": "(trim(p.event_type) = g.event_type OR list_contains(g.event_type_accept, trim(p.event_type)))", "description": "true", "language": "trim(p.language) = g.language",
+    "link": "rtrim(trim(p.link), '/.,;)') IS NOT DISTINCT FROM rtrim(trim(g.link), '/.,;)')", "meeting_code": _keys_sql("meeting_code", "replace(lower(p.meeting_code), ' ', '')"),
+}
+
+
+def _aligned_sql(pred: str = "pred") -> str:
+    """al_<pred>: the chosen pairs of gold and that table."""
+    return f"""cand_{pred} AS (
+  SELECT g.message_id, g.gold_idx AS gi, p.pred_idx AS pi, coalesce(CASE WHEN {_MATCH["date"]} THEN 3 END, 0) + coalesce(CASE WHEN p.event_title IS NOT NULL AND {_MATCH["event_title"]} THEN 2 END, 0)
+         + coalesce(CASE WHEN {_MATCH["time"]} THEN 1 END, 0) AS score
+  FROM gold g JOIN {pred} p USING (message_id)
+), c_{pred} AS (SELECT * FROM cand_{pred} WHERE score >= 2),
+r_{pred} AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY score DESC, gi, pi) AS k FROM c_{pred}),
+a_{pred} AS (
+  SELECT message_id, 0::BIGINT AS k, []::INT[] AS ug, []::INT[] AS up, []::STRUCT(gi INT, pi INT, score INT)[] AS ps FROM (SELECT DISTINCT message_id FROM r_{pred})
   UNION ALL
   SELECT a.message_id, r.k, CASE WHEN u THEN a.ug ELSE list_append(a.ug, r.gi) END, CASE WHEN u THEN a.up ELSE list_append(a.up, r.pi) END,
          CASE WHEN u THEN a.ps ELSE list_append(a.ps, {{'gi': r.gi, 'pi': r.pi, 'score': r.score}}) END
-  FROM a JOIN (SELECT * FROM r) r ON r.message_id = a.message_id AND r.k = a.k + 1, LATERAL (SELECT list_contains(a.ug, r.gi) OR list_contains(a.up, r.pi) AS u)
-), al AS (SELECT message_id, x.gi AS gi, x.pi AS pi, x.score AS score FROM (SELECT message_id, unnest(arg_max(ps, k)) AS x FROM a GROUP BY message_id))"""
-_MATCH = {"title": "contains(lower(p.title), lower(g.title))", "date": "p.date = g.date", "time": "p.time = g.time", "location": "p.location = g.location"}
-_CELLS = " UNION ALL ".join(
-    f"""SELECT al.message_id, al.gi, '{f}' AS field, g.{f} IS NULL AS gold_null,
+  FROM a_{pred} a JOIN (SELECT * FROM r_{pred}) r ON r.message_id = a.message_id AND r.k = a.k + 1, LATERAL (SELECT list_contains(a.ug, r.gi) OR list_contains(a.up, r.pi) AS u)
+), al_{pred} AS (SELECT message_id, x.gi AS gi, x.pi AS pi, x.score AS score FROM (SELECT message_id, unnest(arg_max(ps, k)) AS x FROM a_{pred} GROUP BY message_id))"""
+
+
+def _cells_sql(pred: str = "pred") -> str:
+    """fs_<pred>: a row for each field of each pair."""
+    cells = " UNION ALL ".join(
+        f"""SELECT al.message_id, al.gi, '{f}' AS field, g.{f} IS NULL AS gold_null, g.{f} AS gold_value, p.{f} AS said,
     CASE WHEN g.{f} IS NULL AND p.{f} IS NULL THEN 'correct' WHEN g.{f} IS NULL THEN 'fabricated' WHEN p.{f} IS NULL THEN 'missed'
          WHEN {m} THEN {"CASE WHEN g.inferred THEN 'invented_ok' ELSE 'correct' END" if f == "date" else "'correct'"} ELSE 'wrong' END AS category
-    FROM al JOIN gold g ON g.message_id = al.message_id AND g.gold_idx = al.gi JOIN pred p ON p.message_id = al.message_id AND p.pred_idx = al.pi"""
-    for f, m in _MATCH.items()
-)
-_SCORES = f"{_ALIGNED}, fs AS ({_CELLS})"
+    FROM al_{pred} al JOIN gold g ON g.message_id = al.message_id AND g.gold_idx = al.gi JOIN {pred} p ON p.message_id = al.message_id AND p.pred_idx = al.pi"""
+        for f, m in ((f, _MATCH[f]) for f in FIELDS)
+    )
+    return f"fs_{pred} AS ({cells})"
+
+
+def _counted_sql(pred: str = "pred") -> str:
+    """ct_<pred>: the counters of each message."""
+    summed = [*scoring.CATEGORIES, "correct_null", "paired_fields", "paired_gold_null", "paired_gold_nonnull"]
+    return f"""ng_{pred} AS (SELECT message_id, count(*) AS n_gold FROM gold GROUP BY 1), np_{pred} AS (SELECT message_id, count(*) AS n_pred FROM {pred} GROUP BY 1),
+na_{pred} AS (SELECT message_id, count(*) AS n_pair FROM al_{pred} GROUP BY 1),
+nf_{pred} AS (SELECT message_id, {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in scoring.CATEGORIES)}, count(*) FILTER (category = 'correct' AND gold_null) AS correct_null,
+  count(*) AS paired_fields, count(*) FILTER (gold_null) AS paired_gold_null, count(*) FILTER (NOT gold_null) AS paired_gold_nonnull FROM fs_{pred} GROUP BY 1),
+b_{pred} AS (SELECT s.message_id, kind, failed, coalesce(n_gold, 0) AS n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(n_pair, 0) AS n_pair,
+  {", ".join(f"coalesce({c}, 0) AS {c}" for c in summed)}, kind = 'announcement' AS an, kind = 'announcement' AND coalesce(n_gold, 0) > 1 AS mu
+  FROM scored s LEFT JOIN ng_{pred} USING (message_id) LEFT JOIN np_{pred} USING (message_id) LEFT JOIN na_{pred} USING (message_id) LEFT JOIN nf_{pred} USING (message_id)),
+ct_{pred} AS (SELECT message_id, kind, {", ".join(f"CASE WHEN an THEN {c} ELSE 0 END AS {c}" for c in summed)},
+  CASE WHEN an THEN (n_gold - n_pair) * {len(FIELDS)} ELSE 0 END AS missed_event_fields, CASE WHEN an THEN n_gold * {len(FIELDS)} ELSE 0 END AS gold_fields_total,
+  an::BIGINT AS announcements, (an AND n_pair > 0)::BIGINT AS announcements_detected, (kind = 'trap')::BIGINT AS traps, (kind = 'trap' AND n_pred = 0 AND NOT failed)::BIGINT AS traps_clean,
+  CASE WHEN kind = 'trap' THEN n_pred ELSE 0 END AS trap_false_events, (kind = 'individual')::BIGINT AS individual, (kind = 'individual' AND n_pred > 0)::BIGINT AS individual_extracted,
+  0::BIGINT AS individual_dropped, mu::BIGINT AS multi, (mu AND n_gold = n_pair)::BIGINT AS multi_all_paired, (mu AND n_pred < n_gold AND n_pred > 0 AND n_pred = n_pair)::BIGINT AS multi_merged,
+  CASE WHEN an THEN n_pred - n_pair ELSE 0 END AS extra_events, CASE WHEN an THEN n_gold - n_pair ELSE 0 END AS missed_events, failed::BIGINT AS errors, 1::BIGINT AS messages FROM b_{pred})"""
+
+
+_PAIRS = f"{fx.GOLD}, {fx.predicted_sql()}, {fx.SCORED}, {_aligned_sql()}"
+_SCORES = f"{_PAIRS}, {_cells_sql()}"
+_COUNT = f"{_SCORES}, {_counted_sql()}"
 
 
 def _scored(spark, sf_dir, shift=7):
-    gold, said = fx.gold(spark, sf_dir), fx.predicted(spark, sf_dir, shift)
-    pairs = scoring.align(gold, said)
-    return gold, said, pairs, scoring.field_scores(gold, said, pairs, FIELDS)
+    return scoring.scored(fx.scored_messages(spark, sf_dir), fx.gold(spark, sf_dir), fx.predicted(spark, sf_dir, shift))
 
 
 def _counters(spark, sf_dir, shift=7):
-    gold, said, pairs, scores = _scored(spark, sf_dir, shift)
-    return scoring.message_counters(fx.scored_messages(spark, sf_dir), gold, said, pairs, scores, len(FIELDS))
+    return scoring.message_counters(_scored(spark, sf_dir, shift))
 
 
-@query(f"WITH {_PAIRS} SELECT message_id, gi, pi, score FROM c")
+@query(f"WITH RECURSIVE {_PAIRS} SELECT message_id, gi, pi, score FROM c_pred")
 def pair_score(spark, sf_dir):
-    return scoring.candidates(fx.gold(spark, sf_dir), fx.predicted(spark, sf_dir))
+    return scoring.candidates(_scored(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_ALIGNED} SELECT * FROM al")
+@query(f"WITH RECURSIVE {_PAIRS} SELECT * FROM al_pred")
 def align_greedy(spark, sf_dir):
-    return scoring.align(fx.gold(spark, sf_dir), fx.predicted(spark, sf_dir))
+    return scoring.align(_scored(spark, sf_dir))
+
 
+@query(f"""WITH RECURSIVE {_PAIRS}
+SELECT al.message_id, kind, 'paired' AS status, gi, pi, al.score, g.event_title AS gold_title, p.event_title AS pred_title
+FROM al_pred al JOIN gold g ON g.message_id = al.message_id AND g.gold_idx = gi JOIN pred p ON p.message_id = al.message_id AND p.pred_idx = pi JOIN scored s ON s.message_id = al.message_id
+UNION ALL SELECT g.message_id, kind, 'missed_event', gold_idx, NULL, 0, g.event_title, '' FROM gold g JOIN scored USING (message_id) WHERE NOT EXISTS (SELECT 1 FROM al_pred al WHERE al.message_id = g.message_id AND al.gi = g.gold_idx)
+UNION ALL SELECT p.message_id, kind, CASE kind WHEN 'trap' THEN 'false_event' ELSE 'extra_event' END, NULL, pred_idx, 0, '', p.event_title FROM pred p JOIN scored USING (message_id)
+WHERE NOT EXISTS (SELECT 1 FROM al_pred al WHERE al.message_id = p.message_id AND al.pi = p.pred_idx)""")
+def alignment_rows(spark, sf_dir):
+    return scoring.alignment_rows(_scored(spark, sf_dir))
 
-@query(f"WITH RECURSIVE {_SCORES} SELECT message_id, gi, field, category, gold_null FROM fs")
+
+@query(f"WITH RECURSIVE {_SCORES} SELECT message_id, gi, field, category, gold_null FROM fs_pred")
 def field_scores(spark, sf_dir):
-    return _scored(spark, sf_dir)[3]
-
-
-_COUNT = f"""{_SCORES}, {fx.SCORED}, ng AS (SELECT message_id, count(*) AS n_gold FROM gold GROUP BY 1), np AS (SELECT message_id, count(*) AS n_pred FROM pred GROUP BY 1),
-na AS (SELECT message_id, count(*) AS n_pair FROM al GROUP BY 1),
-nf AS (SELECT message_id, {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in scoring.CATEGORIES)}, count(*) FILTER (category = 'correct' AND gold_null) AS correct_null,
-  count(*) AS paired_fields, count(*) FILTER (gold_null) AS paired_gold_null, count(*) FILTER (NOT gold_null) AS paired_gold_nonnull FROM fs GROUP BY 1),
-b AS (SELECT s.message_id, kind, coalesce(n_gold, 0) AS n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(n_pair, 0) AS n_pair,
-  {", ".join(f"coalesce({c}, 0) AS {c}" for c in [*scoring.CATEGORIES, "correct_null", "paired_fields", "paired_gold_null", "paired_gold_nonnull"])},
-  kind = 'announcement' AS an, kind = 'announcement' AND coalesce(n_gold, 0) > 1 AS mu
-  FROM scored s LEFT JOIN ng USING (message_id) LEFT JOIN np USING (message_id) LEFT JOIN na USING (message_id) LEFT JOIN nf USING (message_id)),
-ct AS (SELECT message_id, kind, {", ".join(f"CASE WHEN an THEN {c} ELSE 0 END AS {c}" for c in [*scoring.CATEGORIES, "correct_null", "paired_fields", "paired_gold_null", "paired_gold_nonnull"])},
-  CASE WHEN an THEN (n_gold - n_pair) * {len(FIELDS)} ELSE 0 END AS missed_event_fields, CASE WHEN an THEN n_gold * {len(FIELDS)} ELSE 0 END AS gold_fields_total,
-  an::BIGINT AS announcements, (an AND n_pair > 0)::BIGINT AS announcements_detected, (kind = 'trap')::BIGINT AS traps, (kind = 'trap' AND n_pred = 0)::BIGINT AS traps_clean,
-  CASE WHEN kind = 'trap' THEN n_pred ELSE 0 END AS trap_false_events, (kind = 'individual')::BIGINT AS individual, (kind = 'individual' AND n_pred > 0)::BIGINT AS individual_extracted,
-  mu::BIGINT AS multi, (mu AND n_gold = n_pair)::BIGINT AS multi_all_paired, (mu AND n_pred < n_gold AND n_pred > 0 AND n_pred = n_pair)::BIGINT AS multi_merged,
-  CASE WHEN an THEN n_pred - n_pair ELSE 0 END AS extra_events, CASE WHEN an THEN n_gold - n_pair ELSE 0 END AS missed_events, 1::BIGINT AS messages FROM b)"""
+    return scoring.field_scores(_scored(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_COUNT} SELECT * FROM ct")
+@query(f"""WITH RECURSIVE {_SCORES} SELECT message_id, kind, gi AS gold_event, field, category AS field_category,
+coalesce(CASE field WHEN 'description' THEN CASE WHEN gold_null THEN NULL ELSE 'є деталі' END ELSE gold_value END, '') AS gold_value, coalesce(said, '') AS predicted_value FROM fs_pred JOIN scored USING (message_id)
+UNION ALL SELECT message_id, kind, gold_idx, f, 'missed', '', '' FROM gold g JOIN scored USING (message_id), (VALUES {", ".join(f"('{f}')" for f in FIELDS)}) v(f)
+WHERE NOT EXISTS (SELECT 1 FROM al_pred al WHERE al.message_id = g.message_id AND al.gi = g.gold_idx)""")
+def field_rows(spark, sf_dir):
+    return scoring.field_rows(_scored(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_COUNT} SELECT * FROM ct_pred")
 def message_counters(spark, sf_dir):
     return _counters(spark, sf_dir)
 
@@ -602,55 +683,64 @@ sum(fabricated) / nullif(sum(paired_gold_null), 0)::DOUBLE AS fabrication_rate,
 sum(wrong + fabricated)::BIGINT AS invented_bad, sum(announcements_detected) / nullif(sum(announcements), 0)::DOUBLE AS detection_rate, sum(traps_clean) / nullif(sum(traps), 0)::DOUBLE AS correct_reject_rate"""
 
 
-@query(f"WITH RECURSIVE {_COUNT} SELECT {_RATES} FROM ct")
+@query(f"WITH RECURSIVE {_COUNT} SELECT {_RATES} FROM ct_pred")
 def metrics(spark, sf_dir):
     return scoring.metrics(scoring.summed(_counters(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {_SCORES}, e AS (SELECT field, category, gold_null FROM fs UNION ALL
-SELECT f, 'missed', false FROM gold g, (VALUES ('title'), ('date'), ('time'), ('location')) v(f) WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.message_id = g.message_id AND al.gi = g.gold_idx))
+@query(f"""WITH RECURSIVE {_COUNT} SELECT 'without_ambiguous' AS slice, {_RATES} FROM ct_pred JOIN scored USING (message_id) WHERE NOT ambiguous
+UNION ALL SELECT 'without_boundary', {_RATES} FROM ct_pred JOIN scored USING (message_id) WHERE NOT boundary""")
+def slices(spark, sf_dir):
+    scores = _scored(spark, sf_dir)
+    parts = [(f.__name__, f(scores)) for f in (scoring.without_ambiguous, scoring.without_boundary)]
+    one, two = (scoring.metrics(scoring.summed(scoring.message_counters(part))).withColumn("slice", F.lit(name)) for name, part in parts)
+    return one.unionByName(two)
+
+
+@query(f"""WITH RECURSIVE {_SCORES}, e AS (SELECT field, category, gold_null FROM fs_pred JOIN scored USING (message_id) WHERE kind = 'announcement' UNION ALL
+SELECT f, 'missed', false FROM gold g JOIN scored USING (message_id), (VALUES {", ".join(f"('{f}')" for f in FIELDS)}) v(f)
+WHERE kind = 'announcement' AND NOT EXISTS (SELECT 1 FROM al_pred al WHERE al.message_id = g.message_id AND al.gi = g.gold_idx))
 SELECT field, {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in scoring.CATEGORIES)}, count(*) FILTER (category = 'correct' AND gold_null) AS correct_null, count(*) AS total FROM e GROUP BY field""")
 def per_field(spark, sf_dir):
-    gold, _, pairs, scores = _scored(spark, sf_dir)
-    return scoring.per_field_errors(scores, gold, pairs, FIELDS)
+    return scoring.per_field_errors(_scored(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_COUNT} SELECT message_id % 5 AS subtype, count(*) AS traps, sum(traps_clean)::BIGINT AS clean, sum(trap_false_events)::BIGINT AS false_events FROM ct WHERE kind = 'trap' GROUP BY 1")
+@query(f"""WITH RECURSIVE {_COUNT} SELECT subtype, count(*) AS traps, sum(traps_clean)::BIGINT AS clean, sum(trap_false_events)::BIGINT AS false_events, count(*) FILTER (boundary) AS boundary
+FROM ct_pred JOIN scored USING (message_id) WHERE ct_pred.kind = 'trap' GROUP BY 1""")
 def trap_breakdown(spark, sf_dir):
-    traps = _counters(spark, sf_dir).where("kind = 'trap'")
-    return traps.groupBy((F.col("message_id") % 5).alias("subtype")).agg(F.count(F.lit(1)).alias("traps"), F.sum("traps_clean").alias("clean"), F.sum("trap_false_events").alias("false_events"))
-
-
-#: A draw matrix that both engines can make: how often a message is drawn follows from its id.
-_TIMES_SQL = "((message_id * 31 + draw * 17) // 7 + message_id * draw) % 3"
-
-
-def _draws(counters, n=40):
-    ids = counters.select("message_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    times = (F.floor((F.col("message_id") * 31 + F.col("draw") * 17) / 7) + F.col("message_id") * F.col("draw")) % 3
-    return ids.withColumn("times", times).where("times > 0")
+    of = fx.scored_messages(spark, sf_dir).select("message_id", "category", "tags")
+    counters = _counters(spark, sf_dir).join(of, "message_id")
+    return scoring.trap_breakdown(counters, scoring.subtype(F.col("category")), F.array_contains("tags", scoring.BOUNDARY_TAG))
 
 
-_SUMS = ", ".join(f"sum({c} * times) AS {c}" for c in [*scoring.CATEGORIES, "gold_fields_total", "paired_fields", "paired_gold_null"])
-_DRAWN = f"dr AS (SELECT draw, {_SUMS} FROM (SELECT ct.*, draw, {_TIMES_SQL} AS times FROM ct, range(40) t(draw)) GROUP BY draw)"
+def _draws_sql(pred: str, ids: str, columns: list[str], resamples: int) -> str:
+    """dr_<pred>: sums of each draw, by the table of draws that both engines make."""
+    wide = 1 << 32
+    mix = lambda x: f"(xor({x}, {x} >> 16) * 73244475) % {wide}"
+    times = " ".join(f"WHEN h < {t} THEN {k}" for k, t in enumerate(scoring.TIMES))
+    return f"""h0_{pred} AS (SELECT {ids}.*, draw, ((message_id % 1000000007) * 2654435761 + draw * 40503 + {scoring.RESAMPLING_SEED}) % {wide} AS h0 FROM {ids}, range({resamples}) t(draw)),
+h1_{pred} AS (SELECT *, {mix("h0")} AS h1 FROM h0_{pred}), h2_{pred} AS (SELECT *, {mix("h1")} AS h2 FROM h1_{pred}), h3_{pred} AS (SELECT *, xor(h2, h2 >> 16) AS h FROM h2_{pred}),
+dr_{pred} AS (SELECT draw, {", ".join(f"sum({c} * times) AS {c}" for c in columns)} FROM (SELECT *, CASE {times} ELSE {len(scoring.TIMES)} END AS times FROM h3_{pred}) GROUP BY draw)"""
 
 
-@query(f"""WITH RECURSIVE {_COUNT}, {_DRAWN}, v AS (
-SELECT 'field_accuracy_all' AS metric, (correct + invented_ok) / nullif(gold_fields_total, 0)::DOUBLE AS x FROM dr UNION ALL
-SELECT 'field_accuracy_paired', (correct + invented_ok) / nullif(paired_fields, 0)::DOUBLE FROM dr UNION ALL SELECT 'fabrication_rate', fabricated / nullif(paired_gold_null, 0)::DOUBLE FROM dr)
+@query(f"""WITH RECURSIVE {_COUNT}, {_draws_sql("pred", "ct_pred", ["correct", "invented_ok", "gold_fields_total", "fabricated", "paired_gold_null", "traps", "traps_clean"], scoring.RESAMPLES)}, v AS (
+SELECT 'field_accuracy_all' AS metric, (correct + invented_ok) / nullif(gold_fields_total, 0)::DOUBLE AS x FROM dr_pred UNION ALL
+SELECT 'fabrication_rate', fabricated / nullif(paired_gold_null, 0)::DOUBLE FROM dr_pred UNION ALL SELECT 'correct_reject_rate', traps_clean / nullif(traps, 0)::DOUBLE FROM dr_pred)
 SELECT metric, quantile_cont(x::DOUBLE, 0.025) AS low, quantile_cont(x::DOUBLE, 0.975) AS high FROM v WHERE x IS NOT NULL GROUP BY metric""")
 def bootstrap_ci(spark, sf_dir):
-    counters = _counters(spark, sf_dir)
-    return scoring.bootstrap_intervals(counters, _draws(counters))
+    return scoring.bootstrap_intervals(_counters(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.GOLD}, {fx.SCORED}, {", ".join(f"{fx.predicted_sql(p, n)}, {_aligned_sql(p)}, {_cells_sql(p)}, {_counted_sql(p)}" for p, n in (("p7", 7), ("p3", 3)))},
+ct AS (SELECT a.message_id, a.correct + a.invented_ok AS ga, a.gold_fields_total AS ta, b.correct + b.invented_ok AS gb, b.gold_fields_total AS tb FROM ct_p7 a JOIN ct_p3 b USING (message_id)),
+{_draws_sql("both", "ct", ["ga", "ta", "gb", "tb"], 200)},
+d AS (SELECT ga / nullif(ta, 0)::DOUBLE - gb / nullif(tb, 0)::DOUBLE AS d FROM dr_both)
+SELECT (SELECT sum(ga) / nullif(sum(ta), 0)::DOUBLE - sum(gb) / nullif(sum(tb), 0)::DOUBLE FROM ct) AS observed, quantile_cont(d::DOUBLE, 0.025) AS low, quantile_cont(d::DOUBLE, 0.975) AS high FROM d WHERE d IS NOT NULL""")
 def paired_bootstrap(spark, sf_dir):
-    left, right = _counters(spark, sf_dir), _counters(spark, sf_dir, 3)
-    return scoring.paired_difference(left, right, _draws(left, 20))
+    return scoring.paired_difference(_counters(spark, sf_dir), _counters(spark, sf_dir, 3), resamples=200)
 
 
-@query(f"""WITH RECURSIVE {_COUNT}, h AS (SELECT message_id <= 3100 AS half, sum(correct + invented_ok) / nullif(sum(gold_fields_total), 0)::DOUBLE AS r FROM ct GROUP BY 1)
+@query(f"""WITH RECURSIVE {_COUNT}, h AS (SELECT message_id <= 3100 AS half, sum(correct + invented_ok) / nullif(sum(gold_fields_total), 0)::DOUBLE AS r FROM ct_pred GROUP BY 1)
 SELECT max(r) - min(r) AS gap, max(r) - min(r) > 0.05 AS unstable FROM h""")
 def halves_gap(spark, sf_dir):
     return scoring.halves_gap(_counters(spark, sf_dir), F.col("message_id") <= 3100)
@@ -660,25 +750,29 @@ def halves_gap(spark, sf_dir):
 
 
 def _grounded(spark, sf_dir):
-    """Each document's first words as a value, held against the text of another."""
+    """Each document as a value, held against itself or the text of another; without another, against an empty text."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = d.agg((F.max("doc_id") + 1).alias("n"))
-    own = d.crossJoin(F.broadcast(n)).select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("value"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise((F.col("doc_id") * 7 + 3) % F.col("n")).alias("other"))
-    return own.join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("source")), "other")
+    other = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise((F.col("doc_id") * 7 + 3) % F.col("n"))
+    # One row.
+    own = d.crossJoin(F.broadcast(n)).select("doc_id", F.col("text").alias("value"), other.alias("other"))
+    return own.join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("source")), "other", "left").withColumn("source", F.coalesce("source", F.lit("")))
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(grounding.STOP_WORDS)))
 _STEM = "CASE WHEN length({0}) >= 4 THEN left({0}, length({0}) - 1) ELSE {0} END"
-_GROUND = rf"""d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT max(doc_id) + 1 AS n FROM d),
-o AS (SELECT doc_id, array_to_string(string_split_regex(text, '\s+')[1:6], ' ') AS value, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE (doc_id * 7 + 3) % n END AS other FROM d, n),
-g AS (SELECT o.doc_id, o.value, d.text AS source FROM o JOIN d ON d.doc_id = o.other)"""
+_GROUND = r"""d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT max(doc_id) + 1 AS n FROM d),
+o AS (SELECT doc_id, text AS value, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE (doc_id * 7 + 3) % n END AS other FROM d, n),
+g AS (SELECT o.doc_id, o.value, coalesce(d.text, '') AS source FROM o LEFT JOIN d ON d.doc_id = o.other)"""
 
 
-@query(rf"""WITH {_GROUND}, v AS (SELECT doc_id, t, row_number() OVER () AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[\p{{L}}\p{{N}}]+')) AS t FROM g) WHERE length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({_STOP})),
+@query(rf"""WITH {_GROUND}, v AS (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[\p{{L}}\p{{N}}]+')) AS t FROM g) WHERE length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({_STOP}) GROUP BY 1, 2),
 s AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(regexp_extract_all(lower(source), '[\p{{L}}\p{{N}}]+')) AS t FROM g)),
-vs AS (SELECT doc_id, k, {_STEM.format("t")} AS x FROM v), ss AS (SELECT doc_id, {_STEM.format("t")} AS y FROM s),
-h AS (SELECT vs.doc_id, vs.k, bool_or(least(length(x), length(y), 4) >= 3 AND left(x, least(length(x), length(y), 4)) = left(y, least(length(x), length(y), 4))) AS hit FROM vs LEFT JOIN ss USING (doc_id) GROUP BY 1, 2)
-SELECT g.doc_id, c.coverage FROM g LEFT JOIN (SELECT doc_id, sum(coalesce(hit, false)::INT) / count(*)::DOUBLE AS coverage FROM h GROUP BY 1) c USING (doc_id)""")
+vs AS (SELECT doc_id, c, {_STEM.format("t")} AS x FROM v), ss AS (SELECT DISTINCT doc_id, {_STEM.format("t")} AS y FROM s),
+k AS (SELECT DISTINCT doc_id, left(y, 3) AS p3, left(y, 4) AS p4, length(y) >= 4 AS long FROM ss WHERE length(y) >= 3),
+h AS (SELECT vs.doc_id, vs.c, CASE WHEN length(x) >= 4 THEN EXISTS (SELECT 1 FROM k WHERE k.doc_id = vs.doc_id AND k.long AND k.p4 = left(x, 4)) OR EXISTS (SELECT 1 FROM k WHERE k.doc_id = vs.doc_id AND NOT k.long AND k.p3 = left(x, 3))
+  ELSE length(x) >= 3 AND EXISTS (SELECT 1 FROM k WHERE k.doc_id = vs.doc_id AND k.p3 = x) END AS hit FROM vs)
+SELECT g.doc_id, c.coverage FROM g LEFT JOIN (SELECT doc_id, sum(c) FILTER (hit) / sum(c)::DOUBLE AS coverage FROM h GROUP BY 1) c USING (doc_id)""".replace("sum(c) FILTER (hit) /", "coalesce(sum(c) FILTER (hit), 0) /"))
 def token_grounding(spark, sf_dir):
     return _grounded(spark, sf_dir).select("doc_id", grounding.coverage(F.col("value"), F.col("source")).alias("coverage"))
 
@@ -739,20 +833,20 @@ def bench_summary(spark, sf_dir):
     return out.withColumn("total", F.round("total", 2))
 
 
-@query(f"""WITH {fx.RUNS}, l AS (SELECT model, list_sort(list(seconds)) AS s FROM runs WHERE seconds > 0 GROUP BY 1)
-SELECT model, s[len(s) // 2 + 1]::DOUBLE AS median, s[least(len(s) - 1, floor(len(s) * 0.95)::BIGINT) + 1]::DOUBLE AS p95, s[1]::DOUBLE AS least, s[-1]::DOUBLE AS most FROM l""")
+@query(f"""WITH {fx.RUNS}, l AS (SELECT model, list_sort(list(seconds)) AS s, round(avg(seconds), 6) AS mean FROM runs WHERE seconds > 0 GROUP BY 1)
+SELECT model, s[len(s) // 2 + 1]::DOUBLE AS median, s[least(len(s) - 1, floor(len(s) * 0.95)::BIGINT) + 1]::DOUBLE AS p95, s[1]::DOUBLE AS least, s[-1]::DOUBLE AS most, mean::DOUBLE AS mean FROM l""")
 def model_compare(spark, sf_dir):
-    return reports.latency_table(fx.runs(spark, sf_dir), "model", "seconds").drop("minutes")
+    return reports.latency_table(fx.runs(spark, sf_dir), "model", "seconds").drop("minutes").withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {fx.RUNS}, l AS (SELECT model, list_sort(list(seconds)) AS s FROM runs GROUP BY 1) SELECT model, s[least(len(s) - 1, floor(len(s) * 0.95)::BIGINT) + 1]::DOUBLE AS p95 FROM l")
 def p95_latency(spark, sf_dir):
-    return fx.runs(spark, sf_dir).groupBy("model").agg(reports.p95(F.col("seconds")).alias("p95"))
+    return reports.placed_values(fx.runs(spark, sf_dir), "model", "seconds", {"p95": reports.p95})
 
 
 @query(f"WITH {fx.RUNS}, l AS (SELECT model, list_sort(list(seconds)) AS s FROM runs GROUP BY 1) SELECT model, s[len(s) // 2 + 1]::DOUBLE AS median FROM l")
 def upper_median(spark, sf_dir):
-    return fx.runs(spark, sf_dir).groupBy("model").agg(reports.upper_median(F.col("seconds")).alias("median"))
+    return reports.placed_values(fx.runs(spark, sf_dir), "model", "seconds", {"median": reports.upper_median})
 
 
 @query(f"""WITH {fx.RUNS}, x AS (SELECT message_id, model, (max(seconds * 100))::BIGINT::VARCHAR AS answer FROM runs GROUP BY 1, 2)
@@ -788,7 +882,7 @@ def consensus_cells(spark, sf_dir):
     parts = []
     for model, shift in (("a", 7), ("b", 3)):
         said = fx.predicted(spark, sf_dir, shift).select("message_id", F.col("pred_idx").alias("gi"), "date")
-        wrong = scoring.field_category(F.col("g_date"), F.col("date"), F.col("date") == F.col("g_date"))
+        wrong = scoring.field_category(F.col("g_date"), F.col("date").isNotNull(), F.col("date") == F.col("g_date"))
         parts.append(gold.join(said, ["message_id", "gi"]).select(F.lit(model).alias("model"), "message_id", "gi", F.lit("date").alias("field"), wrong.alias("category"), F.col("date").alias("answer")))
     return reports.consensus_cells(parts[0].unionByName(parts[1]))
 
@@ -851,7 +945,7 @@ def load_export(spark, sf_dir):
 
 def _chat(messages: list[dict], schema: str) -> str:
     """A stand-in for a model: one event, its title the text's first words."""
-    text = messages[0]["content"].split("\n", 1)[1]
+    text = messages[-1]["content"].split('Message: "', 1)[1][:-1]
     return json.dumps({"events": [{"event_title": " ".join(text.split()[:4]), "time": "25:00", "event_type": "other"}]})
 
 
@@ -871,6 +965,267 @@ def process_messages(spark, sf_dir):
     return _as_text(process(posts, _chat).select("message_id", "event_title", "date", "reason"))
 
 
+def _failing(talk: list[dict], schema: str) -> str:
+    """A stand-in that fails in the ways a model can."""
+    text, turn = talk[0]["content"], (len(talk) + 1) // 2
+    if "down" in text:
+        raise TimeoutError("too slow")
+    if "refused" in text:
+        raise ConnectionRefusedError("no server")
+    return json.dumps({"events": []}) if "good" in text or ("late" in text and turn > 1) else "{}"
+
+
+@query(_golden("message_id, attempts, error, again", [(1, 1, None, None), (2, 3, "unavailable", True), (3, 1, "unavailable", True), (4, 2, None, None), (5, 3, "invalid", False)]))
+def extractor_failures(spark, sf_dir):
+    from eventloom.plans.extract import ask, failures
+
+    rows = [(i, "@a", t, "2024-01-03") for i, t in enumerate(["good", "down", "refused", "late", "bad"], 1)]
+    posts = _values(spark, rows, "message_id long, channel string, text string, ref_date string").withColumn("ref_date", F.col("ref_date").cast("date"))
+    answers = ask(posts, _failing)
+    again = failures(answers).select("message_id", "again")
+    return answers.select("message_id", "attempts", "error").join(again, "message_id", "left")
+
+
+@query(_golden("messages, first_try, valid, invalid, unavailable, attempts", [(5, 1, 2, 1, 2, 10)]))
+def attempt_stats(spark, sf_dir):
+    from eventloom.plans.extract import ask, attempt_stats
+
+    rows = [(i, "@a", t, "2024-01-03") for i, t in enumerate(["good", "down", "refused", "late", "bad"], 1)]
+    posts = _values(spark, rows, "message_id long, channel string, text string, ref_date string").withColumn("ref_date", F.col("ref_date").cast("date"))
+    return attempt_stats(ask(posts, _failing))
+
+
+_REPLAYED = [
+    (1, 0, "Лекція з ML", "2024-01-05", "uk", None), (1, 1, " лекція З ml ", "2024-01-05", "uk", "дубль у межах повідомлення"), (1, 2, " ", None, "uk", "не валідується"),
+    (2, 0, "Х", None, None, "пре-фільтр не пропустив (score=0.0)"), (3, 0, "Семінар", None, "uk", "подію скасовано, нової дати немає: «скасовано»"),
+    (4, 0, "Консультація", "2024-01-09", "uk", "індивідуальний формат: персональний формат: за попереднім записом"), (5, 0, "Встреча", None, "ru", "повідомлення російською — факультет веде канал українською"),
+]
+_REPLAY_TEXTS = {
+    1: "Запрошуємо на лекцію 5 січня о 14:30", 2: "Гарних вихідних усім!", 3: "Семінар скасовано.", 4: "Консультація 9 січня за попереднім записом, реєстрація о 10:00", 5: "Приглашаем на встречу, мы ждём",
+}
+
+
+@query(_golden("message_id, ordinal, dropped", [(m, o, d) for m, o, _, _, _, d in _REPLAYED]))
+def replayed_events(spark, sf_dir):
+    """Saved answers through the write path's filters, with what each would be dropped for."""
+    from eventloom.plans.extract import FIELDS as WRITTEN
+    from eventloom.plans.extract import replayed
+
+    rows = [(m, "@a", _REPLAY_TEXTS[m], "2024-01-03", o, t, d, g) for m, o, t, d, g, _ in _REPLAYED]
+    events = _values(spark, rows, "message_id long, channel string, text string, ref_date string, ordinal int, event_title string, date string, language string")
+    events = events.withColumns({f: F.lit(None).cast("string") for f in WRITTEN if f not in ("event_title", "date", "language")}).withColumn("ref_date", F.col("ref_date").cast("date"))
+    return replayed(events).select("message_id", "ordinal", "dropped")
+
+
+_CHECKED = lambda field, status: {"field": field, "status": status}
+_REPORTS = [{"meta": {"model": m, "use_schema": True}, "records": [
+    {"index": 0, "message_id": 1, "expect": "подія", "attempts": 1, "valid_json": True, "latency_s": 2.0 + k, "events": [{"event_title": "x"}], "events_destiny": [{"db": "saved"}],
+     "event_checks": [[_CHECKED("date", "invented"), _CHECKED("time", "missed")]], "message_checks": [_CHECKED("link", "missed"), _CHECKED("events", "missed")]},
+    {"index": 1, "message_id": 2, "expect": "ПАСТКА: реклама", "attempts": 2, "valid_json": True, "latency_s": 4.0, "events": [{"event_title": "y"}] * k, "events_destiny": [{"db": "filtered"}] * k,
+     "event_checks": [[_CHECKED("date", "suspect")]] * k, "message_checks": [_CHECKED("events", "missed")]},
+    {"index": 2, "message_id": 3, "expect": "ІНДИВІДУАЛЬНА консультація", "attempts": 3, "valid_json": False, "error": "збій", "latency_s": 0.0, "events": [], "events_destiny": [], "event_checks": [], "message_checks": []},
+]} for k, m in enumerate(["a", "b"])]
+
+
+def _reports(spark):
+    from eventloom.sources.gold import load_reports
+
+    path = _shared(spark)
+    spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in _REPORTS], "value string").repartition(2).write.option("lineSep", "\n").text(path)
+    # A report is a file; here each row is one.
+    return load_reports(spark, path)
+
+
+@query(_golden("model, messages, first_try, errors, events, invented, suspect, missed_fields, ann_found, ann_to_db, traps_clean, trap_to_db, individual_found, median_s, max_s", [
+    ("a", 3, 1, 1, 1, 1, 0, 2, 1, 1, 1, 0, 0, 3.0, 4.0), ("b", 3, 1, 1, 2, 1, 1, 2, 1, 1, 0, 0, 0, 3.5, 4.0),
+]).replace("SELECT *", "SELECT * REPLACE (median_s::DOUBLE AS median_s, max_s::DOUBLE AS max_s)"))
+def model_summary(spark, sf_dir):
+    return review.model_summary(_reports(spark)).select(
+        "model", "messages", "first_try", "errors", "events", "invented", "suspect", "missed_fields", "ann_found", "ann_to_db", "traps_clean", "trap_to_db", "individual_found", "median_s", "max_s"
+    )
+
+
+@query(_golden("message_id, a, b", [(1, "1 → БД", "1 → БД"), (2, "—", "1 (відс.)"), (3, "збій", "збій")]))
+def model_answers(spark, sf_dir):
+    return review.model_answers(_reports(spark), ["a", "b"])
+
+
+@query(_golden("total, events, errors, first_try, invented, missed, suspect", [(6, 3, 2, 2, 2, 2, 1)]))
+def run_totals(spark, sf_dir):
+    return review.run_totals(_reports(spark)).select("total", "events", "errors", "first_try", "invented", "missed", "suspect")
+
+
+_VERDICT = "index int, message_id long, auto_worst string, events array<struct<send:string,in_db:boolean>>, field_counts struct<correct:int,invented_ok:int,invented_bad:int,missed:int>, field_marks map<string,string>, bad_fields array<string>, cleared_flags int, verdict string"
+_VERDICTS_SQL = """vd AS (
+  SELECT doc_id::INT AS index, doc_id % 50 AS message_id, ['invented', 'suspect', 'ok', 'missed'][(doc_id % 4 + 1)::INT] AS worst, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE ['ok', 'hallucination', 'miss', 'both'][(doc_id % 4 + 1)::INT] END AS verdict,
+         quality, toxic, doc_id % 9 = 0 AS silent FROM labels)"""
+
+
+def _verdicts(spark, sf_dir):
+    n = F.col("doc_id")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (n % 4 + 1).cast("int"))
+    send = F.when(n % 9 != 0, F.when(F.col("quality") == 1, "yes").otherwise("no"))
+    counts = F.struct((n % 4).cast("int").alias("correct"), (n % 3).cast("int").alias("invented_ok"), F.col("toxic").cast("int").alias("invented_bad"), F.lit(1).alias("missed"))
+    return fx.table(spark, sf_dir, "labels").select(
+        n.cast("int").alias("index"), (n % 50).alias("message_id"), pick(["invented", "suspect", "ok", "missed"]).alias("auto_worst"),
+        F.array(F.struct(send.alias("send"), (F.col("toxic") == 1).alias("in_db")), F.struct(send.alias("send"), F.lit(True).alias("in_db"))).alias("events"), counts.alias("field_counts"),
+        F.when((F.col("toxic") == 1) & (n % 9 != 0), F.create_map(F.lit("date"), F.lit("invented_bad"))).alias("field_marks"), F.when(n % 2 == 0, F.array(F.lit("date"))).alias("bad_fields"),
+        (n % 2).cast("int").alias("cleared_flags"), F.when(n % 9 != 0, pick(["ok", "hallucination", "miss", "both"])).alias("verdict"),
+    )
+
+
+@query(f"""WITH {_VERDICTS_SQL} SELECT count(*) AS graded, count(*) FILTER (verdict = 'ok') AS clean, count(*) FILTER (verdict IN ('hallucination', 'both')) AS hallucinated, count(*) FILTER (verdict IN ('miss', 'both')) AS missing,
+sum(index % 4)::BIGINT AS fields_correct, sum(index % 3)::BIGINT AS fields_invented_ok, sum(toxic)::BIGINT AS fields_invented_bad, count(*) AS fields_missed, 2 * count(*) AS events, 2 * count(*) AS rated,
+count(*) + sum(toxic)::BIGINT AS to_db, (sum(1 + toxic) FILTER (quality = 1))::BIGINT AS approved, (sum(1 + toxic) FILTER (quality = 0))::BIGINT AS rejected, sum(index % 2)::BIGINT AS cleared, sum(toxic)::BIGINT AS added FROM vd WHERE NOT silent""")
+def verdict_summary(spark, sf_dir):
+    return review.verdict_summary(_verdicts(spark, sf_dir))
+
+
+@query(f"""WITH {_VERDICTS_SQL}, x AS (SELECT worst = 'invented' AS hard, worst IN ('invented', 'suspect', 'missed') AS flag, verdict IN ('hallucination', 'both') AS bad FROM vd WHERE NOT silent)
+SELECT count(*) FILTER (hard) AS hard, count(*) FILTER (hard AND bad) AS hard_confirmed, count(*) FILTER (flag) AS any_flag, count(*) FILTER (flag AND bad) AS any_confirmed, count(*) FILTER (bad) AS human_bad,
+count(*) FILTER (bad AND NOT flag) AS unnoticed, count(*) FILTER (flag AND NOT bad) AS false_alarms FROM x""")
+def flag_quality(spark, sf_dir):
+    return review.flag_quality(_verdicts(spark, sf_dir))
+
+
+@query(f"""WITH {_VERDICTS_SQL}, c AS (SELECT doc_id AS card, (doc_id * 3)::INT AS index, doc_id % 60 AS message_id FROM labels), m AS (SELECT message_id, arg_min(verdict, index) AS verdict FROM vd WHERE verdict IS NOT NULL GROUP BY 1)
+SELECT card, coalesce(vd.verdict, m.verdict) AS verdict FROM c LEFT JOIN vd ON vd.index = c.index LEFT JOIN m ON m.message_id = c.message_id""")
+def cards_with_verdicts(spark, sf_dir):
+    n = F.col("doc_id")
+    cards = fx.table(spark, sf_dir, "labels").select(n.alias("card"), (n * 3).cast("int").alias("index"), (n % 60).alias("message_id"))
+    told = _verdicts(spark, sf_dir)
+    return review.cards_with_verdicts(cards, told.where("verdict is not null").select("index", "message_id", "verdict")).select("card", "verdict")
+
+
+def _two_models(spark, sf_dir):
+    parts = [_scored(spark, sf_dir, n).withColumn("model", F.lit(m)) for m, n in (("p7", 7), ("p3", 3))]
+    return parts[0].unionByName(parts[1])
+
+
+_TWO = f"{fx.GOLD}, {fx.SCORED}, " + ", ".join(f"{fx.predicted_sql(p, n)}, {_aligned_sql(p)}, {_cells_sql(p)}" for p, n in (("p7", 7), ("p3", 3)))
+_SHOWN = "CASE WHEN category IN ('correct', 'invented_ok') THEN 'ok' ELSE coalesce(said, 'null') || ' (' || category || ')' END"
+
+
+@query(f"""WITH RECURSIVE {_TWO}, w AS (
+SELECT coalesce(a.message_id, b.message_id) AS message_id, coalesce(a.gi, b.gi) AS gi, coalesce(a.field, b.field) AS field, coalesce(a.v, '—') AS p7, coalesce(b.v, '—') AS p3
+FROM (SELECT message_id, gi, field, {_SHOWN} AS v FROM fs_p7) a FULL JOIN (SELECT message_id, gi, field, {_SHOWN} AS v FROM fs_p3) b ON a.message_id = b.message_id AND a.gi = b.gi AND a.field = b.field)
+SELECT * FROM w WHERE p7 NOT IN ('ok', '—') OR p3 NOT IN ('ok', '—')""")
+def disagreements(spark, sf_dir):
+    return review.disagreements(_two_models(spark, sf_dir), ["p7", "p3"])
+
+
+@query(f"""WITH RECURSIVE {_TWO}, bad AS (SELECT message_id, gi, field, lower(coalesce(said, '')) AS v FROM (SELECT * FROM fs_p7 UNION ALL SELECT * FROM fs_p3) JOIN scored USING (message_id) WHERE kind <> 'trap' AND category NOT IN ('correct', 'invented_ok')),
+s AS (SELECT DISTINCT message_id, gi, field FROM (SELECT message_id, gi, field, trim(regexp_replace(v, '\\s+', ' ', 'g')) AS v FROM bad) GROUP BY message_id, gi, field, v HAVING count(*) >= 2),
+t AS (SELECT message_id FROM (SELECT DISTINCT message_id, 'a' AS m FROM p7 UNION ALL SELECT DISTINCT message_id, 'b' FROM p3) JOIN scored USING (message_id) WHERE kind = 'trap' GROUP BY 1 HAVING count(*) >= 2)
+SELECT message_id, count(*) AS consensus FROM s GROUP BY 1 UNION ALL SELECT message_id, 1 FROM t""")
+def review_consensus(spark, sf_dir):
+    return review.consensus(_two_models(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_TWO} {" UNION ALL ".join(f"""SELECT '{p}' AS model, g.message_id, 'missed_event' AS status, g.event_title AS title FROM gold g JOIN scored USING (message_id) WHERE NOT EXISTS (SELECT 1 FROM al_{p} al WHERE al.message_id = g.message_id AND al.gi = g.gold_idx)
+UNION ALL SELECT '{p}', p.message_id, CASE kind WHEN 'trap' THEN 'false_event' ELSE 'extra_event' END, p.event_title FROM {p} p JOIN scored USING (message_id) WHERE NOT EXISTS (SELECT 1 FROM al_{p} al WHERE al.message_id = p.message_id AND al.pi = p.pred_idx)""" for p in ("p7", "p3"))}""")
+def event_notes(spark, sf_dir):
+    return review.event_notes(_two_models(spark, sf_dir))
+
+
+# Gold sets
+
+
+_PHRASES = [
+    ("завтра", "2026-11-03", True), ("через два тижні", "2026-11-16", True), ("цього четверга", "2026-11-05", True), ("наступної п'ятниці", "2026-11-13", True), ("у найближчу суботу", "2026-11-07", True),
+    ("у понеділок", "2026-11-09", True), ("у середу, 4 листопада", "2026-11-04", False), ("у четвер, 4 листопада", None, None), ("15 травня 2027 року", "2027-05-15", False), ("1 листопада", "2027-11-01", False),
+    ("05.12", "2026-12-05", False), ("05.12.2025", "2025-12-05", False), ("з 10 по 12 грудня", "2026-12-10", False), ("10–12 грудня", "2026-12-10", False), ("з 30 листопада по 2 грудня", "2026-11-30", False),
+    ("31 листопада", None, None), ("колись", None, None),
+]
+
+
+@query(_golden("phrase, date, inferred", _PHRASES))
+def phrase_dates(spark, sf_dir):
+    rows = _values(spark, [(p,) for p, *_ in _PHRASES], "phrase string")
+    found = dataset.resolve_phrase(F.col("phrase"), F.lit(_MONDAY).cast("date"))
+    return rows.select("phrase", found.alias("f")).select("phrase", F.col("f.date").cast("string").alias("date"), "f.inferred")
+
+
+_EXPLICIT = [("з 10 листопада о 11.00", "10 листопада"), ("об 11.00 і 12.10.2026", "12.10.2026"), ("15-16 грудня, 05.13", "15-16 грудня"), ("до 17.30 завтра", ""), ("оцінка 4.05", "4.05")]
+
+
+@query(_golden("text, dates", _EXPLICIT))
+def explicit_dates(spark, sf_dir):
+    return _values(spark, [(t,) for t, _ in _EXPLICIT], "text string").select("text", F.array_join(dataset.explicit_dates(F.col("text")), "|").alias("dates"))
+
+
+def _gold_message(n: int, **change) -> dict:
+    """A message without errors, but for what is changed."""
+    field = lambda value, *keys: {"value": value, "keys": [[k] for k in keys]}
+    event = {
+        "event_title": field("Лекція з ML", "лекція"), "date": {"value": "2026-11-03", "inferred": True, "phrase": "завтра"}, "time": {"value": "14:30", "phrase": "14:30"}, "location": field("ауд. 305", "305"),
+        "organizer": field(None), "target_audience": field(None), "event_type": {"value": "lecture", "accept": []}, "description": {"present": False}, "language": {"value": "uk"},
+        "link": {"value": "https://a.ua/x"}, "meeting_code": field("ID 12 34", "1234"),
+    }
+    for name, parts in change.pop("event", {}).items():
+        event[name] = {**event[name], **parts}
+    text = "Лекція з ML завтра о 14:30 в ауд. 305, https://a.ua/x, ID 12 34. " + "слово " * 45
+    gold = {"kind": "announcement", "category": "single", "tags": [], "reaches_db": True, "events": [event]} | change.pop("gold", {})
+    return {"source_message_id": n, "date": _MONDAY, "text": text, "source_channel": "@a", "_expect": "", "gold": gold} | change
+
+
+_GOLD_SET = [
+    _gold_message(1), _gold_message(2, text="Лекція завтра"), _gold_message(3, gold={"kind": "trap"}), _gold_message(4, event={"date": {"value": "2026-11-04"}, "location": {"keys": [["404"]]}, "language": {"value": "en"}}),
+    _gold_message(5, event={"event_type": {"value": "party"}, "time": {"value": "15:30"}, "meeting_code": {"keys": [["999"]]}, "link": {"value": None}}), _gold_message(6, gold={"events": [], "reaches_db": False}),
+    _gold_message(7, text=_gold_message(7)["text"] + " у четвер 4 листопада"),
+]
+_GOLD_ERRORS = [
+    (2, "short_text", None), (2, "links", None), (2, "time_phrase", 0), (2, "keys_location", 0), (2, "link_in_text", 0), (2, "meeting_code", 0), (3, "note_prefix", None), (3, "trap_with_events", None),
+    (4, "date_value", 0), (4, "keys_location", 0), (4, "language", 0), (5, "event_type", 0), (5, "time_value", 0), (5, "meeting_code", 0), (5, "links", None), (6, "no_events", None), (6, "reaches_db", None), (6, "links", None),
+    (6, "explicit_date", None), (6, "time_in_text", None), (7, "weekday_of_date", None), (7, "explicit_date", None),
+]
+
+
+def _gold_set(spark):
+    from eventloom.sources.gold import load_gold
+
+    return load_gold(spark, _file(spark, json.dumps(_GOLD_SET, ensure_ascii=False)))
+
+
+@query(_golden("message_id, rule, event", [e for e in _GOLD_ERRORS if e != (6, "explicit_date", None)]))
+def dataset_errors(spark, sf_dir):
+    return dataset.message_errors(_gold_set(spark))
+
+
+@query("SELECT 7 AS n, true AS unique_ids, false AS unique_texts, 6 AS announcement, 1 AS trap, 0 AS individual, 6 AS events")
+def gold_set_checks(spark, sf_dir):
+    return dataset.set_checks(_gold_set(spark))
+
+
+# Evidence in the text
+
+
+_EVIDENCE = [
+    (1, "Лекція у ауд. 305", "Завтра лекції: ауд. 305, 305 місць", "Завтра <mark>лекції</mark>: <mark>ауд</mark>. <mark>305</mark>, <mark>305</mark> місць"), (2, "конференція", "консультація", "консультація"),
+    (3, "Відкриття виставки", "відкриття виставка", "<mark>відкриття</mark> <mark>виставка</mark>"),
+]
+
+
+@query(_golden("message_id, marked", [(n, m) for n, _, _, m in _EVIDENCE]))
+def marked_evidence(spark, sf_dir):
+    """Places that support a value, merged and marked."""
+    from eventloom.sources.sinks import highlight
+
+    rows = _values(spark, [r[:3] for r in _EVIDENCE], "message_id long, value string, source string")
+    merged = reports.merge_spans(grounding.value_spans(rows, "message_id", "value", "source"), ["message_id"])
+    spans = merged.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return rows.join(spans, "message_id", "left").select("message_id", highlight(F.col("source"), F.coalesce("spans", none)).alias("marked"))
+
+
+@query(_golden("message_id, channel, text, ref_date", [(1, "manual:5", "a", "2024-01-01"), (2, "manual:5", "c", "2024-01-04")]))
+def manual_posts(spark, sf_dir):
+    from eventloom.sources.messages import manual_posts
+
+    rows = [(5, 1, "a", None, "2024-01-01T10:00:00", "2024-01-03T10:00:00"), (5, 2, "", "c", None, "2024-01-04T09:00:00"), (5, 3, None, "", None, "2024-01-04T09:00:00")]
+    return _as_text(manual_posts(_values(spark, rows, "chat_id long, message_id long, text string, caption string, origin_date string, date string")))
+
+
 @query()
 def stream_pipeline(spark, sf_dir):
     """The documents as a stream of files, gated and appended batch by batch."""

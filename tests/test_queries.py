@@ -19,7 +19,8 @@ def test_query(spark, con, name):
     if name in queries.ORACLE_SQL:
         same(df, con, queries.ORACLE_SQL[name])
     else:
-        assert df.count() >= 0
+        # Held against batch results below.
+        assert name in ("stream_pipeline", "stream_dedup")
 
 
 def test_stream_equals_batch(spark):
@@ -32,11 +33,10 @@ def test_stream_equals_batch(spark):
     batch = docs.where(rules.is_candidate(F.col("text"), 3.0, queries._WORDS)).select("doc_id")
     stream = queries.stream_pipeline(spark, SF).select("doc_id")
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
-    hashes = docs.select(F.coalesce(F.substring("text", 1, 512), F.lit("")).alias("t"))
     from eventloom.functions.text import content_hash
 
-    distinct = hashes.select(content_hash(F.col("t"), F.lit(None).cast("date"))).distinct().count()
-    assert queries.stream_dedup(spark, SF).count() == distinct
+    distinct = docs.select(content_hash(F.coalesce("text", F.lit("")), F.lit(None).cast("date"))).distinct()
+    assert sorted(map(tuple, queries.stream_dedup(spark, SF).collect())) == sorted(map(tuple, distinct.collect()))
 
 
 def test_stream_dedup_hashes_whole_texts(spark, tmp_path):

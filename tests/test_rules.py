@@ -1,6 +1,7 @@
 """Literal cases of single rules, and a hand-computed score."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,35 +51,85 @@ def test_repairs(spark):
 
 
 def test_normal_forms(spark):
-    assert value(spark, texts.norm(texts.nfkc_casefold(F.col("v")), folded=True), v="Аудиторія № 5,  2-го ’курсу’ – 7") == "аудиторія no 5, 2 'курсу'-7"
+    for raw, want in (
+        ("Аудиторія № 5,  2-го ’курсу’ – 7", "аудиторія no 5, 2 'курсу'-7"), ("П’ятниця", "п'ятниця"), ("Пʼятниця", "п'ятниця"), ("15–16 жовтня", "15-16 жовтня"), ("15 — 16 жовтня", "15-16 жовтня"),
+        ("студенти 2-го курсу", "студенти 2 курсу"), ("  Багато   пробілів  ", "багато пробілів"), ("ауд. № 305", "ауд. no 305"), ("STRAẞE ﬁ Ⅷ", "strasse fi viii"),
+    ):
+        assert value(spark, texts.norm(F.col("v")), v=raw) == want
     assert value(spark, texts.flat(F.col("v")), v=" 958 70 ") == "95870"
     edited = value(spark, texts.parse_edit_lines(F.col("v"), {"назва": "event_title", "дата": "date"}), v="Назва: Лекція: вступ\nдата: -\nінше: x")
     assert edited == {"event_title": "Лекція: вступ", "date": None}
 
 
+def _events(spark, index, rows):
+    """Rows of (message_id, number, {field: value})."""
+    fields = scoring.FIELDS
+    return spark.createDataFrame([(m, n, *(e.get(f) for f in fields)) for m, n, e in rows], f"message_id long, {index} int, " + ", ".join(f"{f} string" for f in fields))
+
+
+def _kinds(spark, *kinds):
+    return spark.createDataFrame(list(enumerate(kinds, 1)), "message_id long, kind string")
+
+
 def test_greedy_alignment_conflict(spark):
-    gold = spark.createDataFrame([(1, 0, "a", "2024-01-01", "10:00"), (1, 1, "b", "2024-01-01", "11:00")], "message_id long, gold_idx int, title string, date string, time string")
-    said = spark.createDataFrame([(1, 0, "b", "2024-01-01", "10:00"), (1, 1, "a", "2024-01-01", None)], "message_id long, pred_idx int, title string, date string, time string")
-    assert sorted((r.gi, r.pi, r.score) for r in scoring.align(gold, said).collect()) == [(0, 1, 5), (1, 0, 5)]
+    day = "2024-01-01"
+    gold = _events(spark, "gold_idx", [(1, 0, {"event_title": "a", "date": day, "time": "10:00"}), (1, 1, {"event_title": "b", "date": day, "time": "11:00"})])
+    said = _events(spark, "pred_idx", [(1, 0, {"event_title": "b", "date": day, "time": "10:00"}), (1, 1, {"event_title": "a", "date": day})])
+    scores = scoring.scored(_kinds(spark, "announcement"), gold, said)
+    assert sorted((r.gi, r.pi, r.score) for r in scoring.align(scores).collect()) == [(0, 1, 5), (1, 0, 5)]
 
 
 def test_counters_by_hand(spark):
-    fields = [f"f{i}" for i in range(8)] + ["title", "date", "time"]
-    gold_row = (1, 0, *["v"] * 5, None, None, None, "t", "2024-01-01", "10:00")
-    said_row = (1, 0, *["v"] * 3, "w", None, None, None, "x", "t", "2024-01-01", "10:00")
-    schema = ", ".join(f"{f} string" for f in fields)
-    gold = spark.createDataFrame([gold_row], f"message_id long, gold_idx int, {schema}")
-    said = spark.createDataFrame([said_row, (2, 0, *[None] * 8, "false", None, None)], f"message_id long, pred_idx int, {schema}")
-    kinds = spark.createDataFrame([(1, "announcement"), (2, "trap"), (3, "individual")], "message_id long, kind string")
-    pairs = scoring.align(gold, said)
-    scores = scoring.field_scores(gold, said, pairs, fields)
-    total = scoring.summed(scoring.message_counters(kinds, gold, said, pairs, scores, 11))
+    gold = _events(spark, "gold_idx", [(1, 0, {
+        "event_title": "Відкрита лекція", "date": "2026-10-12", "time": "14:00", "location": "ауд. 305", "target_audience": "3 курс", "event_type": "lecture", "description": "true", "language": "uk",
+    })])
+    said = _events(spark, "pred_idx", [(1, 0, {
+        "event_title": "Відкрита лекція з ML", "date": "2026-10-13", "time": "о 14.00", "location": "Ауд. 305", "organizer": "Кафедра ІТ", "target_audience": " ", "event_type": "lecture", "description": "x", "language": "uk",
+    }), (2, 0, {"event_title": "x"})])
+    scores = scoring.scored(_kinds(spark, "announcement", "trap", "individual", "trap"), gold, said)
+    total = scoring.summed(scoring.message_counters(scores.withColumn("error", F.when(F.col("message_id") == 4, "unavailable"))))
     row = total.first().asDict()
-    assert {k: row[k] for k in ("correct", "correct_null", "wrong", "fabricated", "missed", "traps_clean", "trap_false_events", "individual", "messages")} == {
-        "correct": 8, "correct_null": 2, "wrong": 1, "fabricated": 1, "missed": 1, "traps_clean": 0, "trap_false_events": 1, "individual": 1, "messages": 3,
-    }
+    want = {"correct": 8, "correct_null": 2, "wrong": 1, "fabricated": 1, "missed": 1, "traps": 2, "traps_clean": 0, "trap_false_events": 1, "individual": 1, "messages": 4, "errors": 1}
+    assert {k: row[k] for k in want} == want
     rates = scoring.metrics(total).first()
-    assert rates["field_accuracy_all"] == pytest.approx(8 / 11) and rates["fabrication_rate"] == pytest.approx(1 / 3)
+    assert rates["field_accuracy_all"] == pytest.approx(8 / 11) and rates["fabrication_rate"] == pytest.approx(1 / 3) and rates["correct_reject_rate"] == 0
+    statuses = {(r.message_id, r.status) for r in scoring.alignment_rows(scores).collect()}
+    assert statuses == {(1, "paired"), (2, "false_event")}
+
+
+@pytest.mark.parametrize("field, gold, keys, said, same", [
+    ("target_audience", "2 курс", [["2 курс"]], "студенти 2-го курсу", True), ("target_audience", "2 курс", [["2 курс"]], "студенти 3-го курсу", False),
+    ("location", "Онлайн (Zoom)", [["онлайн", "zoom"]], "Zoom", True), ("location", "ауд. 305 корпусу 2", [["305"], ["корпус"]], "ауд. 305", False),
+    ("location", "ауд. № 305", [["№ 305"]], "Ауд. № 305", True), ("location", "x", [[]], "x", False), ("organizer", "Straße", None, "die STRASSE", True),
+    ("meeting_code", "ID 958 7048 5650 · код 326210", [["95870485650"], ["326210"]], "95870485650 326210", True), ("meeting_code", "c", [["95870485650"], ["326210"]], "ID 958 7048 5650", False),
+])
+def test_keyed_fields(spark, field, gold, keys, said, same):
+    g = _events(spark, "gold_idx", [(1, 0, {"event_title": "t", "date": "2026-10-12", field: gold})])
+    g = g.withColumn(f"{field}_keys", F.lit(None).cast("array<array<string>>") if keys is None else F.from_json(F.lit(json.dumps(keys)), "array<array<string>>"))
+    p = _events(spark, "pred_idx", [(1, 0, {"event_title": "t", "date": "2026-10-12", field: said})])
+    cells = {r.field: r.category for r in scoring.field_scores(scoring.scored(_kinds(spark, "announcement"), g, p)).collect()}
+    assert cells[field] == ("correct" if same else "wrong")
+
+
+def test_intervals_hold_the_observed_value(spark):
+    rows = [(i, "announcement" if i % 5 else "trap", *[int(i * 7919 % 11 < 8) * (c in ("correct",)) + (c in ("gold_fields_total", "paired_fields", "traps")) for c in scoring._RATED]) for i in range(400)]
+    counters = spark.createDataFrame(rows, "message_id long, kind string, " + ", ".join(f"{c} long" for c in scoring._RATED))
+    found = {r.metric: r for r in scoring.bootstrap_intervals(counters, resamples=300).collect()}
+    rate = scoring.metrics(scoring.summed(counters)).first()["field_accuracy_all"]
+    r = found["field_accuracy_all"]
+    deviation = (rate * (1 - rate) / 400) ** 0.5
+    assert r.low < rate < r.high and r.high - r.low == pytest.approx(2 * 1.96 * deviation, rel=0.15)
+    assert set(found) == {"field_accuracy_all", "correct_reject_rate"}
+    again = {x.metric: x for x in scoring.bootstrap_intervals(counters.repartition(3), resamples=300).collect()}
+    assert again["field_accuracy_all"].low == pytest.approx(r.low)
+    same = scoring.paired_difference(counters, counters, resamples=50).first()
+    assert (same["observed"], same["low"], same["high"]) == (0.0, 0.0, 0.0)
+
+
+def test_times_drawn_are_poisson(spark):
+    times = spark.range(20_000).select(scoring.draw_times(F.col("id"), F.lit(7)).alias("k"), scoring.draw_times(F.col("id"), F.lit(8)).alias("l"))
+    row = times.agg(F.avg("k").alias("m"), F.var_samp("k").alias("v"), F.corr("k", "l").alias("c"), F.avg((F.col("k") == 0).cast("int")).alias("zero")).first()
+    assert row["m"] == pytest.approx(1, abs=0.03) and row["v"] == pytest.approx(1, abs=0.05) and abs(row["c"]) < 0.03 and row["zero"] == pytest.approx(0.3679, abs=0.012)
 
 
 def test_cursor_and_pages(spark):
@@ -103,18 +154,49 @@ def test_cursor_and_pages(spark):
 
 def test_index_percentiles(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "v double")
-    row = df.agg(reports.upper_median(F.col("v")).alias("m"), reports.p95(F.col("v")).alias("p")).first()
+    row = reports.placed_values(df.withColumn("model", F.lit("m")), "model", "v", {"m": reports.upper_median, "p": reports.p95}).first()
     assert (row["m"], row["p"]) == (6.0, 10.0)
+    # One value holds most rows, and one lies far off.
+    rows = [("a", 3.0)] * 90 + [("a", 1e6), ("a", -5.5), ("a", None)] + [("b", 2.0)]
+    found = {r.model: (r["m"], r["p"]) for r in reports.placed_values(spark.createDataFrame(rows, "model string, v double"), "model", "v", {"m": reports.upper_median, "p": reports.p95}).collect()}
+    assert found == {"a": (3.0, 3.0), "b": (2.0, 2.0)}
 
 
 def test_unreadable_answers_are_asked_for_again(spark):
-    from eventloom.plans.extract import ask, valid_events
+    from eventloom.plans.extract import ask, failures, valid_events
+
+    good = '{"events": [{"event_title": "x", "event_type": "other"}]}'
+
+    def chat(talk, schema):
+        text, n = talk[-1 if len(talk) == 1 else 0]["content"], (len(talk) + 1) // 2
+        if "never" in text:
+            return '{"events": [{"event_title": "x", "date": "2026-13-40"}]}' if n > 1 else "no json"
+        if "down" in text:
+            raise TimeoutError("too slow")
+        if "refused" in text:
+            raise ConnectionRefusedError("no server")
+        return good if n > 1 or "first" in text else "[]"
+
+    rows = [(i, "@a", t, dt.date(2024, 1, 1)) for i, t in enumerate(["never", "down", "refused", "first", "second"])]
+    posts = spark.createDataFrame(rows, "message_id long, channel string, text string, ref_date date")
+    answers = {r.text: r for r in ask(posts, chat).collect()}
+    assert {t: (r.attempts, r.error) for t, r in answers.items()} == {
+        "never": (3, "invalid"), "down": (3, "unavailable"), "refused": (1, "unavailable"), "first": (1, None), "second": (2, None),
+    }
+    assert "TimeoutError" in answers["down"].error_text and valid_events(ask(posts, chat)).count() == 2
+    # What is unavailable goes back to the queue; what stays bad is closed.
+    assert {r.message_id: r.again for r in failures(ask(posts, chat)).collect()} == {0: False, 1: True, 2: True}
+
+
+def test_recovery_after_a_transport_error(spark):
+    from eventloom.plans.extract import _answer
+
+    calls = []
 
     def chat(talk, schema):
-        return '{"events": [{"event_title": "x", "date": "2026-13-40"}]}' if len(talk) > 1 else "no json"
+        calls.append(len(talk))
+        if len(calls) == 1:
+            raise TimeoutError("blip")
+        return '{"events": []}'
 
-    posts = spark.createDataFrame([(1, "@a", "text", dt.date(2024, 1, 1))], "message_id long, channel string, text string, ref_date date")
-    answers = ask(posts, chat)
-    assert answers.first()["attempts"] == 2
-    # A date that isn't one makes the whole answer invalid.
-    assert valid_events(answers).count() == 0
+    assert _answer([{"role": "user", "content": "t"}], chat, "", 2) == ('{"events": []}', 2, None, None) and calls == [1, 1]
