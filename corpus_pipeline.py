@@ -12,6 +12,8 @@ tables; columns beside those of ``documents`` are dropped at the first stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm.common import clear_scratch, materialize, scratch_paths, table
@@ -21,28 +23,55 @@ from eventloom.llm.packing import pack_documents
 from eventloom.llm.quality import keep_good
 from eventloom.llm.secrets import mask_secrets
 
+#: Intermediate tables of the stages that ran in this process.
+_made: list[str] = []
+
+
+def _stage(of: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage; before it runs, intermediate tables of earlier ones go, but for those that ``docs`` still reads.
+
+    So a stage's result must be stored before the next stage begins, as the stages are meant to be run.
+    """
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {f.rsplit("/", 1)[0].split("eventloom-")[-1] for f in docs.inputFiles()} if _made else set()
+        clear_scratch(spark, [p for p in _made if p.split("eventloom-")[-1] not in read])
+        _made[:] = [p for p in _made if p.split("eventloom-")[-1] in read]
+        before = set(scratch_paths(spark))
+        out = of(docs)
+        _made.extend(p for p in scratch_paths(spark) if p not in before)
+        return out
+
+    run.__name__, run.__doc__ = of.__name__, of.__doc__
+    return run
+
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def quality_rules(docs: DataFrame) -> DataFrame:
     """Documents that fail a rule, or whose host does, go."""
     return keep_good(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each group of copies and near copies the document of least doc_id stays."""
     return one_of_each_group(docs)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def secret_scan(docs: DataFrame) -> DataFrame:
     """Secrets are masked; the documents stay."""
     return mask_secrets(docs)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def mixing(docs: DataFrame) -> DataFrame:
     """Sources are brought to their target words: documents go, stay or repeat."""
     return mixed_documents(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def packing(docs: DataFrame) -> DataFrame:
     """The pieces of every document and their places in sequences."""
     return pack_documents(docs)
 
@@ -62,8 +91,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        before = scratch_paths(spark)
         docs = materialize(stage(spark, docs, sf_dir))
-        # The stage's result is written: what it was made of, but for that, can go.
-        clear_scratch(spark, [p for p in scratch_paths(spark)[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
