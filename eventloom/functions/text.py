@@ -83,17 +83,23 @@ def keys_ok(keys: Column, value: Column) -> Column:
     return F.forall(keys, lambda group: F.exists(group, lambda alt: F.contains(value, alt)))
 
 
-def each_normal(groups: Column, form) -> Column:
-    """Groups of alternatives, each in the normal form ``form``.
+def joined_groups(groups: Column) -> Column:
+    """Groups of alternatives as one text, by control characters that no normal form touches."""
+    return F.array_join(F.transform(groups, lambda g: F.array_join(g, "\x01")), "\x02")
 
-    Nested arrays can't be sent to an Arrow function element by element: they are joined by
-    control characters that no form touches, made normal as one text, and split again.
-    """
-    joined = F.array_join(F.transform(groups, lambda g: F.array_join(g, "\x01")), "\x02")
-    alternatives = F.transform(F.split(form(joined), "\x02"), lambda g: F.transform(F.split(g, "\x01"), lambda x: F.trim(x)))
+
+def split_groups(groups: Column, normal: Column) -> Column:
+    """``groups`` with the alternatives of ``normal``, the normal form of their ``joined_groups``."""
+    alternatives = F.transform(F.split(normal, "\x02"), lambda g: F.transform(F.split(g, "\x01"), lambda x: F.trim(x)))
     return F.zip_with(groups, alternatives, lambda g, n: F.when(F.size(g) > 0, n).otherwise(F.array().cast("array<string>")))
 
 
+def each_normal(groups: Column, form) -> Column:
+    """Groups of alternatives, each in the normal form ``form``. Nested arrays can't be sent to an Arrow function
+    element by element: they are made normal as one text."""
+    return split_groups(groups, form(joined_groups(groups)))
+
+
 def joint_norm(values: list[Column]) -> Column:
     """The normal forms of several values as one array, worked out in one go; a null value's is empty."""
     joined = F.array_join(F.array(*(F.coalesce(v, F.lit("")) for v in values)), "\x03")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.schedule import normalize_clock
-from eventloom.functions.text import each_normal, flat, is_empty, joint_norm, keys_ok, norm, stripped
+from eventloom.functions.text import is_empty, joined_groups, joint_norm, keys_ok, split_groups, stripped
 
 FIELDS = ["event_title", "date", "time", "location", "organizer", "target_audience", "event_type", "description", "language", "link", "meeting_code"]
 #: Fields that are held against keys: each group of them must be met by one of its alternatives.
@@ -42,29 +42,30 @@ def normal_link(value: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def _keys(df: DataFrame, field: str, form, own: Column) -> Column:
-    """The keys in normal form; without any the value (``own``, its normal form) is the only one."""
-    value = F.array(F.array(own))
-    if f"{field}_keys" not in df.columns:
-        return value
-    keys = F.col(f"{field}_keys").cast("array<array<string>>")
-    return F.when(F.coalesce(F.size(keys), F.lit(0)) > 0, each_normal(keys, form)).otherwise(value)
-
-
 def _without_blanks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
 
 def gold_rows(gold: DataFrame) -> DataFrame:
-    """(message_id, gold): the events of a message, by their number, with normal forms of what they are held against."""
-    keyed = [*KEY_FIELDS, "meeting_code"]
-    gold = gold.withColumn("__forms", joint_norm([_of(gold, f) for f in keyed]))
-    form = {f: F.get("__forms", i) for i, f in enumerate(keyed)}
+    """(message_id, gold): the events of a message, by their number, with normal forms of what they are held against.
+
+    Values and keys are made normal as one text an event. Without keys the value is the only one.
+    """
+    fields = [*KEY_FIELDS, "meeting_code"]
+    keyed = [f for f in fields if f"{f}_keys" in gold.columns]
+    groups = {f: F.coalesce(F.col(f"{f}_keys").cast("array<array<string>>"), F.array().cast("array<array<string>>")) for f in keyed}
+    gold = gold.withColumn("__forms", joint_norm([*(_of(gold, f) for f in fields), *(joined_groups(groups[f]) for f in keyed)]))
+
+    def keys(f: str) -> Column:
+        form = _without_blanks if f == "meeting_code" else lambda c: c
+        value = F.array(F.array(form(F.get("__forms", fields.index(f)))))
+        if f not in keyed:
+            return value
+        return F.when(F.size(groups[f]) > 0, split_groups(groups[f], form(F.get("__forms", len(fields) + keyed.index(f))))).otherwise(value)
+
     event = F.struct(
         F.col("gold_idx").cast("int").alias("gi"),
-        *(_of(gold, f).alias(f) for f in FIELDS),
-        *(_keys(gold, f, norm, form[f]).alias(f"{f}_keys") for f in KEY_FIELDS),
-        _keys(gold, "meeting_code", flat, _without_blanks(form["meeting_code"])).alias("meeting_code_keys"),
+        *(_of(gold, f).alias(f) for f in FIELDS), *(keys(f).alias(f"{f}_keys") for f in fields),
         F.coalesce(_of(gold, "event_type_accept", "array<string>"), F.array().cast("array<string>")).alias("accept"),
         normal_link(_of(gold, "link")).alias("bare_link"), F.coalesce(_of(gold, "inferred", "boolean"), F.lit(False)).alias("inferred"),
     )
