@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -896,8 +897,12 @@ def dataset_checks(spark, sf_dir):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """A fresh path in the folder that all executors share; on one machine, where none is set, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="shared-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
