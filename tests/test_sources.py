@@ -76,3 +76,41 @@ def test_streamed_upserts_equal_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "t/v=1"))
     assert sorted(map(str, got.collect())) == sorted(map(str, current.select(*got.columns).collect()))
     assert got.count() == 3
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    from eventloom.sources.messages import load_jsonl, numbered_lines
+
+    lines = ["# a comment", *(json.dumps({"text": f"text {i} " + "x" * (i % 50), "date": "2024-01-03"}) if i % 7 else "" for i in range(2000))]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = numbered_lines(spark, str(tmp_path / "a.jsonl"))
+        assert rows.rdd.getNumPartitions() > 1 and sorted((r["at"], r.line) for r in rows.collect()) == list(enumerate(lines, 1))
+        messages = load_jsonl(spark, str(tmp_path / "a.jsonl"), "2024-01-01")[0]
+        assert {r.message_id for r in messages.collect()} == {n for n, x in enumerate(lines, 1) if x.startswith("{")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_run_folders_and_reports(spark, tmp_path):
+    (tmp_path / "meta.json").write_text(json.dumps({"model": "m", "dataset": "d"}))
+    runs = [{"model": "m", "message_id": 1, "events": [{"event_title": "a"}, {"event_title": "b"}], "prompt_sha256": "p"}, {"model": "m", "message_id": 2, "events": [], "prompt_sha256": "p"}]
+    (tmp_path / "runs.jsonl").write_text("\n".join(map(json.dumps, runs)))
+    meta, records = golds.load_run_folder(spark, str(tmp_path))
+    assert meta["dataset"] == "d" and [(r.pred_idx, r.event_title) for r in golds.predicted_events(records).orderBy("pred_idx").collect()] == [(0, "a"), (1, "b")]
+    (tmp_path / "reports").mkdir()
+    for name in "xy":
+        (tmp_path / f"reports/{name}.json").write_text(json.dumps({"meta": {"model": name, "think": False}, "records": [{"index": 0, "message_id": 1, "events": []}]}, indent=1))
+    assert sorted((r.model, r.think_off, r.use_schema) for r in golds.load_reports(spark, str(tmp_path / "reports")).collect()) == [("x", True, True), ("y", True, True)]
+
+
+def test_prompts(spark):
+    from eventloom.plans.extract import build_messages, prompt_hash, quirks_for
+
+    shots = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    assert [m["role"] for m in build_messages("p", "s", shots)] == ["system", "user", "assistant", "user"] and build_messages("p") == [{"role": "user", "content": "p"}]
+    assert prompt_hash("s", shots) != prompt_hash("s", shots[:1]) and len(prompt_hash("s", [])) == 64
+    table = {"qwen-4b": {"use_schema": False}}
+    assert quirks_for("qwen-4b-q4", table) == quirks_for("qwen", table) == {"use_schema": False} and quirks_for("qwen4", table) == {}
