@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import divergence, fingerprints, html_extraction, jaccard_join, mixing, packing, quality, resharding, secrets, token_counts, url_filters, vector_codes
+from eventloom.llm import divergence, fingerprints, html_extraction, jaccard_join, mixing, packing, quality, resharding, secrets, suffix_dedup, token_counts, url_filters, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_range_join": url_filters.op9_url_range_join,
     "op10_min_cost_resharding": resharding.op10_min_cost_resharding,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_divergence": divergence.op13_divergence,
 }
 
@@ -28,5 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality.OP5_SQL,
     "op9_url_range_join": url_filters.OP9_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_divergence": divergence.OP13_SQL,
 }
