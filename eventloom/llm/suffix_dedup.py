@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,9 @@ WINDOWS = 1 << 20
 #: Unequal runs of one anchor that go to a block as one group.
 GROUP = 1000
 #: Bytes of runs that a block holds, but for its last group.
-BLOCK = 3 << 20
+BLOCK = 3 << 18
+#: Places that are looked at one by one before all symbols are, and lookups that need no such walk.
+STEPS, FEW = 64, 3000
 #: Cells that a split deals an anchor's windows into.
 CELLS = 16
 #: Bytes of texts a bucket holds, and the most buckets that Spark allows.
@@ -52,18 +55,23 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACE = np.uint64((1 << 22) - 1)
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base modulo 2^64, and of its inverse."""
+    both = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+    for p in both:
+        p[:1] = 1
+        np.multiply.accumulate(p, out=p)
+    return both
+
+
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of every ``width`` bytes, from sums of powers modulo 2^64."""
     n = len(data)
-    powers = np.full(n, _BASE, np.uint64)
-    powers[:1] = 1
-    np.multiply.accumulate(powers, out=powers)
+    powers, inverse = _powers(1 << max(10, (n - 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    inverse = np.full(n - width + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-    inverse[:1] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    h = (sums[width:] - sums[: n - width + 1]) * inverse
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    h = (sums[width:] - sums[: n - width + 1]) * inverse[: n - width + 1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -90,7 +98,9 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, least: int, width: int) ->
     for low in range(0, len(data) - least + 1, WINDOWS):
         high = min(low + WINDOWS, len(data) - least + 1)
         starts = np.arange(low, high)
-        inside = starts + least <= ends[np.searchsorted(ends, starts, "right")]
+        a, b = np.searchsorted(ends, (low, high - 1), "right")
+        edges = np.clip(ends[a : b + 1], None, high)
+        inside = starts + least <= np.repeat(ends[a : b + 1], np.diff(edges, prepend=low))
         if not inside.any():
             continue
         hashes = _hashes(data[low : high + least - 1], width)
@@ -136,12 +146,13 @@ def suffix_order(symbols: np.ndarray, depth: int, n_symbols: int) -> tuple[np.nd
     packed = min(62 // bits, depth)
     key = np.zeros(n, np.int64)
     for j in range(packed):
-        key = (key << bits) | np.roll(symbols, -j)
-    order = np.argsort(key)
+        key <<= bits
+        key |= np.roll(symbols, -j)
+    order = np.argsort(key).astype(np.int32)
     keys = key[order]
     head = np.ones(n, bool)
     head[1:] = keys[1:] != keys[:-1]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
     done = packed
     # Only ties are ordered anew, by what follows them.
@@ -149,7 +160,7 @@ def suffix_order(symbols: np.ndarray, depth: int, n_symbols: int) -> tuple[np.nd
     while done < depth and len(tied):
         step = min(done, depth - done)
         at = order[tied]
-        both = rank[at] * n + rank[(at + step) % n]
+        both = rank[at].astype(np.int64) * n + rank[(at + step) % n]
         by = np.argsort(both)
         at, both = at[by], both[by]
         order[tied] = at
@@ -172,17 +183,19 @@ def repeated_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(symbols)
     values, symbols = np.unique(symbols, return_inverse=True)
+    # Small numbers: the order by one symbol is a radix sort.
+    symbols = symbols.astype(np.uint16)
     order, keys, packed, bits = suffix_order(symbols, depth, len(values))
     border = np.ones(n + 1, bool)
     border[1:n] = keys[1:] != keys[:-1]
     edge = np.flatnonzero(border[1:n] & (keys[1:] >> bits == keys[:-1] >> bits)) + 1
     before = symbols[order - 1]
     # Place j of the order, less its first symbol, is place follows[j]; back is the way there.
-    follows = np.argsort(before, kind="stable")
-    back = np.empty(n, np.int64)
-    back[follows] = np.arange(n)
+    follows = np.argsort(before, kind="stable").astype(np.int32)
+    back = np.empty(n, np.int32)
+    back[follows] = np.arange(n, dtype=np.int32)
     first = before[follows]
-    ranked = first * n + follows
+    ranked = first.astype(np.int64) * n + follows
     same = np.zeros(n + 1, bool)
     same[1:n] = first[1:] == first[:-1]
     ahead = np.where(same[back + 1], follows[np.minimum(back + 1, n - 1)], -1)
@@ -191,7 +204,10 @@ def repeated_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
         if not len(edge):
             break
         found, at, left = [], edge, edge - 1
-        while len(at) * len(values) > 30_000:
+        # Leftwards to the next border; of the few that are far from it, symbol by symbol.
+        for _ in range(STEPS):
+            if len(at) * len(values) <= FEW:
+                break
             j = back[left] + 1
             hit = (ahead[left] >= at) & ~border[j]
             found.append(j[hit])
