@@ -17,7 +17,7 @@ same anchor. Runs are known by the anchor and by a hash of the bytes that their
   which counts decide, so splitting always ends.
 
 Defined cases: a null text is empty; texts below 400 bytes are kept whole; matches never cross
-documents; a very long text is anchored a million windows at a time, in one task; equal
+documents; a very long text is anchored a quarter of a million windows at a time, in one task; equal
 hashes take the leftmost place; repeated rows are copies of each other, null and repeated ids
 are told apart by row; an empty table gives an empty result; columns other than the named
 ones are dropped.
@@ -39,13 +39,13 @@ from eventloom.llm.common import blocks_for, join_hot, kept_scratch, materialize
 
 LEAST = 400
 #: Windows that are worked on at once.
-WINDOWS = 1 << 20
+WINDOWS = 1 << 18
 #: Unequal runs of one anchor that go to a block as one group.
 GROUP = 1000
 #: Bytes of runs that a block holds, but for its last group.
 BLOCK = 3 << 18
 #: Places that are looked at one by one before all symbols are, and lookups that need no such walk.
-STEPS, FEW = 64, 3000
+STEPS, FEW = 64, 1500
 #: Cells that a split deals an anchor's windows into.
 CELLS = 16
 #: Bytes of texts a bucket holds, and the most buckets that Spark allows.
@@ -143,11 +143,10 @@ def suffix_order(symbols: np.ndarray, depth: int, n_symbols: int) -> tuple[np.nd
     how many symbols a key holds and the bits of each."""
     n = len(symbols)
     bits = max(1, int(n_symbols - 1).bit_length())
-    packed = min(62 // bits, depth)
-    key = np.zeros(n, np.int64)
-    for j in range(packed):
-        key <<= bits
-        key |= np.roll(symbols, -j)
+    packed, key = 1, symbols.astype(np.int64)
+    while 2 * packed * bits <= 62 and 2 * packed <= depth:
+        key = (key << (packed * bits)) | np.roll(key, -packed)
+        packed *= 2
     order = np.argsort(key).astype(np.int32)
     keys = key[order]
     head = np.ones(n, bool)
@@ -155,12 +154,17 @@ def suffix_order(symbols: np.ndarray, depth: int, n_symbols: int) -> tuple[np.nd
     rank = np.empty(n, np.int32)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
     done = packed
-    # Only ties are ordered anew, by what follows them.
+    # Only ties are ordered anew, by what follows them: the next two ranks, where three fit a key.
     tied = np.flatnonzero(~head | ~np.append(head[1:], True))
     while done < depth and len(tied):
         step = min(done, depth - done)
         at = order[tied]
         both = rank[at].astype(np.int64) * n + rank[(at + step) % n]
+        if n < 1 << 21 and done + step < depth:
+            more = min(done, depth - done - step)
+            both *= n
+            both += rank[(at + step + more) % n]
+            step += more
         by = np.argsort(both)
         at, both = at[by], both[by]
         order[tied] = at
@@ -182,10 +186,12 @@ def repeated_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     shorter one was found there. After ``depth`` - 1 steps all others have ``depth`` symbols in common.
     """
     n = len(symbols)
-    values, symbols = np.unique(symbols, return_inverse=True)
+    symbols = symbols - symbols.min()
+    used = np.bincount(symbols) > 0
+    n_symbols = int(used.sum())
     # Small numbers: the order by one symbol is a radix sort.
-    symbols = symbols.astype(np.uint16)
-    order, keys, packed, bits = suffix_order(symbols, depth, len(values))
+    symbols = (np.cumsum(used) - 1).astype(np.uint16)[symbols]
+    order, keys, packed, bits = suffix_order(symbols, depth, n_symbols)
     border = np.ones(n + 1, bool)
     border[1:n] = keys[1:] != keys[:-1]
     edge = np.flatnonzero(border[1:n] & (keys[1:] >> bits == keys[:-1] >> bits)) + 1
@@ -196,28 +202,32 @@ def repeated_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     back[follows] = np.arange(n, dtype=np.int32)
     first = before[follows]
     ranked = first.astype(np.int64) * n + follows
-    same = np.zeros(n + 1, bool)
-    same[1:n] = first[1:] == first[:-1]
-    ahead = np.where(same[back + 1], follows[np.minimum(back + 1, n - 1)], -1)
-    some = np.arange(len(values)) * n
+    # Places that have no border yet, and the same first symbol as the place before.
+    free = np.zeros(n + 1, bool)
+    free[1:n] = (first[1:] == first[:-1]) & ~border[1:n]
+    some = np.arange(n_symbols) * n
     for _ in range(packed, depth):
         if not len(edge):
             break
         found, at, left = [], edge, edge - 1
         # Leftwards to the next border; of the few that are far from it, symbol by symbol.
         for _ in range(STEPS):
-            if len(at) * len(values) <= FEW:
+            if len(at) * n_symbols <= FEW:
                 break
             j = back[left] + 1
-            hit = (ahead[left] >= at) & ~border[j]
-            found.append(j[hit])
+            hit = free[j]
+            j, here = j[hit], at[hit]
+            j = j[follows[j] >= here]
+            free[j] = False
+            found.append(j)
             go = ~border[left]
             at, left = at[go], left[go] - 1
         if len(at):
             j = np.searchsorted(ranked, (at[:, None] + some).ravel())
-            j = j[j < n]
-            found.append(j[same[j] & ~border[j]])
-        edge = np.unique(np.concatenate(found))
+            j = np.unique(j[free[j]])
+            free[j] = False
+            found.append(j)
+        edge = np.concatenate(found)
         border[edge] = True
     repeated = np.zeros(n, bool)
     repeated[order] = ~border[:n] | ~border[1:]
@@ -305,7 +315,7 @@ def bucketed_texts(docs: DataFrame) -> DataFrame:
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks_for(size, BUCKET)))
     name = f"texts_{uuid.uuid4().hex}"
     out = texts.repartition(buckets, "row").write.bucketBy(buckets, "row").sortBy("row")
-    out.option("path", kept_scratch(spark)).option("compression", "zstd").saveAsTable(name)
+    out.option("path", kept_scratch(spark)).saveAsTable(name)
     return spark.table(name)
 
 
