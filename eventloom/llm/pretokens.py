@@ -8,6 +8,7 @@ the library's own normalizer and pre-tokenizer.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -45,6 +46,17 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def plain_tokenizer(path: str):
+    """The same without its normalizer, for texts that went through it: lower-casing is not the same twice over (U+0130
+    before some combining marks)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        return Tokenizer.from_str(json.dumps(json.load(f) | {"normalizer": None}))
+
+
 @cache
 def _special(path: str) -> re.Pattern[str] | None:
     added = tokenizer(path).get_added_tokens_decoder().values()
@@ -66,8 +78,8 @@ def pretokens(text: str, path: str) -> list[str]:
 
 
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct pre-tokens one after the other, and how many each has."""
-    tok = tokenizer(path)
+    """Ids of distinct pre-tokens, normal already, one after the other, and how many each has."""
+    tok = plain_tokenizer(path)
     groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
     ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for group, found in zip(groups, tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):

@@ -30,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_url_range_join": url_filters.OP9_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op12_suffix_dedup": suffix_dedup.OP12_SQL,
     "op13_divergence": divergence.OP13_SQL,
 }

@@ -393,3 +393,16 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
+
+
+#: Windows are told apart by 64-bit hashes here.
+OP12_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT r, p, hash(substr(h, 2 * p + 1, {2 * LEAST})) AS k FROM (SELECT r, h, unnest(range(n - {LEAST - 1})) AS p FROM d WHERE n >= {LEAST})),
+m AS MATERIALIZED (SELECT r, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, p, count(*) FILTER (new) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, p > coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -{2 * LEAST}) + {LEAST} AS new FROM m)),
+s AS (SELECT r, min(p) AS a, max(p) + {LEAST} AS b FROM g GROUP BY r, g),
+t AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY r),
+k AS (SELECT doc_id, n, n_removed, n_spans, CASE WHEN a IS NULL THEN h
+  ELSE array_to_string([h[2 * (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END) + 1 : 2 * (CASE WHEN i > len(a) THEN n ELSE a[i] END)] FOR i IN range(1, len(a) + 2)], '') END AS left_over FROM d LEFT JOIN t USING (r))
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(left_over)) AS kept_sha256 FROM k"""

@@ -1,6 +1,7 @@
-"""The ten operators on small tables: brute force, round trips, and the odd cases of each."""
+"""The operators on small tables: brute force, round trips, and the odd cases of each."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import fingerprints, html_extraction, jaccard_join, mixing, packing, quality, queries, resharding, secrets, shingles, token_counts, url_filters
+from eventloom.llm import divergence, fingerprints, html_extraction, jaccard_join, mixing, packing, quality, queries, resharding, secrets, shingles, suffix_dedup, token_counts, url_filters, vector_codes
 from eventloom.llm.dom import Forest
 from eventloom.llm.pretokens import pieces, pretokens, tokenizer, vocabulary_path
 from tests.oracle import connect, same
@@ -47,6 +48,7 @@ def none(spark):
 
 
 ROWS = make_rows()
+VECTORS = "vec_id long, embedding array<float>, label int, code string, error string, __label string, __ints string"
 PAGES = "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in CLASHING if c not in ("host", "path"))
 
 
@@ -58,7 +60,9 @@ def test_sql(spark, name):
 def test_empty_tables(none, spark):
     pages = spark.createDataFrame([], PAGES)
     rules = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")
+    vectors = spark.createDataFrame([], VECTORS)
     for df in (
+        vector_codes.code_vectors(vectors), suffix_dedup.removal_digests(none), divergence.divergence_audit(none),
         secrets.secret_scan(none), secrets.mask_secrets(none), jaccard_join.jaccard_join(none), jaccard_join.one_of_each_group(none),
         packing.pack_documents(none), mixing.mix(none, ["doc_id"]), mixing.mixed_documents(none), quality.quality_rules(none), quality.keep_good(none),
         token_counts.count_tokens(none, vocabulary_path()), fingerprints.fingerprint_documents(none), resharding.reshard(none, F.lit(0)),
@@ -751,3 +755,210 @@ def test_scratch_is_cleared(spark):
 
     kept = materialize(spark.range(3))
     assert kept.count() == 3 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
+
+
+# 11
+
+
+def brute_codes(rows, parts=16, entries=64, rounds=2):
+    kept = [(v, [math.floor(256 * np.float32(x).item()) for x in e], label) for v, e, label in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    order = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    kept = [r for r in kept if len(r[1]) == len(order[0][1])]
+    order = [r for r in order if len(r[1]) == len(order[0][1])]
+    size = len(order[0][1]) // parts
+    cut = lambda q, p: q[p * size : (p + 1) * size]
+    books = [[list(cut(q, p)) for _, q, _ in order[:entries]] for p in range(parts)]
+    near = lambda v, p: min((sum((a - b) ** 2 for a, b in zip(v, e, strict=True)), i) for i, e in enumerate(books[p]))
+    for _ in range(rounds):
+        for p in range(parts):
+            held = {}
+            for _, q, _ in kept:
+                held.setdefault(near(cut(q, p), p)[1], []).append(cut(q, p))
+            for i, vs in held.items():
+                books[p][i] = [sum(c) // len(vs) for c in zip(*vs, strict=True)]
+    found = [(v, [near(cut(q, p), p) for p in range(parts)], label) for v, q, label in kept]
+    errors = Counter()
+    for _, f, label in found:
+        errors[label] += sum(e for e, _ in f)
+    digest = hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+    return [(v, "".join(f"{i:02x}" for _, i in f), sum(e for e, _ in f), errors[label], digest) for v, f, label in found]
+
+
+def vector_rows(n, seed, dims=32):
+    rng = random.Random(seed)
+    point = lambda: [round(rng.gauss(0, 1), 1) for _ in range(dims)]
+    hot = point()
+    rows = [(i, hot if i % 3 == 0 else point(), rng.choice([None, 0, 1, 2])) for i in range(n)]
+    rows += [(None, point(), 1), (None, point(), None), (5, point(), 2), (5, hot, 2), (900, None, 1), (901, [float("nan")] * dims, 1), (902, [float("inf"), *hot[1:]], 0)]
+    return [*rows, (903, [None, *hot[1:]], 1), (904, hot[:16], 1), (905, [], 1), (906, [-0.0] * dims, None)]
+
+
+@pytest.mark.parametrize("n", [300, 20])
+def test_vector_codes(spark, n):
+    rows = vector_rows(n, n)
+    df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], VECTORS).repartition(4)
+    found = vector_codes.code_vectors(df).select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect()
+    assert Counter(map(tuple, found)) == Counter(brute_codes(rows))
+
+
+def test_vector_codes_of_wide_values(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.uniform(-300, 300) for _ in range(16)], i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert Counter(map(tuple, vector_codes.code_vectors(df).collect())) == Counter(brute_codes(rows))
+    with pytest.raises(ValueError, match="can't be cut"):
+        vector_codes.code_vectors(df.withColumn("embedding", F.slice("embedding", 1, 7)))
+    with pytest.raises(OverflowError):
+        vector_codes.code_vectors(df.withColumn("embedding", F.transform("embedding", lambda x: x * 1e8)))
+
+
+def test_codes_decode_to_what_the_errors_say(spark):
+    df = spark.createDataFrame([(i, [float((i * k) % 97) / 7 for k in range(1, 33)], 0) for i in range(200)], "vec_id long, embedding array<float>, label int")
+    coded, books = vector_codes.compress(df)
+    ints = {r.vec_id: [math.floor(256 * x) for x in r.embedding] for r in df.collect()}
+    for r in coded.collect():
+        back = [int(x) for p in range(16) for x in books[p][int(r.code[2 * p : 2 * p + 2], 16)]]
+        assert sum((a - b) ** 2 for a, b in zip(ints[r.vec_id], back, strict=True)) == r.error
+
+
+# 12
+
+
+def brute_removal(rows, least):
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    seen = Counter(b[i : i + least] for _, b in texts for i in range(len(b) - least + 1))
+    out = []
+    for d, b in texts:
+        cover = bytearray(len(b))
+        for i in range(len(b) - least + 1):
+            if seen[b[i : i + least]] > 1:
+                cover[i : i + least] = b"\1" * least
+        kept = bytes(x for x, gone in zip(b, cover, strict=True) if not gone)
+        spans = sum(1 for i, gone in enumerate(cover) if gone and (i == 0 or not cover[i - 1]))
+        out.append((d, len(b), sum(cover), spans, hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+def repeating_rows():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(500)}" for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = text(60)
+    rows = [(i, text(rng.randrange(0, 80))) for i in range(40)]
+    for i in range(120):
+        near = base.split()
+        for _ in range(rng.randrange(4)):
+            near[rng.randrange(len(near))] = f"e{rng.randrange(99)}"
+        rows.append((100 + i, " ".join(near)))
+    return [*rows, (None, None), (None, ""), (7, "a" * 1000), (8, "ab" * 700 + "é" * 100), (8, base), (9, base), (None, base), (10, "a" * 350)]
+
+
+@pytest.mark.parametrize(("least", "group"), [(100, 1000), (100, 4), (40, 2), (7, 3)])
+def test_removed_repeats(spark, least, group):
+    """Also with groups so small that anchors are split into cells, down to single windows."""
+    rows = repeating_rows()
+    cut = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least, group)
+    found = cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("r"), F.size("spans").alias("n"), F.sha2("kept", 256).alias("h"))
+    assert Counter(map(tuple, found.collect())) == brute_removal(rows, least)
+    texts = {d: (t or "").encode() for d, t in rows if d is not None and d not in (8,)}
+    for r in cut.where("doc_id is not null and doc_id <> 8").collect():
+        gone = sorted((s.start, s.end) for s in r.spans)
+        at, kept = 0, b""
+        for a, b in gone:
+            kept, at = kept + texts[r.doc_id][at:a], b
+        assert kept + texts[r.doc_id][at:] == bytes(r.kept)
+
+
+def test_removal_of_odd_rows(docs):
+    found = suffix_dedup.removal_digests(docs).collect()
+    assert Counter(tuple(r) for r in found) == brute_removal([(d, t) for d, t, *_ in ROWS], 400)
+
+
+def test_backward_extension():
+    rng = random.Random(1)
+    for _ in range(200):
+        kinds, depth, n = rng.choice([1, 2, 3, 30]), rng.choice([1, 2, 3, 5, 8, 13, 40]), rng.randrange(1, 400)
+        s = [rng.randrange(1, kinds + 1) for _ in range(n)]
+        if rng.random() < 0.5:
+            s[n // 2 : n // 2 + n // 3] = s[: n // 3]
+        s = np.array([*s, 0])
+        windows = [tuple(s[np.arange(i, i + depth) % len(s)]) for i in range(len(s))]
+        times = Counter(windows)
+        assert suffix_dedup.repeated_suffixes(s, depth).tolist() == [times[w] > 1 for w in windows]
+
+
+# 13
+
+
+def brute_divergence(rows, least=10, top=10):
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    groups, df = {}, {}
+    for text, lang, source in rows:
+        words = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(lower))
+        groups.setdefault(lang or "", {}).setdefault(source or "", Counter()).update(words)
+        df.setdefault(lang or "", Counter()).update(set(words))
+    out = []
+    for lang, sources in groups.items():
+        kept = {t for t, n in df[lang].items() if n >= least}
+        v, whole = len(kept), Counter()
+        for c in sources.values():
+            whole.update({t: n for t, n in c.items() if t in kept})
+        share = lambda c: {t: 1 + 10**9 * (c[t] + 2) // (sum(c[k] for k in kept) + 2 * v) for t in kept}  # noqa: E731, B023
+        p, q = {s: share(c) for s, c in sources.items()}, share(whole)
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = [(sum(f(p[s][t], p[o][t]) for t in kept), o) for o in sources if o != s]
+            terms = [(f(p[s][t], q[t]), t) for t in kept if sources[s][t] > 0 and p[s][t] > q[t]]
+            for part, items, most in (("pair", pairs, None), ("term", terms, top)):
+                items.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, rank) for rank, (value, item) in enumerate(items[:most], 1)]
+    return Counter(out)
+
+
+def divergence_rows():
+    rng = random.Random(8)
+    words = ["the", "of", "Été", "été", "ÉTÉ", "straße", "слово", "a", "日本", *(f"{a}{b}" for a in "abcdefgh" for b in ("x", "yy", "zzzzzzzzz", "zzzzzzzzzq"))]
+    rows = []
+    for i in range(400):
+        source = rng.choice(["s1", "s2", "s3", None, "é", "hot", "hot", "hot"])
+        text = " ".join(rng.choice(words if source == "hot" else words[: rng.randrange(5, len(words))]) for _ in range(rng.randrange(40)))
+        rows.append((rng.choice([text, text.upper(), text.replace(" ", "1")]), rng.choice(["en", "en", "de", None]), source))
+    # Many ties that their bytes alone tell apart, a group of one source, groups without kept terms or any.
+    ties = " ".join(f"same{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12))
+    rows += [(ties, "tie", "a")] * 10 + [(f"other {i}", "tie", "b") for i in range(12)] + [("!!", "only", "x"), (None, "none", "x"), ("", "none", "y"), ("rare", "none", None)]
+    return rows
+
+
+def test_divergence(spark):
+    rows = divergence_rows()
+    df = spark.createDataFrame([(i % 7, t, g, s, None, *(["x"] * len(CLASHING))) for i, (t, g, s) in enumerate(rows)], SCHEMA).repartition(6)
+    found = divergence.divergence_audit(df).select("lang", "source", "part", "item", "value", "rank")
+    assert Counter(map(tuple, found.collect())) == brute_divergence(rows)
+
+
+def test_divergence_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "TILE", 2)
+    monkeypatch.setattr(divergence, "CELL_TERMS", 16)
+    monkeypatch.setattr(divergence, "AT_ONCE", 50)
+    rows = divergence_rows()
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    assert Counter(map(tuple, divergence.divergence_audit(df).select("lang", "source", "part", "item", "value", "rank").collect())) == brute_divergence(rows)
+
+
+def test_ids_of_texts_with_every_combining_mark():
+    """Lower-casing U+0130 before a mark isn't the same twice over: pre-tokens are encoded as they are."""
+    import unicodedata
+
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(0x300, 0x1B00) if unicodedata.combining(chr(c))]
+    letters = [*"aAiIıİoO'stre12 .!\n", *"İİİİİ", "<|endoftext|>", "’s", "ſ", "ẞ", "ǅ", "が", "ᄀ", "ᅡ", "ﬁ", "№"]
+    texts = ["İ̱", "İ̧ stanbul", *(f"İ{m}" for m in marks), *(f"xİ{m}{m} y" for m in marks)]
+    texts += ["".join(rng.choice(letters) if rng.random() < 0.6 else rng.choice(marks) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    path = vocabulary_path()
+    known = pieces(path)
+    for text, found in zip(texts, tokenizer(path).encode_batch(texts, add_special_tokens=False), strict=True):
+        words = pretokens(text, path)
+        known.learn(set(words))
+        assert known.encode(words).tolist() == found.ids, ascii(text)
