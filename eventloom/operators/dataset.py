@@ -129,3 +129,8 @@ def set_checks(gold: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), (F.count_distinct("message_id") == F.count(F.lit(1))).alias("unique_ids"), (F.count_distinct("text") == F.count(F.lit(1))).alias("unique_texts"),
         *(F.count_if(F.col("kind") == k).alias(k) for k in ("announcement", "trap", "individual")), F.coalesce(F.sum(F.size("events")), F.lit(0)).alias("events"),
     )
+
+
+def table_checks(messages: DataFrame, row_id: str, text: str) -> DataFrame:
+    """One row: messages, and how many different ids and texts they have; texts by a hash, so that no long one is sent on."""
+    return messages.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(row_id).alias("ids"), F.count_distinct(F.sha2(F.encode(text, "utf-8"), 256)).alias("texts"))

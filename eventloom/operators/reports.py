@@ -40,6 +40,20 @@ def placed_values(df: DataFrame, by: str, value: str, places: dict[str, Callable
     return found.groupBy(by).agg(*(F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(k) for k in places))
 
 
+def medians(df: DataFrame, by: str, value: str, name: str = "median") -> DataFrame:
+    """The median of each group, between the two middle values of an even number; groups without a value have no row."""
+    middle = placed_values(df, by, value, {"__low": lambda n: F.floor((n - 1) / 2), "__high": lambda n: F.floor(n / 2)})
+    return middle.select(by, ((F.col("__low") + F.col("__high")) / 2).alias(name))
+
+
+def run_stats(runs: DataFrame) -> DataFrame:
+    """One row: answers, their median and longest time (of those that took any; 0 for none), first turns."""
+    timed = runs.where(F.col("seconds") > 0).select(F.lit(1).alias("one"), "seconds")
+    total = runs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("seconds"), F.lit(0.0)).alias("most"), F.count_if(F.col("turn") == 0).alias("first_turns")).withColumn("one", F.lit(1))
+    joined = total.join(medians(timed, "one", "seconds"), "one", "left")
+    return joined.select("n", F.coalesce("median", F.lit(0.0)).alias("median"), "most", "first_turns")
+
+
 def latency_table(runs: DataFrame, by: str, seconds: str) -> DataFrame:
     timed = runs.where(F.col(seconds) > 0)
     s = F.col(seconds)
@@ -51,9 +65,8 @@ def bench_summary(runs: DataFrame) -> DataFrame:
     """Runs of one kind are right if a trap has no event and anything else has one; latency only of those without error."""
     good = F.when(F.col("kind") == "trap", F.col("found") == 0).otherwise(F.col("found") > 0) & F.col("error").isNull()
     seconds = F.when(F.col("error").isNull(), F.col("seconds"))
-    return runs.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(good).alias("ok"), F.median(seconds).alias("median"), F.max(seconds).alias("most"), F.sum(seconds).alias("total")
-    )
+    total = runs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("ok"), F.max(seconds).alias("most"), F.sum(seconds).alias("total"))
+    return total.join(medians(runs.where("error is null"), "kind", "seconds"), "kind", "left")
 
 
 def message_kind(note: Column) -> Column:
@@ -62,14 +75,18 @@ def message_kind(note: Column) -> Column:
     return F.when(F.startswith(upper, F.lit("ПАСТКА")), "trap").when(F.startswith(upper, F.lit("ІНДИВІДУАЛЬНА")), "individual").otherwise("announcement")
 
 
+def gate() -> Column:
+    """Why an event is filtered before hashes are looked at, or null: the gates in order."""
+    return F.when(~F.col("is_candidate"), "filtered").when(F.col("is_foreign"), "language").when(F.col("is_individual"), "individual").when(F.col("is_stale"), "stale")
+
+
 def destinies(events: DataFrame) -> DataFrame:
     """``fate`` and ``feed``: the gates in order, then the first surviving event of each content hash.
 
     ``events`` has index, ordinal, date, content_hash, and booleans is_candidate, is_foreign,
     is_individual, is_stale. A filtered event doesn't occupy a hash.
     """
-    gate = F.when(~F.col("is_candidate"), "filtered").when(F.col("is_foreign"), "language").when(F.col("is_individual"), "individual").when(F.col("is_stale"), "stale")
-    gated = events.withColumn("__gate", gate)
+    gated = events.withColumn("__gate", gate())
     # The first of a hash by a minimum, map-side, and a join on the row's own keys: a common hash is no hot key.
     first = gated.where("__gate is null").groupBy("content_hash").agg(F.min(F.struct("index", "ordinal")).alias("__f"))
     first = first.select("content_hash", "__f.index", "__f.ordinal", F.lit(True).alias("__first"))

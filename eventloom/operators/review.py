@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.grounding import STATUS_ORDER, status_rank
 from eventloom.functions.text import norm
-from eventloom.operators.reports import message_kind
+from eventloom.operators.reports import medians, message_kind
 from eventloom.operators.scoring import alignment_rows
 
 KINDS = ["announcement", "trap", "individual"]
@@ -42,23 +42,27 @@ def model_summary(records: DataFrame) -> DataFrame:
     counts = {}
     for k, short in zip(KINDS, ("ann", "trap", "individual"), strict=True):
         counts |= {f"{short}_n": F.count_if(kind == k), f"{short}_found": F.count_if((kind == k) & found), f"{short}_to_db": F.count_if((kind == k) & stored)}
-    return records.groupBy("model").agg(
+    total = records.groupBy("model").agg(
         F.count(F.lit(1)).alias("messages"), F.count_if(F.col("valid_json") & (F.col("attempts") == 1)).alias("first_try"), F.count_if(F.col("error").isNotNull()).alias("errors"),
         F.sum(F.size("events")).alias("events"), with_status("invented").alias("invented"), with_status("suspect").alias("suspect"),
         F.sum(missed_fields(F.col("event_checks"), F.col("message_checks"))).alias("missed_fields"), *(c.alias(n) for n, c in counts.items()),
-        F.count_if((kind == "trap") & ~found).alias("traps_clean"), F.coalesce(F.median(timed), F.lit(0.0)).alias("median_s"), F.coalesce(F.max(timed), F.lit(0.0)).alias("max_s"),
+        F.count_if((kind == "trap") & ~found).alias("traps_clean"), F.coalesce(F.max(timed), F.lit(0.0)).alias("max_s"),
     )
+    middle = medians(records.where(F.col("latency_s") > 0), "model", "latency_s", "median_s")
+    return total.join(middle, "model", "left").withColumn("median_s", F.coalesce("median_s", F.lit(0.0)))
 
 
 def run_totals(records: DataFrame) -> DataFrame:
     """One row: a run's totals, with the checks by status and the share of answers valid at once."""
     checks = F.flatten("event_checks")
     timed = F.when(F.col("latency_s") > 0, F.col("latency_s"))
-    return records.agg(
+    total = records.agg(
         F.count(F.lit(1)).alias("total"), F.sum(F.size("events")).alias("events"), F.count_if(F.col("error").isNotNull()).alias("errors"),
-        F.count_if(F.col("valid_json") & (F.col("attempts") == 1)).alias("first_try"), F.coalesce(F.median(timed), F.lit(0.0)).alias("median_s"), F.coalesce(F.max(timed), F.lit(0.0)).alias("max_s"),
+        F.count_if(F.col("valid_json") & (F.col("attempts") == 1)).alias("first_try"), F.coalesce(F.max(timed), F.lit(0.0)).alias("max_s"),
         *(F.sum(F.size(F.filter(checks, _is(s)))).alias(s) for s in STATUS_ORDER),
-    )
+    ).withColumn("one", F.lit(1))
+    middle = medians(records.where(F.col("latency_s") > 0).withColumn("one", F.lit(1)), "one", "latency_s", "median_s")
+    return total.join(middle, "one", "left").drop("one").withColumn("median_s", F.coalesce("median_s", F.lit(0.0)))
 
 
 def _is(status: str):
@@ -158,6 +162,28 @@ def consensus(scores: DataFrame) -> DataFrame:
     return cells.unionByName(traps.select("message_id", F.lit(1).cast("long").alias("consensus")))
 
 
+def review_blocks(scores: DataFrame, models: list[str]) -> DataFrame:
+    """(message_id, consensus, block): for every message on which a model and the gold set differ, a text for the one who
+    reviews it: a table of the cells that some model has wrong, then each model's events without a partner."""
+    wrong = disagreements(scores, models)
+    line = F.concat(F.lit("| "), F.array_join(F.array(F.col("gi").cast("string"), "field", *(F.col(f"`{m}`") for m in models)), " | "), F.lit(" |"))
+    lines = lambda order, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, text.alias("__line")))), lambda r: r["__line"]), "\n")
+    head = "\n".join("| " + " | ".join(cells) + " |" for cells in (["event", "field", *models], ["---"] * (2 + len(models))))
+    cells = wrong.groupBy("message_id").agg(lines(["gi", "field"], line).alias("cells"))
+    place = F.array_position(F.array(*map(F.lit, sorted(models))), F.col("model")).alias("__m")
+    note = F.concat(F.lit("- "), "model", F.lit(": "), "status", F.lit(" «"), "title", F.lit("»"))
+    notes = event_notes(scores)
+    told = notes.groupBy("message_id").agg(lines([place, "status", "title"], note).alias("told"))
+    both = cells.join(told, "message_id", "full").join(consensus(scores), "message_id", "left")
+    block = F.concat_ws("\n", F.concat(F.lit("## "), F.col("message_id").cast("string")), F.when(F.col("cells").isNotNull(), F.concat(F.lit(head + "\n"), "cells")), "told")
+    return both.select("message_id", F.coalesce("consensus", F.lit(0)).alias("consensus"), block.alias("block"))
+
+
+def write_review(blocks: DataFrame, path: str) -> None:
+    """Blocks in the order of review, JSON lines; files follow each other in that order."""
+    review_order(blocks).write.json(path)
+
+
 def review_order(blocks: DataFrame) -> DataFrame:
     """Most agreed against the gold set first, then by message."""
     return blocks.orderBy(F.desc("consensus"), "message_id")

@@ -73,18 +73,18 @@ def gold_rows(gold: DataFrame) -> DataFrame:
     return events.groupBy("message_id").agg(F.sort_array(F.collect_list("e")).alias("gold"))
 
 
-def predicted_rows(predicted: DataFrame) -> DataFrame:
-    """(message_id, predicted): likewise; a value of white space alone is none."""
+def predicted_rows(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(message_id, predicted), and ``by``, which tells runs apart: likewise; a value of white space alone is none."""
     keyed = [*KEY_FIELDS, "meeting_code"]
     said = {f: F.when(~is_empty(_of(predicted, f)), _of(predicted, f)) for f in FIELDS}
-    rows = predicted.select("message_id", F.col("pred_idx").cast("int").alias("pi"), *(said[f].alias(f) for f in FIELDS))
+    rows = predicted.select(*by, "message_id", F.col("pred_idx").cast("int").alias("pi"), *(said[f].alias(f) for f in FIELDS))
     rows = rows.withColumn("__forms", joint_norm([F.col(f) for f in keyed]))
     event = F.struct(
         "pi", *FIELDS, *(F.get("__forms", i).alias(f"n_{f}") for i, f in enumerate(KEY_FIELDS)),
         _without_blanks(F.get("__forms", len(KEY_FIELDS))).alias("n_meeting_code"), normalize_clock(F.col("time")).alias("clock"), normal_link(F.col("link")).alias("bare_link"),
     )
-    events = rows.select("message_id", event.alias("e"))
-    return events.groupBy("message_id").agg(F.sort_array(F.collect_list("e")).alias("predicted"))
+    events = rows.select(*by, "message_id", event.alias("e"))
+    return events.groupBy(*by, "message_id").agg(F.sort_array(F.collect_list("e")).alias("predicted"))
 
 
 def field_matches(field: str, g: Column, p: Column) -> Column:
@@ -116,16 +116,16 @@ def field_category(gold: Column, said: Column, matches: Column, inferred: Column
     )
 
 
-def scored(messages: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row a message: its columns, ``gold``, ``predicted``, ``candidates`` (s, gi, pi; s is the negative
+def scored(messages: DataFrame, gold: DataFrame, predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a message (and run, which ``by`` tells apart in messages and predictions): its columns, ``gold``, ``predicted``, ``candidates`` (s, gi, pi; s is the negative
     score), ``pairs`` (gi, pi, score) and ``cells`` (gi, pi, field, category, gold_null, gold_value, said).
 
     Pairs are chosen greedily, the best first, ties by gold and then by prediction: a total
     order, so a fold over the sorted candidates decides. Fields are judged for each pair.
     """
     none = lambda c, of: F.coalesce(c, F.array().cast(dict(of.dtypes)[c]))
-    g_rows, p_rows = gold_rows(gold), predicted_rows(predicted)
-    df = messages.join(g_rows, "message_id", "left").join(p_rows, "message_id", "left")
+    g_rows, p_rows = gold_rows(gold), predicted_rows(predicted, by)
+    df = messages.join(g_rows, "message_id", "left").join(p_rows, [*by, "message_id"], "left")
     df = df.withColumns({"gold": none("gold", g_rows), "predicted": none("predicted", p_rows)})
     met = F.transform("gold", lambda g: F.transform("predicted", lambda p: F.struct((-_pair_score(g, p)).alias("s"), g["gi"].alias("gi"), p["pi"].alias("pi"))))
     df = df.withColumn("candidates", F.sort_array(F.filter(F.flatten(met), lambda c: c["s"] <= -PAIR_THRESHOLD)))
@@ -202,8 +202,8 @@ def field_rows(scores: DataFrame) -> DataFrame:
     return scores.select("message_id", "kind", F.explode(F.concat(met, lost)).alias("x")).select("message_id", "kind", "x.*")
 
 
-def message_counters(scores: DataFrame) -> DataFrame:
-    """One row a message of additive counters. Sums of them are the total's.
+def message_counters(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a message (and run) of additive counters. Sums of them are the total's.
 
     ``scores`` may have ``error`` (the extraction failed: it counts, and a silent trap isn't clean)
     and ``kept`` (events that outlast the filters).
@@ -228,7 +228,7 @@ def message_counters(scores: DataFrame) -> DataFrame:
         "multi": only(multi), "multi_all_paired": only(multi & (n_missed == 0)), "multi_merged": only(multi & (n_pred < n_gold) & (n_pred > 0) & (n_extra == 0)),
         "extra_events": only(said, n_extra), "missed_events": only(said, n_missed), "errors": only(failed), "messages": F.lit(1).cast("long"),
     }
-    return scores.select("message_id", "kind", *(c.alias(k) for k, c in counts.items()))
+    return scores.select(*by, "message_id", "kind", *(c.alias(k) for k, c in counts.items()))
 
 
 def counter_names(counters: DataFrame, by: Sequence[str] = ()) -> list[str]:

@@ -113,23 +113,47 @@ def fold_batch(batch: DataFrame, groups: Column) -> DataFrame:
 def patched(events: DataFrame, patches: DataFrame) -> DataFrame:
     """Apply map patches (id, patch): only keys that are set count; title and type can't be cleared; the hash follows."""
     joined = events.join(patches.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left")
+    return apply_patch(joined).drop("__id", "patch")
+
+
+def apply_patch(events: DataFrame) -> DataFrame:
+    """Events with their own ``patch`` applied; a null one sets nothing."""
     out = {}
-    for c in ("event_title", "date", "event_type", "time"):
+    for c in FIELDS:
         if c not in events.columns:
             continue
         given = F.col("patch")[c].cast(dict(events.dtypes)[c])
         is_set = F.coalesce(F.array_contains(F.map_keys("patch"), c), F.lit(False))
         keeps = is_set & given.isNull() if c in ("event_title", "event_type") else F.lit(False)
         out[c] = F.when(is_set & ~keeps, given).otherwise(F.col(c))
-    return joined.withColumns(out).drop("__id", "patch").withColumn("content_hash", content_hash(F.col("event_title"), F.col("date")))
+    return events.withColumns(out).withColumn("content_hash", content_hash(F.col("event_title"), F.col("date")))
 
 
 def notifications(events: DataFrame, approved: Column, asof: str) -> DataFrame:
-    """(id, title, body) of what is told on approval: only events that are not over."""
-    today = F.lit(asof).cast("date")
+    """(id, title, body) of what is told on approval: only events of a known date that are not over."""
     place = F.col("location") if "location" in events.columns else F.lit(None).cast("string")
     body = notification_body(F.col("date"), F.col("time"), place)
-    return events.where(approved & (F.col("date").isNull() | (F.col("date") >= today))).select("id", F.col("event_title").alias("title"), body.alias("body"))
+    return events.where(approved & (F.col("date") >= F.lit(asof).cast("date"))).select("id", F.col("event_title").alias("title"), body.alias("body"))
+
+
+def moderated(events: DataFrame, decisions: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions of moderators as one step: the events after it, and what is told.
+
+    ``decisions`` has id, verdict (approve, reject, or edit), maybe notify (default true: an approved event to
+    come is told) and patch (a map, for an edit, as in ``patched``). Ids of no event change nothing.
+    """
+    at = F.lit(now).cast("timestamp_ntz")
+    notify = F.coalesce("notify", F.lit(True)) if "notify" in decisions.columns else F.lit(True)
+    patch = F.col("patch") if "patch" in decisions.columns else F.lit(None).cast("map<string,string>")
+    made = decisions.select(F.col("id").alias("__id"), "verdict", notify.alias("__notify"), F.when(F.col("verdict") == "edit", patch).alias("patch"))
+    joined = events.join(made, F.col("id") == F.col("__id"), "left")
+    approved = F.col("verdict") == "approve"
+    status = F.when(approved, "approved").when(F.col("verdict") == "reject", "rejected").otherwise(F.col("status"))
+    told = notifications(joined, F.coalesce(approved & F.col("__notify"), F.lit(False)), now[:10])
+    # An edit that sets nothing leaves the event as it was.
+    moved = F.col("verdict").isin("approve", "reject") | (F.size("patch") > 0)
+    edited = apply_patch(joined.withColumns({"status": status, "updated_at": F.when(moved, at).otherwise(F.col("updated_at"))}))
+    return edited.drop("__id", "verdict", "__notify", "patch"), told
 
 
 def write_version(events: DataFrame, path: str, version: int) -> str:

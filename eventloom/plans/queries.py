@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +12,7 @@ from eventloom.functions import grounding, meeting, rules, schedule
 from eventloom.functions import text as texts
 from eventloom.operators import dataset, feed, jobs, reports, review, scoring, store
 from eventloom.plans import fixtures as fx
+from eventloom.sources.scratch import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,7 +199,7 @@ def patch_edit(spark, sf_dir):
 
 
 @query(f"""WITH {fx.CALENDAR} SELECT id, event_title AS title, concat_ws(', ', coalesce(strftime(date, '%Y-%m-%d'), 'дата уточнюється'), time, CASE id % 4 WHEN 0 THEN 'hall ' || (id % 9)::VARCHAR END) AS body
-FROM cal WHERE status = 'pending' AND id % 3 = 0 AND (date IS NULL OR date >= DATE '{fx.TODAY}')""")
+FROM cal WHERE status = 'pending' AND id % 3 = 0 AND date >= DATE '{fx.TODAY}'""")
 def approve_notify(spark, sf_dir):
     n = F.col("id")
     events = fx.calendar(spark, sf_dir).withColumn("location", F.when(n % 4 == 0, F.concat(F.lit("hall "), (n % 9).cast("string"))).when(n % 4 == 1, ""))
@@ -291,13 +289,15 @@ _TITLES = [
 ]
 
 
-@query(f"""WITH t(title, normal, value_form) AS (VALUES {", ".join("('" + "', '".join(x.replace("'", "''") for x in r) + "')" for r in _TITLES)})
-SELECT title, normal, value_form, sha256(replace(normal, 'п ятниця', 'пʼятниця') || '|2026-11-02') AS content_hash FROM t""")
+@query(f"""WITH t(case_no, title, normal, value_form) AS (VALUES {", ".join(f"({i}, '" + "', '".join(x.replace("'", "''") for x in r) + "')" for i, r in enumerate(_TITLES))})
+SELECT doc_id, title || ' ' || lang AS title, ltrim(normal || ' ' || lang) AS normal, ltrim(value_form || ' ' || lang) AS value_form, sha256(ltrim(replace(normal, 'п ятниця', 'пʼятниця') || ' ' || lang) || '|2026-11-02') AS content_hash
+FROM documents JOIN t ON doc_id % {len(_TITLES)} = case_no""")
 def title_forms(spark, sf_dir):
     """Letters that fold to others: the hash and the normal form of values."""
     t = F.col("title")
-    rows = _values(spark, [(r[0],) for r in _TITLES], "title string")
-    return rows.select("title", F.regexp_replace(texts.normalize_title(t), "ʼ", " ").alias("normal"), texts.norm(t).alias("value_form"), texts.content_hash(t, F.lit(_MONDAY).cast("date")).alias("content_hash"))
+    rows = _cases(spark, sf_dir, [(r[0],) for r in _TITLES], "title string").join(fx.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.withColumn("title", F.concat("title", F.lit(" "), "lang"))
+    return rows.select("doc_id", "title", F.regexp_replace(texts.normalize_title(t), "ʼ", " ").alias("normal"), texts.norm(t).alias("value_form"), texts.content_hash(t, F.lit(_MONDAY).cast("date")).alias("content_hash"))
 
 
 @query(f"WITH {fx.CALENDAR}, x AS (SELECT *, row_number() OVER (PARTITION BY id // 50, lower(trim(event_title)), date ORDER BY id) AS k FROM cal) SELECT id FROM x WHERE k = 1")
@@ -390,9 +390,31 @@ def _values(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def _golden(columns: str, rows: list[tuple]) -> str:
-    cell = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
+def _cell(v) -> str:
+    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+
+
+def _cases(spark, sf_dir, rows, schema):
+    """Every document with one of the cases, in turn by its id."""
+    cases = _values(spark, [(i, *r) for i, r in enumerate(rows)], f"__case long, {schema}")
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(rows)).alias("__case"))
+    return docs.join(F.broadcast(cases), "__case").drop("__case")
+
+
+def _golden(columns: str, rows: list[tuple], n: int | None = None) -> str:
+    """What the cases must give, for every document; where a case gives no row or several, its number comes first and ``n`` is
+    how many cases there are."""
+    numbered = rows if n else [(i, *r) for i, r in enumerate(rows)]
+    values = ", ".join("(" + ", ".join(map(_cell, r)) + ")" for r in numbered)
+    return f"SELECT doc_id, {columns} FROM (SELECT doc_id FROM documents) JOIN (VALUES {values}) t(case_no, {columns}) ON doc_id % {n or len(rows)} = case_no"
+
+
+#: Weeks by which a document's clock is ahead, so that days of the week are the same.
+_WEEKS_SQL = "7 * (doc_id % 40)::INT"
+
+
+def _ahead(day: str):
+    return F.date_add(F.lit(day).cast("date"), (7 * (F.col("doc_id") % 40)).cast("int"))
 
 
 _MONDAY = "2026-11-02"
@@ -403,10 +425,10 @@ _RELATIVE = [
 ]
 
 
-@query(_golden("text, date", _RELATIVE))
+@query(_golden("text, date", _RELATIVE).replace("text, date FROM", f"text, strftime(date::DATE + {_WEEKS_SQL}, '%Y-%m-%d') AS date FROM"))
 def uk_schedule(spark, sf_dir):
-    rows = _values(spark, [(t,) for t, _ in _RELATIVE], "text string")
-    return rows.select("text", schedule.resolve_relative_date(F.col("text"), F.lit(_MONDAY).cast("date")).cast("string").alias("date"))
+    rows = _cases(spark, sf_dir, [(t,) for t, _ in _RELATIVE], "text string")
+    return rows.select("doc_id", "text", schedule.resolve_relative_date(F.col("text"), _ahead(_MONDAY)).cast("string").alias("date"))
 
 
 _TIMES = [("11:00-16:00", "11:00"), ("9:5", None), ("11.00", None), ("9:05", "09:05"), ("24:00", None), ("11.00 – 16.00", "11:00"), (" 8:30 ", "08:30")]
@@ -414,7 +436,7 @@ _TIMES = [("11:00-16:00", "11:00"), ("9:5", None), ("11.00", None), ("9:05", "09
 
 @query(_golden("value, time", _TIMES))
 def uk_time(spark, sf_dir):
-    return _values(spark, [(t,) for t, _ in _TIMES], "value string").select("value", schedule.normalize_time(F.col("value")).alias("time"))
+    return _cases(spark, sf_dir, [(t,) for t, _ in _TIMES], "value string").select("doc_id", "value", schedule.normalize_time(F.col("value")).alias("time"))
 
 
 _MEETINGS = [
@@ -427,8 +449,8 @@ _MEETINGS = [
 @query(_golden("text, link, code, platform", _MEETINGS))
 def uk_meeting(spark, sf_dir):
     t = F.col("text")
-    rows = _values(spark, [(r[0],) for r in _MEETINGS], "text string")
-    return rows.select("text", meeting.repaired_link(F.lit(None).cast("string"), t).alias("link"), meeting.find_meeting_code(t).alias("code"), meeting.detect_platform(t).alias("platform"))
+    rows = _cases(spark, sf_dir, [(r[0],) for r in _MEETINGS], "text string")
+    return rows.select("doc_id", "text", meeting.repaired_link(F.lit(None).cast("string"), t).alias("link"), meeting.find_meeting_code(t).alias("code"), meeting.detect_platform(t).alias("platform"))
 
 
 _STALE = [
@@ -440,8 +462,8 @@ _STALE = [
 
 @query(_golden("text, reason", _STALE))
 def uk_stale(spark, sf_dir):
-    rows = _values(spark, [(t,) for t, _ in _STALE], "text string")
-    return rows.select("text", rules.stale_reason(F.col("text"), F.lit(None).cast("date"), F.lit(_MONDAY).cast("date")).alias("reason"))
+    rows = _cases(spark, sf_dir, [(t,) for t, _ in _STALE], "text string")
+    return rows.select("doc_id", "text", rules.stale_reason(F.col("text"), F.lit(None).cast("date"), F.lit(_MONDAY).cast("date")).alias("reason"))
 
 
 _SCOPES = [
@@ -453,7 +475,7 @@ _SCOPES = [
 
 @query(_golden("text, scope, reason", _SCOPES))
 def uk_scope(spark, sf_dir):
-    return _values(spark, [(r[0],) for r in _SCOPES], "text string").select("text", rules.classify_scope(F.col("text")).alias("v")).select("text", "v.scope", "v.reason")
+    return _cases(spark, sf_dir, [(r[0],) for r in _SCOPES], "text string").select("doc_id", "text", rules.classify_scope(F.col("text")).alias("v")).select("doc_id", "text", "v.scope", "v.reason")
 
 
 _LANGUAGES = [("скоро відкриття: регистрация закрыта, ждём", "ru"), ("їжа та объект", "uk"), ("приглашаем всех", "ru"), ("друзі", "uk"), ("сегодня", None), ("hello", None), ("дуже добре", "uk")]
@@ -461,15 +483,15 @@ _LANGUAGES = [("скоро відкриття: регистрация закры
 
 @query(_golden("text, language", _LANGUAGES))
 def uk_language(spark, sf_dir):
-    return _values(spark, [(t,) for t, _ in _LANGUAGES], "text string").select("text", rules.detect_language(F.col("text")).alias("language"))
+    return _cases(spark, sf_dir, [(t,) for t, _ in _LANGUAGES], "text string").select("doc_id", "text", rules.detect_language(F.col("text")).alias("language"))
 
 
 _PREFILTERED = [("Гарних вихідних усім! 🌞", 0.0), ("Запрошуємо на лекцію 12.05 о 14:30", 5.0), ("завтра", 0.5), ("наступного тижня", 0.0), ("", 0.0), ("Дедлайн 3 квітня", 2.0)]
 
 
-@query(_golden("text, score", _PREFILTERED).replace("SELECT *", "SELECT text, score::DOUBLE AS score"))
+@query(_golden("text, score", _PREFILTERED).replace("text, score FROM", "text, score::DOUBLE AS score FROM"))
 def uk_prefilter(spark, sf_dir):
-    return _values(spark, [(t,) for t, _ in _PREFILTERED], "text string").select("text", rules.prefilter_score(F.col("text")).alias("score"))
+    return _cases(spark, sf_dir, [(t,) for t, _ in _PREFILTERED], "text string").select("doc_id", "text", rules.prefilter_score(F.col("text")).alias("score"))
 
 
 _DATES = [
@@ -480,8 +502,8 @@ _DATES = [
 
 @query(_golden("date, text, status", _DATES))
 def uk_date_grounding(spark, sf_dir):
-    rows = _values(spark, [r[:2] for r in _DATES], "date string, text string")
-    return rows.select("date", "text", grounding.date_status(F.col("date").cast("date"), F.col("text"), F.lit(_MONDAY).cast("date")).alias("status"))
+    rows = _cases(spark, sf_dir, [r[:2] for r in _DATES], "date string, text string")
+    return rows.select("doc_id", "date", "text", grounding.date_status(F.col("date").cast("date"), F.col("text"), F.lit(_MONDAY).cast("date")).alias("status"))
 
 
 _FOUND = [
@@ -491,8 +513,8 @@ _FOUND = [
 
 @query(_golden("value, source, status", _FOUND))
 def uk_text_grounding(spark, sf_dir):
-    rows = _values(spark, [r[:2] for r in _FOUND], "value string, source string")
-    return rows.select("value", "source", grounding.text_status(F.col("value"), F.col("source")).alias("status"))
+    rows = _cases(spark, sf_dir, [r[:2] for r in _FOUND], "value string, source string")
+    return rows.select("doc_id", "value", "source", grounding.text_status(F.col("value"), F.col("source")).alias("status"))
 
 
 _KINDS = [("ПАСТКА: реклама", "trap"), (" індивідуальна консультація", "individual"), ("подія", "announcement"), (None, "announcement")]
@@ -500,17 +522,14 @@ _KINDS = [("ПАСТКА: реклама", "trap"), (" індивідуальн
 
 @query(_golden("note, kind", _KINDS))
 def message_kinds(spark, sf_dir):
-    return _values(spark, [(n,) for n, _ in _KINDS], "note string").select("note", reports.message_kind(F.col("note")).alias("kind"))
-
+    return _cases(spark, sf_dir, [(n,) for n, _ in _KINDS], "note string").select("doc_id", "note", reports.message_kind(F.col("note")).alias("kind"))
 
-_ASKED = [("Лекція", 'Reference date: 2026-11-02 (Monday)\nMessage: "Лекція"')]
 
-
-@query(_golden("text, prompt", _ASKED))
+@query(f"""WITH {fx.MESSAGES} SELECT message_id, md5('Reference date: ' || strftime(ref_date, '%Y-%m-%d') || ' (' || dayname(ref_date) || ')' || chr(10) || 'Message: "' || text || '"') AS prompt FROM msg""")
 def user_messages(spark, sf_dir):
     from eventloom.plans.extract import user_message
 
-    return _values(spark, [(t,) for t, _ in _ASKED], "text string").select("text", user_message(F.col("text"), F.lit(_MONDAY).cast("date")).alias("prompt"))
+    return fx.messages(spark, sf_dir).select("message_id", F.md5(F.encode(user_message(F.col("text"), F.col("ref_date")), "utf-8")).alias("prompt"))
 
 
 @query(f"WITH {fx.MESSAGES} SELECT message_id FROM msg WHERE lower(channel) IN ('@src1', '@src7')")
@@ -820,8 +839,7 @@ def status_histogram(spark, sf_dir):
 
 @query(f"WITH {fx.RUNS} SELECT count(*) AS n, coalesce(median(seconds) FILTER (seconds > 0), 0)::DOUBLE AS median, coalesce(max(seconds), 0)::DOUBLE AS most, count(*) FILTER (turn = 0) AS first_turns FROM runs")
 def run_stats(spark, sf_dir):
-    s = F.when(F.col("seconds") > 0, F.col("seconds"))
-    return fx.runs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.median(s), F.lit(0.0)).alias("median"), F.coalesce(F.max(s), F.lit(0.0)).alias("most"), F.count_if(F.col("turn") == 0).alias("first_turns"))
+    return reports.run_stats(fx.runs(spark, sf_dir))
 
 
 @query(f"""WITH {fx.RUNS}, x AS (SELECT CASE WHEN message_id % 7 = 0 THEN 'trap' WHEN message_id % 11 = 0 THEN 'individual' ELSE 'announcement' END AS kind, message_id % 3 AS found, CASE WHEN turn % 9 = 4 THEN 'timeout' END AS error, seconds FROM runs)
@@ -890,62 +908,73 @@ def consensus_cells(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(DISTINCT text) AS texts FROM documents")
 def dataset_checks(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_distinct("text").alias("texts"))
+    return dataset.table_checks(fx.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 # Sources and streams, on small files written for the purpose
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share; on one machine, where none is set, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="shared-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _file(spark: SparkSession, text: str) -> str:
-    path = _shared(spark)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return path
+#: Documents as objects of a file: whole, with other names and a bad date, without a text, with a blank one.
+_OBJECT_SQL = f"""o AS (SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 3 THEN '  ' WHEN 2 THEN NULL ELSE md5(text) END AS text, source FROM documents),
+loaded AS (SELECT doc_id AS message_id, CASE k WHEN 0 THEN strftime(DATE '2024-01-01' + (doc_id % 20)::INT, '%Y-%m-%d') ELSE '{fx.TODAY}' END AS date, text, '@' || source AS channel, CASE k WHEN 0 THEN 'note ' || doc_id::VARCHAR ELSE '' END AS note
+  FROM o WHERE k < 2)"""
 
 
-_OBJECTS = [
-    {"text": "Лекція завтра", "date": "2024-01-03T10:00:00", "source_channel": "@a", "source_message_id": 5, "_expect": "x"},
-    {"text": "без дати", "date": "2024-13-40", "channel": "@b", "id": 6},
-    {"date": "2024-01-05"}, {"text": "  ", "date": "2024-01-05"}, {"text": "без номера", "date": "2024-01-06"},
-]
-_LOADED = [(5, "2024-01-03", "Лекція завтра", "@a", "x"), (6, fx.TODAY, "без дати", "@b", "")]
-_COLUMNS = "message_id, date, text, channel, note"
+def _objects(spark, sf_dir):
+    n = F.col("doc_id")
+    text, day = F.md5(F.encode("text", "utf-8")), F.date_add(F.lit("2024-01-01").cast("date"), (n % 20).cast("int")).cast("string")
+    whole = F.to_json(F.struct(text.alias("text"), F.concat(day, F.lit("T10:00:00")).alias("date"), F.concat(F.lit("@"), "source").alias("source_channel"), n.alias("source_message_id"), F.concat(F.lit("note "), n.cast("string")).alias("_expect")))
+    other = F.to_json(F.struct(text.alias("text"), F.lit("2024-13-40").alias("date"), F.concat(F.lit("@"), "source").alias("channel"), n.alias("id")))
+    said = F.when(n % 4 == 0, whole).when(n % 4 == 1, other).when(n % 4 == 2, F.to_json(F.struct(day.alias("date"), n.alias("id")))).otherwise(F.to_json(F.struct(F.lit("  ").alias("text"), n.alias("id"))))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", "source", said.alias("value"))
 
 
-@query(_golden(_COLUMNS, [*_LOADED, (7, "2024-01-06", "без номера", "@sample", "")]))
+@query(f"WITH {_OBJECT_SQL} SELECT * FROM loaded")
 def load_jsonl(spark, sf_dir):
+    """Lines of JSON, comments and blank lines between them."""
     from eventloom.sources.messages import load_messages
 
-    lines = [json.dumps(o, ensure_ascii=False) for o in _OBJECTS]
-    return _as_text(load_messages(spark, _file(spark, "\n".join(["# comment", *lines[:2], "", *lines[2:]])), fx.TODAY)[0])
+    path = shared_path(spark)
+    lines = _objects(spark, sf_dir).select(F.explode(F.array(F.lit("# comment"), "value", F.lit(""))).alias("value"))
+    lines.write.text(path)
+    return _as_text(load_messages(spark, path, fx.TODAY)[0])
+
 
+def _files_of_a_hundred(rows, columns):
+    """(part, whole): a text a hundred documents, at most that many."""
+    return rows.groupBy(F.floor(F.col("doc_id") / 100).alias("part"), "name").agg(F.sort_array(F.collect_list(F.struct("doc_id", *columns))).alias("rows"))
 
-@query(_golden(_COLUMNS, [*_LOADED, (5, "2024-01-06", "без номера", "@sample", "")]))
+
+@query(f"WITH {_OBJECT_SQL} SELECT * FROM loaded")
 def load_array(spark, sf_dir):
+    """Arrays of JSON, a file for each hundred documents."""
     from eventloom.sources.messages import load_messages
 
-    return _as_text(load_messages(spark, _file(spark, json.dumps(_OBJECTS, ensure_ascii=False, indent=1)), fx.TODAY)[0])
+    path = shared_path(spark)
+    whole = _files_of_a_hundred(_objects(spark, sf_dir).withColumn("name", F.lit("all")), ["value"])
+    whole = whole.select("part", F.concat(F.lit("[\n"), F.array_join(F.transform("rows", lambda r: r["value"]), ",\n"), F.lit("]")).alias("value"))
+    whole.repartition("part").write.partitionBy("part").text(path)
+    return _as_text(load_messages(spark, f"{path}/part=*", fx.TODAY)[0])
 
 
-@query(_golden(_COLUMNS, [(1, "2024-01-02", "привіт світ", "faculty", ""), (3, "2024-01-03", "рядок", "faculty", "")]))
+@query("""WITH x AS (SELECT doc_id, doc_id % 5 AS k, md5(text) AS t, source, strftime(DATE '2024-01-01' + (doc_id % 20)::INT, '%Y-%m-%d') AS day FROM documents)
+SELECT doc_id AS message_id, day AS date, CASE k WHEN 0 THEN 'part ' || t ELSE t END AS text, source AS channel, '' AS note FROM x WHERE k IN (0, 2)""")
 def load_export(spark, sf_dir):
+    """Chat exports, a file for each hundred documents and source; service messages, bad dates and empty texts are left out."""
     from eventloom.sources.messages import load_messages
 
-    export = {"name": "faculty", "messages": [
-        {"id": 1, "type": "message", "date": "2024-01-02T00:00:00", "text": ["привіт ", {"type": "bold", "text": "світ"}]},
-        {"id": 2, "type": "service", "date": "2024-01-02T00:00:00", "text": "x"}, {"id": 3, "type": "message", "date": "2024-01-03T00:00:00", "text": "рядок"},
-        {"id": 4, "type": "message", "date": "bad", "text": "y"}, {"id": 5, "type": "message", "date": "2024-01-03T00:00:00", "text": ""},
-    ]}
-    return _as_text(load_messages(spark, _file(spark, json.dumps(export, ensure_ascii=False)), fx.TODAY)[0])
+    n, text = F.col("doc_id"), F.md5(F.encode("text", "utf-8"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (n % 20).cast("int")).cast("string")
+    parts = F.concat(F.lit('["part ", {"type": "bold", "text": "'), text, F.lit('"}]'))
+    said = F.when(n % 5 == 0, parts).when(n % 5 == 3, '""').otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    kind, date = F.when(n % 5 == 1, "service").otherwise("message"), F.when(n % 5 == 4, "bad").otherwise(F.concat(day, F.lit("T00:00:00")))
+    message = F.concat(F.lit('{"id": '), n.cast("string"), F.lit(', "type": "'), kind, F.lit('", "date": "'), date, F.lit('", "text": '), said, F.lit("}"))
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), message.alias("value"))
+    whole = _files_of_a_hundred(rows, ["value"])
+    body = F.concat(F.lit('{"name": "'), "name", F.lit('", "messages": ['), F.array_join(F.transform("rows", lambda r: r["value"]), ","), F.lit("]}"))
+    path = shared_path(spark)
+    whole.select(F.concat_ws("-", "part", "name").alias("file"), body.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return _as_text(load_messages(spark, f"{path}/file=*", fx.TODAY)[0])
 
 
 def _chat(messages: list[dict], schema: str) -> str:
@@ -954,20 +983,21 @@ def _chat(messages: list[dict], schema: str) -> str:
     return json.dumps({"events": [{"event_title": " ".join(text.split()[:4]), "time": "25:00", "event_type": "other"}]})
 
 
-_POSTS = [
-    (1, "@a", "Запрошуємо на лекцію завтра о 14:30", "2024-01-03"), (2, "@a", "Гарних вихідних!", "2024-01-03"),
-    (3, "@a", "Семінар скасовано.", "2024-01-03"), (4, "@a", "Приглашаем на встречу, мы ждём", "2024-01-03"),
-]
+_POST_TEXTS = ["Запрошуємо на лекцію завтра о 14:30", "Гарних вихідних!", "Семінар скасовано.", "Приглашаем на встречу, мы ждём"]
+
 
+def _posts_of(spark, sf_dir, texts_, start="2024-01-03"):
+    """Documents as posts of one channel that take the texts in turn, each on its day."""
+    day = F.date_add(F.lit(start).cast("date"), (F.col("doc_id") % 30).cast("int"))
+    return _cases(spark, sf_dir, [(t,) for t in texts_], "text string").select(F.col("doc_id").alias("message_id"), F.lit("@a").alias("channel"), "text", day.alias("ref_date"))
 
-@query(_golden("message_id, event_title, date, reason", [
-    (1, "Запрошуємо на лекцію завтра", "2024-01-04", None), (3, "Семінар скасовано.", None, "подію скасовано, нової дати немає: «скасовано»"),
-]))
+
+@query("""SELECT doc_id AS message_id, 'Запрошуємо на лекцію завтра' AS event_title, strftime(DATE '2024-01-04' + (doc_id % 30)::INT, '%Y-%m-%d') AS date, NULL AS reason FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'Семінар скасовано.', NULL, 'подію скасовано, нової дати немає: «скасовано»' FROM documents WHERE doc_id % 4 = 2""")
 def process_messages(spark, sf_dir):
     from eventloom.plans.extract import process
 
-    posts = _values(spark, _POSTS, "message_id long, channel string, text string, ref_date string").withColumn("ref_date", F.col("ref_date").cast("date"))
-    return _as_text(process(posts, _chat).select("message_id", "event_title", "date", "reason"))
+    return _as_text(process(_posts_of(spark, sf_dir, _POST_TEXTS), _chat).select("message_id", "event_title", "date", "reason"))
 
 
 def _failing(talk: list[dict], schema: str) -> str:
@@ -980,24 +1010,24 @@ def _failing(talk: list[dict], schema: str) -> str:
     return json.dumps({"events": []}) if "good" in text or ("late" in text and turn > 1) else "{}"
 
 
-@query(_golden("message_id, attempts, error, again", [(1, 1, None, None), (2, 3, "unavailable", True), (3, 1, "unavailable", True), (4, 2, None, None), (5, 3, "invalid", False)]))
+_FAILING = ["good", "down", "refused", "late", "bad"]
+
+
+@query(_golden("attempts, error, again", [(1, None, None), (3, "unavailable", True), (1, "unavailable", True), (2, None, None), (3, "invalid", False)]).replace("SELECT doc_id,", "SELECT doc_id AS message_id,"))
 def extractor_failures(spark, sf_dir):
     from eventloom.plans.extract import ask, failures
 
-    rows = [(i, "@a", t, "2024-01-03") for i, t in enumerate(["good", "down", "refused", "late", "bad"], 1)]
-    posts = _values(spark, rows, "message_id long, channel string, text string, ref_date string").withColumn("ref_date", F.col("ref_date").cast("date"))
-    answers = ask(posts, _failing)
+    answers = ask(_posts_of(spark, sf_dir, _FAILING), _failing)
     again = failures(answers).select("message_id", "again")
     return answers.select("message_id", "attempts", "error").join(again, "message_id", "left")
 
 
-@query(_golden("messages, first_try, valid, invalid, unavailable, attempts", [(5, 1, 2, 1, 2, 10)]))
+@query("""SELECT count(*) AS messages, count(*) FILTER (k = 0) AS first_try, count(*) FILTER (k IN (0, 3)) AS valid, count(*) FILTER (k = 4) AS invalid, count(*) FILTER (k IN (1, 2)) AS unavailable, sum([1, 3, 1, 2, 3][k + 1])::BIGINT AS attempts
+FROM (SELECT doc_id % 5 AS k FROM documents)""")
 def attempt_stats(spark, sf_dir):
     from eventloom.plans.extract import ask, attempt_stats
 
-    rows = [(i, "@a", t, "2024-01-03") for i, t in enumerate(["good", "down", "refused", "late", "bad"], 1)]
-    posts = _values(spark, rows, "message_id long, channel string, text string, ref_date string").withColumn("ref_date", F.col("ref_date").cast("date"))
-    return attempt_stats(ask(posts, _failing))
+    return attempt_stats(ask(_posts_of(spark, sf_dir, _FAILING), _failing))
 
 
 _REPLAYED = [
@@ -1010,15 +1040,16 @@ _REPLAY_TEXTS = {
 }
 
 
-@query(_golden("message_id, ordinal, dropped", [(m, o, d) for m, o, _, _, _, d in _REPLAYED]))
+@query(_golden("ordinal, dropped", [(m - 1, o, d) for m, o, _, _, _, d in _REPLAYED], len(_REPLAY_TEXTS)).replace("SELECT doc_id,", "SELECT doc_id AS message_id,"))
 def replayed_events(spark, sf_dir):
     """Saved answers through the write path's filters, with what each would be dropped for."""
     from eventloom.plans.extract import FIELDS as WRITTEN
     from eventloom.plans.extract import replayed
 
-    rows = [(m, "@a", _REPLAY_TEXTS[m], "2024-01-03", o, t, d, g) for m, o, t, d, g, _ in _REPLAYED]
-    events = _values(spark, rows, "message_id long, channel string, text string, ref_date string, ordinal int, event_title string, date string, language string")
-    events = events.withColumns({f: F.lit(None).cast("string") for f in WRITTEN if f not in ("event_title", "date", "language")}).withColumn("ref_date", F.col("ref_date").cast("date"))
+    said = [([(o, t, d, g) for m, o, t, d, g, _ in _REPLAYED if m == n], text) for n, text in sorted(_REPLAY_TEXTS.items())]
+    rows = _cases(spark, sf_dir, said, "events array<struct<ordinal:int,event_title:string,date:string,language:string>>, text string")
+    events = rows.select(F.col("doc_id").alias("message_id"), F.lit("@a").alias("channel"), "text", F.lit("2024-01-03").cast("date").alias("ref_date"), F.explode("events").alias("e")).select("message_id", "channel", "text", "ref_date", "e.*")
+    events = events.withColumns({f: F.lit(None).cast("string") for f in WRITTEN if f not in ("event_title", "date", "language")})
     return replayed(events).select("message_id", "ordinal", "dropped")
 
 
@@ -1032,32 +1063,40 @@ _REPORTS = [{"meta": {"model": m, "use_schema": True}, "records": [
 ]} for k, m in enumerate(["a", "b"])]
 
 
-def _reports(spark):
+def _reports(spark, sf_dir):
+    """Reports of two models, a line for each hundred documents: a record a document, of the three kinds in turn."""
     from eventloom.sources.gold import load_reports
 
-    path = _shared(spark)
-    spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in _REPORTS], "value string").repartition(2).write.option("lineSep", "\n").text(path)
-    # A report is a file; here each row is one.
+    lines = [tuple(json.dumps(r["records"][k] | {"index": 987654321, "message_id": 987654321}, ensure_ascii=False) for r in _REPORTS) for k in range(3)]
+    rows = _cases(spark, sf_dir, lines, "a string, b string")
+    numbered = [F.replace(m, F.lit("987654321"), F.col("doc_id").cast("string")).alias(m) for m in ("a", "b")]
+    parts = rows.select("doc_id", *numbered).groupBy(F.floor(F.col("doc_id") / 100)).agg(*(F.array_join(F.collect_list(m), ",").alias(m) for m in ("a", "b")))
+    report = lambda m: F.concat(F.lit(f'{{"meta": {{"model": "{m}", "use_schema": true}}, "records": ['), F.col(m), F.lit("]}"))
+    path = shared_path(spark)
+    parts.select(F.explode(F.array(report("a"), report("b"))).alias("value")).write.text(path)
     return load_reports(spark, path)
 
 
-@query(_golden("model, messages, first_try, errors, events, invented, suspect, missed_fields, ann_found, ann_to_db, traps_clean, trap_to_db, individual_found, median_s, max_s", [
-    ("a", 3, 1, 1, 1, 1, 0, 2, 1, 1, 1, 0, 0, 3.0, 4.0), ("b", 3, 1, 1, 2, 1, 1, 2, 1, 1, 0, 0, 0, 3.5, 4.0),
-]).replace("SELECT *", "SELECT * REPLACE (median_s::DOUBLE AS median_s, max_s::DOUBLE AS max_s)"))
+_THIRDS = "n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n0, count(*) FILTER (doc_id % 3 = 1) AS n1, count(*) FILTER (doc_id % 3 = 2) AS n2 FROM documents)"
+
+
+@query(f"""WITH {_THIRDS}, m(model, k) AS (VALUES ('a', 0::BIGINT), ('b', 1::BIGINT))
+SELECT model, n AS messages, n0 AS first_try, n2 AS errors, n0 + k * n1 AS events, n0 AS invented, k * n1 AS suspect, 2 * n0 AS missed_fields, n0 AS ann_found, n0 AS ann_to_db, (1 - k) * n1 AS traps_clean, 0::BIGINT AS trap_to_db, 0::BIGINT AS individual_found,
+(SELECT median(CASE doc_id % 3 WHEN 0 THEN 2.0 + k ELSE 4.0 END) FROM documents WHERE doc_id % 3 < 2)::DOUBLE AS median_s, 4.0::DOUBLE AS max_s FROM n, m""")
 def model_summary(spark, sf_dir):
-    return review.model_summary(_reports(spark)).select(
+    return review.model_summary(_reports(spark, sf_dir)).select(
         "model", "messages", "first_try", "errors", "events", "invented", "suspect", "missed_fields", "ann_found", "ann_to_db", "traps_clean", "trap_to_db", "individual_found", "median_s", "max_s"
     )
 
 
-@query(_golden("message_id, a, b", [(1, "1 → БД", "1 → БД"), (2, "—", "1 (відс.)"), (3, "збій", "збій")]))
+@query(_golden("a, b", [("1 → БД", "1 → БД"), ("—", "1 (відс.)"), ("збій", "збій")]).replace("SELECT doc_id,", "SELECT doc_id AS message_id,"))
 def model_answers(spark, sf_dir):
-    return review.model_answers(_reports(spark), ["a", "b"])
+    return review.model_answers(_reports(spark, sf_dir), ["a", "b"])
 
 
-@query(_golden("total, events, errors, first_try, invented, missed, suspect", [(6, 3, 2, 2, 2, 2, 1)]))
+@query(f"WITH {_THIRDS} SELECT 2 * n AS total, 2 * n0 + n1 AS events, 2 * n2 AS errors, 2 * n0 AS first_try, 2 * n0 AS invented, 2 * n0 AS missed, n1 AS suspect FROM n")
 def run_totals(spark, sf_dir):
-    return review.run_totals(_reports(spark)).select("total", "events", "errors", "first_try", "invented", "missed", "suspect")
+    return review.run_totals(_reports(spark, sf_dir)).select("total", "events", "errors", "first_try", "invented", "missed", "suspect")
 
 
 _VERDICT = "index int, message_id long, auto_worst string, events array<struct<send:string,in_db:boolean>>, field_counts struct<correct:int,invented_ok:int,invented_bad:int,missed:int>, field_marks map<string,string>, bad_fields array<string>, cleared_flags int, verdict string"
@@ -1146,9 +1185,9 @@ _PHRASES = [
 
 @query(_golden("phrase, date, inferred", _PHRASES))
 def phrase_dates(spark, sf_dir):
-    rows = _values(spark, [(p,) for p, *_ in _PHRASES], "phrase string")
+    rows = _cases(spark, sf_dir, [(p,) for p, *_ in _PHRASES], "phrase string")
     found = dataset.resolve_phrase(F.col("phrase"), F.lit(_MONDAY).cast("date"))
-    return rows.select("phrase", found.alias("f")).select("phrase", F.col("f.date").cast("string").alias("date"), "f.inferred")
+    return rows.select("doc_id", "phrase", found.alias("f")).select("doc_id", "phrase", F.col("f.date").cast("string").alias("date"), "f.inferred")
 
 
 _EXPLICIT = [("з 10 листопада о 11.00", "10 листопада"), ("об 11.00 і 12.10.2026", "12.10.2026"), ("15-16 грудня, 05.13", "15-16 грудня"), ("до 17.30 завтра", ""), ("оцінка 4.05", "4.05")]
@@ -1156,7 +1195,7 @@ _EXPLICIT = [("з 10 листопада о 11.00", "10 листопада"), ("
 
 @query(_golden("text, dates", _EXPLICIT))
 def explicit_dates(spark, sf_dir):
-    return _values(spark, [(t,) for t, _ in _EXPLICIT], "text string").select("text", F.array_join(dataset.explicit_dates(F.col("text")), "|").alias("dates"))
+    return _cases(spark, sf_dir, [(t,) for t, _ in _EXPLICIT], "text string").select("doc_id", "text", F.array_join(dataset.explicit_dates(F.col("text")), "|").alias("dates"))
 
 
 def _gold_message(n: int, **change) -> dict:
@@ -1186,20 +1225,24 @@ _GOLD_ERRORS = [
 ]
 
 
-def _gold_set(spark):
+def _gold_set(spark, sf_dir):
+    """A gold set of as many messages as there are documents, a line each, with the mistakes of the cases in turn."""
     from eventloom.sources.gold import load_gold
 
-    return load_gold(spark, _file(spark, json.dumps(_GOLD_SET, ensure_ascii=False)))
+    lines = [(json.dumps(m | {"source_message_id": 987654321}, ensure_ascii=False),) for m in _GOLD_SET]
+    path = shared_path(spark)
+    _cases(spark, sf_dir, lines, "value string").select(F.replace("value", F.lit("987654321"), F.col("doc_id").cast("string")).alias("value")).write.text(path)
+    return load_gold(spark, path)
 
 
-@query(_golden("message_id, rule, event", [e for e in _GOLD_ERRORS if e != (6, "explicit_date", None)]))
+@query(_golden("rule, event", [(n - 1, rule, event) for n, rule, event in _GOLD_ERRORS if (n, rule) != (6, "explicit_date")], len(_GOLD_SET)).replace("SELECT doc_id,", "SELECT doc_id AS message_id,"))
 def dataset_errors(spark, sf_dir):
-    return dataset.message_errors(_gold_set(spark))
+    return dataset.message_errors(_gold_set(spark, sf_dir))
 
 
-@query("SELECT 7 AS n, true AS unique_ids, false AS unique_texts, 6 AS announcement, 1 AS trap, 0 AS individual, 6 AS events")
+@query("SELECT count(*) AS n, true AS unique_ids, false AS unique_texts, count(*) FILTER (doc_id % 7 <> 2) AS announcement, count(*) FILTER (doc_id % 7 = 2) AS trap, 0::BIGINT AS individual, count(*) FILTER (doc_id % 7 <> 5) AS events FROM documents")
 def gold_set_checks(spark, sf_dir):
-    return dataset.set_checks(_gold_set(spark))
+    return dataset.set_checks(_gold_set(spark, sf_dir))
 
 
 # Evidence in the text
@@ -1211,24 +1254,30 @@ _EVIDENCE = [
 ]
 
 
-@query(_golden("message_id, marked", [(n, m) for n, _, _, m in _EVIDENCE]))
+@query(_golden("marked", [(m,) for _, _, _, m in _EVIDENCE]).replace("SELECT doc_id,", "SELECT doc_id AS message_id,"))
 def marked_evidence(spark, sf_dir):
     """Places that support a value, merged and marked."""
     from eventloom.sources.sinks import highlight
 
-    rows = _values(spark, [r[:3] for r in _EVIDENCE], "message_id long, value string, source string")
+    rows = _cases(spark, sf_dir, [r[1:3] for r in _EVIDENCE], "value string, source string").withColumnRenamed("doc_id", "message_id")
     merged = reports.merge_spans(grounding.value_spans(rows, "message_id", "value", "source"), ["message_id"])
     spans = merged.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return rows.join(spans, "message_id", "left").select("message_id", highlight(F.col("source"), F.coalesce("spans", none)).alias("marked"))
 
 
-@query(_golden("message_id, channel, text, ref_date", [(1, "manual:5", "a", "2024-01-01"), (2, "manual:5", "c", "2024-01-04")]))
+@query("""SELECT doc_id AS message_id, 'manual:' || (doc_id % 9)::VARCHAR AS channel, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE 'caption' END AS text,
+strftime(CASE WHEN doc_id % 2 = 0 THEN DATE '2024-01-01' ELSE DATE '2024-01-03' END + (doc_id % 20)::INT, '%Y-%m-%d') AS ref_date FROM documents WHERE doc_id % 3 < 2""")
 def manual_posts(spark, sf_dir):
+    """Documents as posts by hand: with a text, with a caption alone, with neither; half of them forwarded."""
     from eventloom.sources.messages import manual_posts
 
-    rows = [(5, 1, "a", None, "2024-01-01T10:00:00", "2024-01-03T10:00:00"), (5, 2, "", "c", None, "2024-01-04T09:00:00"), (5, 3, None, "", None, "2024-01-04T09:00:00")]
-    return _as_text(manual_posts(_values(spark, rows, "chat_id long, message_id long, text string, caption string, origin_date string, date string")))
+    n, at = F.col("doc_id"), lambda day: F.date_format(F.date_add(F.lit(day).cast("date"), (F.col("doc_id") % 20).cast("int")), "yyyy-MM-dd'T'09:00:00")
+    posts = fx.table(spark, sf_dir, "documents").select(
+        (n % 9).alias("chat_id"), n.alias("message_id"), F.when(n % 3 == 0, F.md5(F.encode("text", "utf-8"))).when(n % 3 == 1, "").alias("text"), F.when(n % 3 == 1, "caption").when(n % 3 == 2, "").alias("caption"),
+        F.when(n % 2 == 0, at("2024-01-01")).alias("origin_date"), at("2024-01-03").alias("date"),
+    )
+    return _as_text(manual_posts(posts))
 
 
 @query()
@@ -1237,7 +1286,7 @@ def stream_pipeline(spark, sf_dir):
     from eventloom.streaming.ingest import run_available
 
     schema = fx.table(spark, sf_dir, "documents").schema
-    out, checkpoint = _shared(spark), _shared(spark)
+    out, checkpoint = shared_path(spark), shared_path(spark)
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
 
     def batch(df: DataFrame, n: int) -> None:
@@ -1254,7 +1303,7 @@ def stream_dedup(spark, sf_dir):
     from eventloom.streaming.ingest import deduplicated, run_available
 
     schema = fx.table(spark, sf_dir, "documents").schema
-    out, checkpoint = _shared(spark), _shared(spark)
+    out, checkpoint = shared_path(spark), shared_path(spark)
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     titled = stream.select("doc_id", F.coalesce("text", F.lit("")).alias("title"), F.lit(None).cast("date").alias("date"))
     run_available(deduplicated(titled, "title", "date"), checkpoint, lambda df, n: df.select("content_hash").write.mode("overwrite").parquet(f"{out}/batch={n}"))

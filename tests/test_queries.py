@@ -2,7 +2,7 @@
 
 import pytest
 
-from eventloom.plans import queries
+from eventloom.plans import checks, queries, stateful  # noqa: F401
 from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
