@@ -7,15 +7,16 @@ the fields); both are numbered from 0 in a message. Columns that are missing are
 Normal forms are worked out once an event. Gold and predicted events of a message then meet
 in one row (a message holds a few events), in which pairs are chosen and cells are judged, so
 that a score costs one exchange of each side. Everything after that are sums over messages,
-which combine map-side; resamples weigh messages inside their rows and need no join.
+which combine map-side; resamples draw from blocks of messages and make no table of draws.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.schedule import normalize_clock
@@ -275,33 +276,82 @@ def subtype(category: Column) -> Column:
     return F.when(F.contains(category, F.lit(":")), F.substring(category, F.instr(category, ":") + 1, F.length(category))).otherwise(category)
 
 
-#: Cumulative probabilities of a Poisson number with mean 1, in 2**32 steps: how often a message is drawn.
-TIMES = [int((1 << 32) * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
+#: Messages of a block, roughly: what a task draws from at once.
+DRAWN_BLOCK = 8192
+#: Draws that are made at once.
+_DRAWN_AT_ONCE = 1 << 20
+_WIDE, _ID, _DRAW, _TURN, _BLOCK_STEP = 1 << 32, 1_000_000_007, 2_654_435_761, 40_503, 3_266_489_917
 
 
-def draw_times(message_id: Column, draw: Column, seed: int = RESAMPLING_SEED) -> Column:
-    """How often a resample draws a message: a Poisson number from a hash of both, as many resamples of equal
-    size hold it. Integers alone, so that every engine makes the same table of draws."""
-    wide = 1 << 32
-    x = (F.pmod(message_id, F.lit(1_000_000_007)) * 2_654_435_761 + draw.cast("long") * 40_503 + seed) % wide
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers, in integers that every engine has."""
     for _ in range(2):
-        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * 73_244_475, F.lit(wide))
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    times = F.lit(len(TIMES))
-    for k in range(len(TIMES) - 1, -1, -1):
-        times = F.when(x < TIMES[k], k).otherwise(times)
-    return times
+        x = (x ^ (x >> 16)) * 73_244_475 % _WIDE
+    return x ^ (x >> 16)
 
 
-def resampled(counters: DataFrame, resamples: int = RESAMPLES, seed: int = RESAMPLING_SEED) -> DataFrame:
-    """Counters summed for each draw: messages, not fields, are drawn with replacement, a seeded number of times each.
+def _mixed_column(x: Column) -> Column:
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * 73_244_475, F.lit(_WIDE))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def drawn_block(message_id: Column, blocks: int, seed: int = RESAMPLING_SEED) -> Column:
+    """The block of a message, by a hash."""
+    return (_mixed_column((F.pmod(message_id, F.lit(_ID)) * _DRAW + seed) % _WIDE) % blocks).cast("long")
+
+
+def draws_of_blocks(spark: SparkSession, sizes: Sequence[int], resamples: int, seed: int = RESAMPLING_SEED) -> DataFrame:
+    """(draw, block, times): how many of a resample's draws fall to each block: as many in all as there are messages.
+
+    Draw i of a resample takes a place among all messages by a hash of both; the block is the one
+    that has the place. Resamples are shared out to tasks, which send on a number a block.
+    """
+    ends = np.cumsum(np.array(sizes, np.int64))
+    n = int(ends[-1]) if len(ends) else 0
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for draw in part["id"].tolist():
+                times = np.zeros(len(ends), np.int64)
+                for low in range(0, n, _DRAWN_AT_ONCE):
+                    turns = np.arange(low, min(n, low + _DRAWN_AT_ONCE), dtype=np.int64)
+                    places = _mixed((draw * _DRAW + turns * _TURN + seed) % _WIDE) % n
+                    times += np.bincount(np.searchsorted(ends, places, "right"), minlength=len(ends))
+                yield pd.DataFrame({"draw": draw, "block": np.arange(len(ends)), "times": times})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, resamples, 1, min(resamples, tasks)).mapInPandas(count, "draw long, block long, times long")
+
+
+def resampled(counters: DataFrame, resamples: int = RESAMPLES, seed: int = RESAMPLING_SEED, block: int = DRAWN_BLOCK) -> DataFrame:
+    """Counters summed for each resample: as many messages as there are (not fields), drawn with replacement.
 
-    Draws are made inside a message's row and added up map-side: a partition sends on one row a draw.
+    Messages stand in blocks of bounded size. It is drawn first how many draws of each resample
+    fall to a block (multinomial numbers, ``draws_of_blocks``), then, block by block, which messages
+    they take: a task has the counters of one block and adds up all resamples of it. No table of draws is made.
     """
     names = counter_names(counters)
-    each = counters.select("message_id", *names, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("draw"))
-    each = each.withColumn("__times", draw_times(F.col("message_id"), F.col("draw"), seed)).where("__times > 0")
-    return each.groupBy("draw").agg(*(F.sum(F.col(c) * F.col("__times")).alias(c) for c in names))
+    n = counters.count()
+    blocks = max(1, -(-n // block))
+    placed = counters.select("message_id", drawn_block(F.col("message_id"), blocks, seed).alias("block"), *names)
+    found = {r["block"]: r["count"] for r in placed.groupBy("block").count().collect()}
+    draws = draws_of_blocks(counters.sparkSession, [found.get(k, 0) for k in range(blocks)], resamples, seed)
+
+    def draw(messages: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(messages):
+            return pd.DataFrame({"draw": [], **{c: [] for c in names}}).astype("int64")
+        values = messages.sort_values("message_id")[names].to_numpy(np.int64)
+        k, size, sums = int(messages["block"].iloc[0]), len(values), np.zeros((len(asked), len(names)), np.int64)
+        for row, (d, times) in enumerate(zip(asked["draw"].tolist(), asked["times"].tolist(), strict=True)):
+            turns = np.arange(times, dtype=np.int64)
+            places = _mixed((d * _DRAW + turns * _TURN + k * _BLOCK_STEP + seed + 1) % _WIDE) % size
+            sums[row] = np.bincount(places, minlength=size) @ values
+        return pd.DataFrame(sums, columns=names).assign(draw=asked["draw"].to_numpy())
+
+    schema = ", ".join(["draw long", *(f"{c} long" for c in names)])
+    each = placed.groupBy("block").cogroup(draws.groupBy("block")).applyInPandas(lambda m, a: draw(m, a)[["draw", *names]], schema)
+    return each.groupBy("draw").agg(*(F.sum(c).alias(c) for c in names))
 
 
 _RATED = ["correct", "invented_ok", "wrong", "fabricated", "missed", "gold_fields_total", "paired_fields", "paired_gold_null", "paired_gold_nonnull", "announcements", "announcements_detected", "traps", "traps_clean"]

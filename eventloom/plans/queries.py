@@ -734,13 +734,25 @@ def trap_breakdown(spark, sf_dir):
 
 
 def _draws_sql(pred: str, ids: str, columns: list[str], resamples: int) -> str:
-    """dr_<pred>: sums of each draw, by the table of draws that both engines make."""
+    """dr_<pred>: sums of each draw, by the draws that both engines make; sz_<pred>: blocks of messages and their sizes."""
     wide = 1 << 32
-    mix = lambda x: f"(xor({x}, {x} >> 16) * 73244475) % {wide}"
-    times = " ".join(f"WHEN h < {t} THEN {k}" for k, t in enumerate(scoring.TIMES))
-    return f"""h0_{pred} AS (SELECT {ids}.*, draw, ((message_id % 1000000007) * 2654435761 + draw * 40503 + {scoring.RESAMPLING_SEED}) % {wide} AS h0 FROM {ids}, range({resamples}) t(draw)),
-h1_{pred} AS (SELECT *, {mix("h0")} AS h1 FROM h0_{pred}), h2_{pred} AS (SELECT *, {mix("h1")} AS h2 FROM h1_{pred}), h3_{pred} AS (SELECT *, xor(h2, h2 >> 16) AS h FROM h2_{pred}),
-dr_{pred} AS (SELECT draw, {", ".join(f"sum({c} * times) AS {c}" for c in columns)} FROM (SELECT *, CASE {times} ELSE {len(scoring.TIMES)} END AS times FROM h3_{pred}) GROUP BY draw)"""
+    step = lambda x: f"(xor({x}, {x} >> 16) * 73244475) % {wide}"
+
+    def hashed(name: str, start: str, of: str, keep: str) -> str:
+        return f"""{name}1 AS (SELECT {keep}, ({start}) % {wide} AS x FROM {of}), {name}2 AS (SELECT {keep}, {step("x")} AS x FROM {name}1), {name}3 AS (SELECT {keep}, {step("x")} AS x FROM {name}2),
+{name} AS (SELECT {keep}, xor(x, x >> 16) AS h FROM {name}3)"""
+
+    seed = scoring.RESAMPLING_SEED
+    return f"""id_{pred} AS MATERIALIZED (SELECT message_id, {", ".join(columns)} FROM {ids}), nn_{pred} AS (SELECT count(*) AS n, greatest(1, (count(*) + {scoring.DRAWN_BLOCK - 1}) // {scoring.DRAWN_BLOCK}) AS blocks FROM id_{pred}),
+{hashed(f"hb_{pred}", f"(message_id % 1000000007) * 2654435761 + {seed}", f"id_{pred}", ", ".join(["message_id", *columns]))},
+pl_{pred} AS MATERIALIZED (SELECT {", ".join(columns)}, h % blocks AS k, row_number() OVER (PARTITION BY h % blocks ORDER BY message_id) - 1 AS pos FROM hb_{pred}, nn_{pred}),
+sz_{pred} AS MATERIALIZED (SELECT k, s, sum(s) OVER (ORDER BY k) - s AS low FROM (SELECT k, count(*) AS s FROM pl_{pred} GROUP BY k)),
+{hashed(f"ha_{pred}", f"draw * 2654435761 + turn * 40503 + {seed}", f"(SELECT draw, unnest(range(n)) AS turn FROM nn_{pred}, range({resamples}) t(draw))", "draw")},
+mt_{pred} AS MATERIALIZED (SELECT draw, k, s, count(*) AS times FROM (SELECT draw, h % n AS place FROM ha_{pred}, nn_{pred}) JOIN sz_{pred} ON place >= low AND place < low + s GROUP BY ALL),
+{hashed(f"hp_{pred}", f"draw * 2654435761 + turn * 40503 + k * 3266489917 + {seed + 1}", f"(SELECT draw, k, s, unnest(range(times)) AS turn FROM mt_{pred})", "draw, k, s")},
+tm_{pred} AS MATERIALIZED (SELECT draw, k, h % s AS pos, count(*) AS times FROM hp_{pred} GROUP BY ALL),
+dr_{pred} AS (SELECT draw, sum(times) AS drawn, {", ".join(f"sum({c} * times) AS {c}" for c in columns)} FROM tm_{pred}
+  JOIN (SELECT k, pos, {", ".join(f"any_value({c}) AS {c}" for c in columns)} FROM pl_{pred} GROUP BY k, pos) USING (k, pos) GROUP BY draw)"""
 
 
 @query(f"""WITH RECURSIVE {_COUNT}, {_draws_sql("pred", "ct_pred", ["correct", "invented_ok", "gold_fields_total", "fabricated", "paired_gold_null", "traps", "traps_clean"], scoring.RESAMPLES)}, v AS (
@@ -753,11 +765,19 @@ def bootstrap_ci(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {fx.GOLD}, {fx.SCORED}, {", ".join(f"{fx.predicted_sql(p, n)}, {_aligned_sql(p)}, {_cells_sql(p)}, {_counted_sql(p)}" for p, n in (("p7", 7), ("p3", 3)))},
 ct AS (SELECT a.message_id, a.correct + a.invented_ok AS ga, a.gold_fields_total AS ta, b.correct + b.invented_ok AS gb, b.gold_fields_total AS tb FROM ct_p7 a JOIN ct_p3 b USING (message_id)),
-{_draws_sql("both", "ct", ["ga", "ta", "gb", "tb"], 200)},
+{_draws_sql("both", "ct", ["ga", "ta", "gb", "tb"], scoring.RESAMPLES)},
 d AS (SELECT ga / nullif(ta, 0)::DOUBLE - gb / nullif(tb, 0)::DOUBLE AS d FROM dr_both)
 SELECT (SELECT sum(ga) / nullif(sum(ta), 0)::DOUBLE - sum(gb) / nullif(sum(tb), 0)::DOUBLE FROM ct) AS observed, quantile_cont(d::DOUBLE, 0.025) AS low, quantile_cont(d::DOUBLE, 0.975) AS high FROM d WHERE d IS NOT NULL""")
 def paired_bootstrap(spark, sf_dir):
-    return scoring.paired_difference(_counters(spark, sf_dir), _counters(spark, sf_dir, 3), resamples=200)
+    return scoring.paired_difference(_counters(spark, sf_dir), _counters(spark, sf_dir, 3))
+
+
+@query(f"""WITH scored AS (SELECT o_orderkey AS message_id, 1 AS messages, CASE WHEN o_orderpriority LIKE '5%' THEN 1 ELSE 0 END AS traps FROM orders), {_draws_sql("o", "scored", ["messages", "traps"], scoring.RESAMPLES)}
+SELECT draw, drawn::BIGINT AS messages, traps::BIGINT AS traps FROM dr_o""")
+def resample_sizes(spark, sf_dir):
+    """Each resample draws as many messages as there are; how many of them are traps."""
+    messages = fx.scored_messages(spark, sf_dir)
+    return scoring.resampled(messages.select("message_id", F.lit(1).cast("long").alias("messages"), (F.col("kind") == "trap").cast("long").alias("traps")))
 
 
 @query(f"""WITH RECURSIVE {_COUNT}, h AS (SELECT message_id <= 3100 AS half, sum(correct + invented_ok) / nullif(sum(gold_fields_total), 0)::DOUBLE AS r FROM ct_pred GROUP BY 1)
@@ -794,7 +814,7 @@ h AS (SELECT vs.doc_id, vs.c, CASE WHEN length(x) >= 4 THEN EXISTS (SELECT 1 FRO
   ELSE length(x) >= 3 AND EXISTS (SELECT 1 FROM k WHERE k.doc_id = vs.doc_id AND k.p3 = x) END AS hit FROM vs)
 SELECT g.doc_id, c.coverage FROM g LEFT JOIN (SELECT doc_id, sum(c) FILTER (hit) / sum(c)::DOUBLE AS coverage FROM h GROUP BY 1) c USING (doc_id)""".replace("sum(c) FILTER (hit) /", "coalesce(sum(c) FILTER (hit), 0) /"))
 def token_grounding(spark, sf_dir):
-    return _grounded(spark, sf_dir).select("doc_id", grounding.coverage(F.col("value"), F.col("source")).alias("coverage"))
+    return grounding.coverages(_grounded(spark, sf_dir), "value", "source").select("doc_id", "coverage")
 
 
 _DIGITS = r"""x AS (SELECT doc_id, doc_id % 40 AS a, regexp_extract_all(coalesce(text, ''), '[0-9]+') AS groups FROM documents)"""
