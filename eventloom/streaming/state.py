@@ -80,7 +80,7 @@ def first_of_hash(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     Rows that come in one micro-batch are ordered by index and ordinal, micro-batches as they
     come. State is a number a hash; with ``ttl_ms`` a hash that old (by the machine's clock) is
-    forgotten and its next event is saved again.
+    forgotten and its next event is saved again; such a stream runs until it is stopped.
     """
     mode = "ProcessingTime" if ttl_ms else "None"
     return stream.groupBy("content_hash").transformWithState(_FirstOfHash(ttl_ms), "index long, ordinal long, fate string, first_index long", "Append", mode)
@@ -188,7 +188,8 @@ def with_retries(stream: DataFrame, attempt: Callable[[Row, int], str | None], c
     ``attempt`` gets a row's columns and the number of the attempt, and returns what went wrong or
     None. A failed row waits in the state, twice as long each time, comes again when its timer is
     due, and is given up after ``max_attempts``. While one waits, another row of its id adds nothing, as in
-    ``jobs.enqueue``. Timers go by the watermark of ``submitted_at``, or by the machine's clock.
+    ``jobs.enqueue``. Timers go by the watermark of ``submitted_at``, or by the machine's clock: then
+    the stream runs until it is stopped.
     """
     names = [c.split()[0] for c in columns.split(", ")]
     rows = stream.select("id", F.col("submitted_at").cast("timestamp").alias("submitted_at"), *names)
