@@ -126,10 +126,16 @@ def test_intervals_hold_the_observed_value(spark):
     assert (same["observed"], same["low"], same["high"]) == (0.0, 0.0, 0.0)
 
 
-def test_times_drawn_are_poisson(spark):
-    times = spark.range(20_000).select(scoring.draw_times(F.col("id"), F.lit(7)).alias("k"), scoring.draw_times(F.col("id"), F.lit(8)).alias("l"))
-    row = times.agg(F.avg("k").alias("m"), F.var_samp("k").alias("v"), F.corr("k", "l").alias("c"), F.avg((F.col("k") == 0).cast("int")).alias("zero")).first()
-    assert row["m"] == pytest.approx(1, abs=0.03) and row["v"] == pytest.approx(1, abs=0.05) and abs(row["c"]) < 0.03 and row["zero"] == pytest.approx(0.3679, abs=0.012)
+def test_draws_of_blocks_are_as_many_as_messages(spark):
+    from eventloom.operators import scoring
+
+    rows = scoring.draws_of_blocks(spark, [300, 0, 100, 600], 200).collect()
+    of_draw, of_block = {}, {}
+    for r in rows:
+        of_draw[r.draw] = of_draw.get(r.draw, 0) + r.times
+        of_block[r.block] = of_block.get(r.block, 0) + r.times
+    assert len(of_draw) == 200 and set(of_draw.values()) == {1000}
+    assert of_block[1] == 0 and abs(of_block[0] / 200 - 300) < 5 and abs(of_block[3] / 200 - 600) < 5
 
 
 def test_cursor_and_pages(spark):
