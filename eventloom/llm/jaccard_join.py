@@ -13,9 +13,11 @@ A large bucket is dealt out in parts of bounded rows and bytes; its representati
 each part, its other classes to one, so rows grow with the classes and not with their pairs.
 Links make groups. Where a bucket still holds classes of several groups, those outside its
 largest group are then held against all classes of other groups, so that no link between
-two groups is lost: groups are the connected components of all links. A group of n near
-copies is given by its members and their links with representatives; each and every link
-can be had as a row from ``jaccard_links``, whose output is as large as it is asked to be.
+two groups is lost: groups are the connected components of all links. At last the classes of
+one group that shared only large buckets, in which neither was a representative, are held
+against each other, so that every link is counted. Counts are added up inside the tasks, no
+link is a row; each and every link can be had as a row from ``jaccard_links``, whose output is
+as large as it is asked to be. ``one_of_each_group`` needs groups alone and leaves the counts out.
 
 A pair at the threshold shares none of the 28 bands of 4 with probability 4e-7 and is pruned
 with a probability of 1.5e-5 (the tolerance, summed over the rounds); more alike pairs
@@ -52,6 +54,8 @@ REPRESENTATIVES = 128
 PART, PART_BYTES = 1024, 16_000_000
 #: Classes in one block where blocks are held against each other.
 BLOCK = 512
+#: A group's classes meet as a whole if these are at most so many times the pairs in its buckets.
+WHOLE = 1.0
 SEED = 11
 _CHUNK = 2048
 _PAIRS = 200_000
@@ -127,11 +131,11 @@ class _Cells:
     """Works through rows sorted by cell (bucket, lo, hi), whole cells at a time, in bounded memory.
 
     A row is a class: ``_ROW`` and what ``done`` needs more, which gets rows and the pairs that stay. In a cell with lo = hi all pairs
-    meet; else the rows of block lo meet the others.
+    meet; else the rows of block lo meet the others. With ``within`` the cells are those of ``within_cells``.
     """
 
-    def __init__(self, least: list[int], done):
-        self.least, self.done = least, done
+    def __init__(self, least: list[int], done, within: bool = False):
+        self.least, self.done, self.within = least, done, within
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.RecordBatch | None = None
@@ -203,8 +207,13 @@ class _Cells:
         for at in range(0, len(a), _BANDED):
             x, y = a[at : at + _BANDED], b[at : at + _BANDED]
             met = ((meets[x, 0] | meets[y, 0])[:, None] & bits) != 0
-            met &= bands[x] == bands[y]
-            here[at : at + _BANDED] = bands[x, met.argmax(axis=1)] == cell[x, 0]
+            equal = bands[x] == bands[y]
+            met &= equal
+            if self.within:
+                band = meets[x, 0] >> BANDS
+                here[at : at + _BANDED] = ~met.any(axis=1) & ((band == 0) | (band == equal.argmax(axis=1) + 1))
+            else:
+                here[at : at + _BANDED] = bands[x, met.argmax(axis=1)] == cell[x, 0]
         return a[here], b[here]
 
 
@@ -224,7 +233,7 @@ def placed(classes: DataFrame) -> DataFrame:
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("held")).where("n > 1")
     parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(8 * F.col("held") / PART_BYTES)).cast("long")
     leads = F.pmod(F.xxhash64("bucket", "set_id"), F.col("n")) < REPRESENTATIVES
-    return banded.join(shared, "bucket").select("set_id", "band", "bucket", "n", parts.alias("parts"), leads.alias("leads"))
+    return banded.join(shared, "bucket").select("set_id", "n_shingles", "band", "bucket", "n", parts.alias("parts"), leads.alias("leads"))
 
 
 def _cells(rows: DataFrame, cells: Column, meets: Column, team: Column) -> DataFrame:
@@ -281,7 +290,40 @@ def all_cells(places: DataFrame) -> DataFrame:
     return _cells(places, cells, F.expr(_BIT), F.xxhash64("set_id"))
 
 
-def candidate_members(cells: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def within_cells(places: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """In large buckets: the classes of one group that are no representatives there, with each other; None if there are none.
+
+    ``labels`` are those that ``group_cells`` had. All such classes of a group meet in cells of
+    the group, or in those of its part of each bucket, whichever are fewer pairs. ``meets``: bit
+    k is set if the class is a representative in its k-th band, where its pairs have met; the
+    bits from ``BANDS`` on hold the number of the cell's band, from 1, or 0 for a group's cell.
+    """
+    aside = places.where((F.col("n") > REPRESENTATIVES) & ~F.col("leads"))
+    named = materialize(aside.join(labels, F.col("set_id") == F.col("node")).select("set_id", "n_shingles", "band", "label", F.xxhash64("bucket", "label").alias("key")))
+    n_named = named.count()
+    if not n_named:
+        return None
+    size = lambda w: (F.count(F.lit(1)).alias("m"), F.count(F.lit(1)).alias(w), F.sum("n_shingles").alias("held"))
+    members = materialize(named.select("set_id", "n_shingles", "label").distinct())
+    in_buckets = materialize(named.groupBy("label", "key").agg(*size("n_of_key")).where("m > 1"))
+    costs = in_buckets.groupBy("label").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
+    groups = members.groupBy("label").agg(*size("n_of_label")).join(costs, "label")
+    groups = materialize(groups.withColumn("whole", F.col("m").cast("double") * F.col("m") <= WHOLE * F.col("cost")))
+    by_group = join_hot(members, groups.where("whole").drop("whole", "cost"), "label", "n_of_label", n_named)
+    split = in_buckets.join(groups.where("NOT whole").select("label"), "label", "left_semi").drop("label")
+    by_bucket = join_hot(named, split, "key", "n_of_key", n_named)
+    home = ["set_id", "key", "mark", "m", "held"]
+    homes = by_group.withColumns({"key": F.xxhash64("label"), "mark": F.lit(0).cast("long")}).select(*home)
+    homes = homes.unionByName(by_bucket.withColumn("mark", F.shiftleft((F.col("band") + 1).cast("long"), BANDS)).select(*home))
+    led = places.join(members.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.sum(F.when(F.col("leads"), F.expr(_BIT)).otherwise(0)).alias("led"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("held") / PART_BYTES)).cast("long")
+    homes = homes.join(led, "set_id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: _cell(F.least(k, F.col("own")), F.greatest(k, F.col("own")), F.col("own")))
+    each = homes.select("set_id", F.col("key").alias("bucket"), (F.col("mark") + F.col("led")).alias("meets"), F.explode(cells).alias("c"))
+    return each.select("bucket", "c.lo", "c.hi", "c.block", "set_id", "meets", F.xxhash64("set_id").alias("team"))
+
+
+def candidate_members(cells: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, within: bool = False) -> DataFrame:
     """``_ROW`` but for the signature: classes with a pair in that cell that Bayesian pruning leaves.
 
     No pair is a row of its own: a cell gives at most its classes.
@@ -296,7 +338,7 @@ def candidate_members(cells: DataFrame, classes: DataFrame, threshold: float = T
         if paired.any():
             yield batch.take(pa.array(np.flatnonzero(paired))).select(kept)
 
-    run = _Cells(least_matches(threshold, tolerance), done)
+    run = _Cells(least_matches(threshold, tolerance), done, within)
     dealt = _in_cells(cells.join(classes.select("set_id", "signature"), "set_id"))
     return dealt.mapInArrow(lambda batches: run(batches), "bucket long, lo long, hi long, block long, set_id string, meets long, team long")
 
@@ -334,7 +376,7 @@ def shingle_sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> Dat
     return materialize(made.groupBy("set_id").agg(F.first("shingles").alias("shingles")))
 
 
-def verified(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, pairs: bool = False) -> DataFrame:
+def verified(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, pairs: bool = False, within: bool = False) -> DataFrame:
     """Links: pairs that stay whose whole shingle sets reach the threshold.
 
     With ``pairs`` a row a link (a, b, jaccard). Else a row a class and cell: (set_id, near,
@@ -349,7 +391,7 @@ def verified(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
     def some(batch: pa.RecordBatch, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, sizes = batch.column(4).to_pylist(), batch.column(8).to_numpy(zero_copy_only=False)
         raw = batch.column(9)
-        near: dict[int, int] = {}
+        near = np.zeros(batch.num_rows, np.int64)
         up: dict[int, int] = {}
         links: list[tuple[int, int, float]] = []
 
@@ -381,22 +423,25 @@ def verified(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
                     both = np.add.reduceat(flags[number].astype(np.int64), starts[:-1])[others]
                 flags[mine] = False
                 share = both / (lengths[one] + lengths[others] - both)
-                for o, j in zip(others[share >= threshold].tolist(), share[share >= threshold].tolist(), strict=True):
-                    p, q = int(rows[one]), int(rows[o])
-                    if pairs:
-                        links.append((p, q, j))
-                        continue
-                    near[p] = near.get(p, 0) + int(sizes[q])
-                    near[q] = near.get(q, 0) + int(sizes[p])
-                    p, q = sorted((root(p), root(q)), key=ids.__getitem__)
-                    up[q] = p
+                hit = share >= threshold
+                met = rows[others[hit]]
+                near[rows[one]] += sizes[met].sum()
+                near[met] += sizes[rows[one]]
+                if pairs:
+                    links.extend((int(rows[one]), q, j) for q, j in zip(met.tolist(), share[hit].tolist(), strict=True))
+                elif not within:
+                    # Inside a group all are connected already.
+                    for q in met.tolist():
+                        p, q = sorted((root(int(rows[one])), root(q)), key=ids.__getitem__)
+                        up[q] = p
         if links:
             ends = [sorted((ids[p], ids[q])) for p, q, _ in links]
             yield pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in ends]), "b": pa.array([e[1] for e in ends]), "jaccard": pa.array([j for *_, j in links])})
-        if near:
-            yield pa.RecordBatch.from_pydict({"set_id": pa.array([ids[p] for p in near]), "near": pa.array(list(near.values()), pa.int64()), "head": pa.array([ids[root(p)] for p in near])})
+        linked = np.flatnonzero(near).tolist()
+        if linked and not pairs:
+            yield pa.RecordBatch.from_pydict({"set_id": pa.array([ids[p] for p in linked]), "near": pa.array(near[linked], pa.int64()), "head": pa.array([ids[root(p)] for p in linked])})
 
-    run = _Cells(least_matches(threshold, tolerance), done)
+    run = _Cells(least_matches(threshold, tolerance), done, within)
     full = members.join(classes.select("set_id", "signature", "n_docs"), "set_id").join(sets, "set_id")
     return _in_cells(full, "n_docs", "shingles").mapInArrow(lambda batches: run(batches), "a string, b string, jaccard double" if pairs else "set_id string, near long, head string")
 
@@ -440,31 +485,40 @@ class JaccardJoin:
         self.n_docs, self.n_classes = self.classes.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1))).first()
         self.places = materialize(placed(self.classes))
 
-    def _verified(self, cells: DataFrame, pairs: bool = False) -> DataFrame | None:
-        members = materialize(candidate_members(cells, self.classes, *self.limits))
+    def _verified(self, cells: DataFrame, pairs: bool = False, within: bool = False) -> DataFrame | None:
+        members = materialize(candidate_members(cells, self.classes, *self.limits, within))
         if not members.limit(1).count():
             return None
-        sets = shingle_sets(members, self.classes, self.docs)
-        return verified(members, self.classes, sets, *self.limits, pairs)
+        if not within:
+            self.sets = shingle_sets(members, self.classes, self.docs)
+        # Inside a group all classes have links already, and so their sets.
+        return verified(members, self.classes, self.sets, *self.limits, pairs, within)
 
     def links(self) -> DataFrame:
         """(a, b, jaccard): every link as a row; a group of n near copies has up to n * n / 2."""
         found = self._verified(all_cells(self.places), pairs=True)
         return self.docs.sparkSession.createDataFrame([], "a string, b string, jaccard double") if found is None else found
 
-    def grouped(self) -> tuple[DataFrame, DataFrame]:
-        """(set_id, near, head) of links with representatives and between groups, and (set_id, label, rep, n_docs)."""
+    def grouped(self, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(set_id, near, head) of links with representatives and between groups, and (set_id, label, rep, n_docs).
+
+        With ``counted`` also of the links inside groups, so that ``near`` adds up to all links.
+        """
         linked = self._verified(representative_cells(self.places))
         if linked is None:
             linked = self.docs.sparkSession.createDataFrame([], "set_id string, near long, head string")
         linked = materialize(linked)
         arcs = linked.select(F.col("set_id").alias("a"), F.col("head").alias("b")).distinct()
         labels = components(arcs)
+        cells = within_cells(self.places, labels) if counted else None
+        inside = None if cells is None else self._verified(cells, within=True)
         more = self._verified(group_cells(self.places, labels))
         if more is not None:
             more = materialize(more)
             linked = linked.unionByName(more)
             labels = components(arcs.union(more.select("set_id", "head")).distinct())
+        if inside is not None:
+            linked = linked.unionByName(materialize(inside))
         labelled = self.classes.join(labels, F.col("set_id") == F.col("node"), "left")
         return linked, materialize(labelled.select("set_id", F.coalesce("label", "set_id").alias("label"), "rep", "n_docs"))
 
@@ -492,12 +546,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     """doc_id, class_id, group_id, n_links: one row a document.
 
     Its class is the least doc_id with the same shingles, its group the least doc_id that links
-    connect it with. ``n_links`` are the other documents at or above the threshold: its copies,
-    those it meets as or beside a representative, and those of other groups; in buckets of no
-    more classes than representatives these are all.
+    connect it with. ``n_links`` are all other documents at or above the threshold, its copies
+    among them.
     """
     join = JaccardJoin(docs, threshold, tolerance)
-    linked, groups = join.grouped()
+    linked, groups = join.grouped(counted=True)
     named = named_groups(groups, join.n_classes, F.min("rep.doc_id"))
     near = linked.groupBy(F.col("set_id").alias("x")).agg(F.sum("near").alias("near"))
     named = named.join(near, F.col("set_id") == F.col("x"), "left")

@@ -227,6 +227,23 @@ def test_groups_of_large_buckets_are_exact(spark, monkeypatch, representatives):
         assert bool(near[i] or copies) <= out[i].n_links <= most
 
 
+@pytest.mark.parametrize("representatives, block", [(1, 7), (4, 500)])
+@pytest.mark.parametrize("whole", [0, 100])
+def test_every_link_of_a_large_bucket_is_counted(spark, monkeypatch, representatives, block, whole):
+    """Members of one group that are no representatives count their links with each other, in cells of the group or of its buckets."""
+    for name, value in (("REPRESENTATIVES", representatives), ("PART", 9), ("BLOCK", block), ("WHOLE", whole), ("_PAIRS", 100)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = [*_near_copies(2, 60, 2, edits=(3, 6)), *_near_copies(1, 50, 3, edits=(1, 5))]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    true, copied = _true_links(rows), 3
+    docs = spark.createDataFrame([*rows, *rows[:copied]], "doc_id long, text string")
+    near = Counter()
+    for a, b in true:
+        near[a] += 2 if b < copied else 1
+        near[b] += 2 if a < copied else 1
+    assert {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs).collect()} == {i: near[i] + (i < copied) for i, _ in rows}
+
+
 def test_rows_of_a_large_bucket_grow_with_its_classes(spark):
     """Twice the near copies make about twice the rows of cells, in buckets of many times the representatives."""
     counts = []
