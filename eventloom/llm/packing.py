@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import blocks_for, materialize, running_sums, table, text_or_empty
-from eventloom.llm.pretokens import pieces, pretokens, vocabulary_path
+from eventloom.llm.pretokens import Pieces, lent_pieces, pretokens, vocabulary_path
 
 SEQUENCE = 4096
 END_ID = 1
@@ -39,7 +39,10 @@ def tokenize_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> Dat
     """doc_id, piece, start, length, ids_crc32: one row a piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(path)
+        with lent_pieces(path) as known:
+            yield from encoded(batches, known)
+
+    def encoded(batches: Iterator[pa.RecordBatch], known: Pieces) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             at = 0

@@ -11,7 +11,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -19,6 +22,8 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pre-tokens whose ids a worker keeps.
 KEPT = 800_000
+#: Seconds without a task after which a worker lets its ids and tokenizers go.
+IDLE_S = 3.0
 #: Pre-tokens that are encoded as one text: much faster than one by one.
 JOINED = 50
 
@@ -142,5 +147,29 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+_forgets: threading.Timer | None = None
+
+
+def forget() -> None:
+    """Lets ids and tokenizers go; a task at work keeps its own."""
+    for kept in (pieces, tokenizer, plain_tokenizer, _special):
+        kept.cache_clear()
+
+
+@contextmanager
+def lent_pieces(path: str) -> Iterator[Pieces]:
+    """A worker's ids for one task. Tasks that follow at once find them again; then they go, as idle workers
+    stand beside the stages that come after."""
+    global _forgets
+    if _forgets is not None:
+        _forgets.cancel()
+    try:
+        yield pieces(path)
+    finally:
+        _forgets = threading.Timer(IDLE_S, forget)
+        _forgets.daemon = True
+        _forgets.start()
+
+
 def token_counts(words: list[str], path: str) -> list[int]:
     return encode_words(words, path)[1].tolist()

@@ -980,3 +980,21 @@ def test_ids_of_texts_with_every_combining_mark():
         words = pretokens(text, path)
         known.learn(set(words))
         assert known.encode(words).tolist() == found.ids, ascii(text)
+
+
+def test_idle_workers_let_their_ids_go(monkeypatch):
+    """Tasks that follow at once share what is kept; a worker without one keeps nothing."""
+    import time
+
+    from eventloom.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "IDLE_S", 0.4)
+    path = pretokens.vocabulary_path()
+    with pretokens.lent_pieces(path) as first:
+        first.learn({"hello"})
+    with pretokens.lent_pieces(path) as second:
+        assert second is first
+        time.sleep(0.8)
+        assert pretokens.pieces(path) is first
+    time.sleep(0.8)
+    assert pretokens.pieces.cache_info().currsize == 0 and len(second.encode(["hello"]))
