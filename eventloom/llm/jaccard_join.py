@@ -63,7 +63,7 @@ _PAIRS = 200_000
 _BANDED = 16_384
 #: Bytes of shingle sets that a task holds before it hands them on.
 _HELD = 4_000_000
-_WIDTH = 8 * BANDS + 2 * CHECKS
+_WIDTH = 2 * CHECKS
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -88,7 +88,7 @@ class MinHasher:
         self.a, self.b = (rng.integers(1, 1 << 32, (n, 1), dtype=np.uint32) | np.uint32(1) for _ in range(2))
 
     def signature(self, shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """Bucket keys of the bands, and those keys with the values to compare as bytes."""
+        """Bucket keys of the bands, and the values to compare as bytes."""
         least = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(shingles), _CHUNK):
             x = shingles[at : at + _CHUNK]
@@ -100,7 +100,7 @@ class MinHasher:
         for k in range(BAND_ROWS):
             keys = mixed(keys * np.uint64(0x100000001B3) + rows[:, k])
         checks = (mixed(least[BANDS * BAND_ROWS :].astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
-        return keys.view(np.int64), keys.tobytes() + checks.tobytes()
+        return keys.view(np.int64), checks.tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -113,18 +113,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             for text in batch.column(2):
                 shingles = np.unique(shingle_hashes(text.as_py()))
                 sizes.append(len(shingles))
-                sets.append(xxhash.xxh3_128_hexdigest(shingles.tobytes()))
+                sets.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 keys, sign = hasher.signature(shingles) if len(shingles) else (None, None)
                 bands.append(keys)
                 signs.append(sign)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sets), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
                 ["doc_id", "text_key", "set_id", "n_shingles", "bands", "signature"],
             )
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(run, f"doc_id {kind}, text_key long, set_id string, n_shingles long, bands array<long>, signature binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_key long, set_id binary, n_shingles long, bands array<long>, signature binary")
 
 
 class _Cells:
@@ -158,8 +158,9 @@ class _Cells:
         if not batch.num_rows:
             return
         signs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, _WIDTH)
+        bands = batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
         meets = self._numbers(batch, (6, 7))
-        stay = (self._alike(signs, meets, cell, a, b) for a, b in self._paired(cell, starts))
+        stay = (self._alike(signs, bands, meets, cell, a, b) for a, b in self._paired(cell, starts))
         yield from self.done(batch, cell, ((a, b) for a, b in stay if len(a)))
 
     @staticmethod
@@ -190,9 +191,8 @@ class _Cells:
         if n:
             yield np.concatenate(left), np.concatenate(right)
 
-    def _alike(self, signs: np.ndarray, meets: np.ndarray, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bands = np.ascontiguousarray(signs[:, : 8 * BANDS]).view(np.int64)
-        checks = np.ascontiguousarray(signs[:, 8 * BANDS :]).view(np.uint16)
+    def _alike(self, signs: np.ndarray, bands: np.ndarray, meets: np.ndarray, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        checks = signs.view(np.uint16)
         apart = meets[a, 1] != meets[b, 1]
         a, b = a[apart], b[apart]
         same = np.zeros(len(a), np.int64)
@@ -220,7 +220,7 @@ class _Cells:
 _CELL = ["bucket", "lo", "hi"]
 #: ``meets``: bit k is set if the class meets in its k-th band all that it shares the bucket
 #: with; ``team``: classes of one team are not compared.
-_ROW = [*_CELL, "block", "set_id", "signature", "meets", "team"]
+_ROW = [*_CELL, "block", "set_id", "signature", "meets", "team", "bands"]
 
 
 def _in_cells(rows: DataFrame, *more: str) -> DataFrame:
@@ -324,11 +324,10 @@ def within_cells(places: DataFrame, labels: DataFrame) -> DataFrame | None:
 
 
 def candidate_members(cells: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, within: bool = False) -> DataFrame:
-    """``_ROW`` but for the signature: classes with a pair in that cell that Bayesian pruning leaves.
+    """``_ROW``: classes with a pair in that cell that Bayesian pruning leaves.
 
     No pair is a row of its own: a cell gives at most its classes.
     """
-    kept = [c for c in _ROW if c != "signature"]
 
     def done(batch: pa.RecordBatch, cell: np.ndarray, alike: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         paired = np.zeros(batch.num_rows, bool)
@@ -336,28 +335,33 @@ def candidate_members(cells: DataFrame, classes: DataFrame, threshold: float = T
             for side in pair:
                 paired[side] = True
         if paired.any():
-            yield batch.take(pa.array(np.flatnonzero(paired))).select(kept)
+            yield batch.take(pa.array(np.flatnonzero(paired))).select(_ROW)
 
     run = _Cells(least_matches(threshold, tolerance), done, within)
-    dealt = _in_cells(cells.join(classes.select("set_id", "signature"), "set_id"))
-    return dealt.mapInArrow(lambda batches: run(batches), "bucket long, lo long, hi long, block long, set_id string, meets long, team long")
+    dealt = _in_cells(cells.join(classes.select("set_id", "signature", "bands"), "set_id"))
+    return dealt.mapInArrow(lambda batches: run(batches), "bucket long, lo long, hi long, block long, set_id binary, signature binary, meets long, team long, bands array<long>")
 
 
-def shingle_sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set_id, shingles): the whole sorted set of each class of ``members``, as bytes."""
+def asked_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set_id, doc, key, n_docs): the classes of ``members``; signatures are in ``members``, so that no table of all is dealt out again."""
     ids = members.select("set_id").distinct()
-    asked = materialize(classes.join(ids, "set_id", "left_semi").select("set_id", F.col("rep.doc_id").alias("__doc"), F.col("rep.text_key").alias("__key")))
-    same = docs["doc_id"].eqNullSafe(asked["__doc"]) & (F.xxhash64(docs["text"]) == asked["__key"])
-    texts = docs.join(broadcast_if_small(asked), same).select("set_id", text_or_empty().alias("text"))
+    return materialize(classes.join(ids, "set_id", "left_semi").select("set_id", F.col("rep.doc_id").alias("doc"), F.col("rep.text_key").alias("key"), "n_docs"))
+
+
+def shingle_sets(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, shingles): the whole sorted set of each class of ``asked``, as bytes."""
+    named = asked.select("set_id", F.col("doc").alias("__doc"), F.col("key").alias("__key"))
+    same = docs["doc_id"].eqNullSafe(named["__doc"]) & (F.xxhash64(docs["text"]) == named["__key"])
+    texts = docs.join(broadcast_if_small(named), same).select("set_id", text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids: list[str] = []
+            ids: list[bytes] = []
             sets: list[bytes] = []
             held = 0
 
             def handed() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sets, pa.binary())], ["set_id", "shingles"])
+                out = pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["set_id", "shingles"])
                 ids.clear()
                 sets.clear()
                 return out
@@ -371,12 +375,14 @@ def shingle_sets(members: DataFrame, classes: DataFrame, docs: DataFrame) -> Dat
                     held = 0
             yield handed()
 
-    made = texts.mapInArrow(run, "set_id string, shingles binary")
+    made = materialize(texts.mapInArrow(run, "set_id binary, shingles binary"))
+    if made.count() == asked.count():
+        return made
     # Rows that repeat a class's document give its set again.
     return materialize(made.groupBy("set_id").agg(F.first("shingles").alias("shingles")))
 
 
-def verified(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, pairs: bool = False, within: bool = False) -> DataFrame:
+def verified(members: DataFrame, asked: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, pairs: bool = False, within: bool = False) -> DataFrame:
     """Links: pairs that stay whose whole shingle sets reach the threshold.
 
     With ``pairs`` a row a link (a, b, jaccard). Else a row a class and cell: (set_id, near,
@@ -389,8 +395,8 @@ def verified(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
             yield from some(batch, cell, a, b)
 
     def some(batch: pa.RecordBatch, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, sizes = batch.column(4).to_pylist(), batch.column(8).to_numpy(zero_copy_only=False)
-        raw = batch.column(9)
+        ids, sizes = batch.column(4).to_pylist(), batch.column(9).to_numpy(zero_copy_only=False)
+        raw = batch.column(10)
         near = np.zeros(batch.num_rows, np.int64)
         up: dict[int, int] = {}
         links: list[tuple[int, int, float]] = []
@@ -442,8 +448,8 @@ def verified(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
             yield pa.RecordBatch.from_pydict({"set_id": pa.array([ids[p] for p in linked]), "near": pa.array(near[linked], pa.int64()), "head": pa.array([ids[root(p)] for p in linked])})
 
     run = _Cells(least_matches(threshold, tolerance), done, within)
-    full = members.join(classes.select("set_id", "signature", "n_docs"), "set_id").join(sets, "set_id")
-    return _in_cells(full, "n_docs", "shingles").mapInArrow(lambda batches: run(batches), "a string, b string, jaccard double" if pairs else "set_id string, near long, head string")
+    full = members.join(asked.select("set_id", "n_docs"), "set_id").join(sets, "set_id")
+    return _in_cells(full, "n_docs", "shingles").mapInArrow(lambda batches: run(batches), "a binary, b binary, jaccard double" if pairs else "set_id binary, near long, head binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -486,18 +492,25 @@ class JaccardJoin:
         self.places = materialize(placed(self.classes))
 
     def _verified(self, cells: DataFrame, pairs: bool = False, within: bool = False) -> DataFrame | None:
-        members = materialize(candidate_members(cells, self.classes, *self.limits, within))
+        if within:
+            # All these classes have links already, and so their signatures and sets, of which few are asked for as a rule.
+            classes = self.members.groupBy("set_id").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        else:
+            classes = self.classes
+        members = materialize(candidate_members(cells, classes, *self.limits, within))
         if not members.limit(1).count():
             return None
-        if not within:
-            self.sets = shingle_sets(members, self.classes, self.docs)
-        # Inside a group all classes have links already, and so their sets.
-        return verified(members, self.classes, self.sets, *self.limits, pairs, within)
+        if within:
+            sets = self.sets.join(broadcast_if_small(members.select("set_id").distinct()), "set_id", "left_semi")
+            return verified(members, self.asked, sets, *self.limits, pairs, within)
+        self.members, self.asked = members, asked_classes(members, self.classes)
+        self.sets = shingle_sets(self.asked, self.docs)
+        return verified(members, self.asked, self.sets, *self.limits, pairs, within)
 
     def links(self) -> DataFrame:
         """(a, b, jaccard): every link as a row; a group of n near copies has up to n * n / 2."""
         found = self._verified(all_cells(self.places), pairs=True)
-        return self.docs.sparkSession.createDataFrame([], "a string, b string, jaccard double") if found is None else found
+        return self.docs.sparkSession.createDataFrame([], "a binary, b binary, jaccard double") if found is None else found
 
     def grouped(self, counted: bool = False) -> tuple[DataFrame, DataFrame]:
         """(set_id, near, head) of links with representatives and between groups, and (set_id, label, rep, n_docs).
@@ -506,7 +519,7 @@ class JaccardJoin:
         """
         linked = self._verified(representative_cells(self.places))
         if linked is None:
-            linked = self.docs.sparkSession.createDataFrame([], "set_id string, near long, head string")
+            linked = self.docs.sparkSession.createDataFrame([], "set_id binary, near long, head binary")
         linked = materialize(linked)
         arcs = linked.select(F.col("set_id").alias("a"), F.col("head").alias("b")).distinct()
         labels = components(arcs)

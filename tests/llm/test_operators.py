@@ -244,6 +244,39 @@ def test_every_link_of_a_large_bucket_is_counted(spark, monkeypatch, representat
     assert {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs).collect()} == {i: near[i] + (i < copied) for i, _ in rows}
 
 
+def _shuffled(spark, run):
+    """Bytes that the stages of ``run`` wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    empty = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        listed = sc.statusStore().stageList(None, False, False, empty, spark.sparkContext._jvm.java.util.ArrayList())
+        return {listed.apply(k).stageId(): listed.apply(k).shuffleWriteBytes() for k in range(listed.size())}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > last)
+
+
+def test_counts_of_links_inside_groups_move_few_classes(spark, monkeypatch):
+    """Counting them deals out again none of the classes that have no links."""
+    for name, value in (("REPRESENTATIVES", 4), ("PART", 9), ("BLOCK", 7)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    alone, pairs = ([(i, t) for i, (_, t) in enumerate(_near_copies(n, k, 8, words=80, edits=(1, 1)))] for n, k in ((4000, 1), (50, 2)))
+    rows = [*alone, *((10_000 + i, f"p{t}") for i, t in pairs), *((20_000 + i, f"q{t}") for i, t in _near_copies(1, 40, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        join = jaccard_join.JaccardJoin(docs)
+        plain, counted = (_shuffled(spark, lambda c=c: join.grouped(counted=c)) for c in (False, True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # A signature with its bands has some 480 bytes.
+    assert 0 < counted - plain < 200 * join.n_classes
+
+
 def test_rows_of_a_large_bucket_grow_with_its_classes(spark):
     """Twice the near copies make about twice the rows of cells, in buckets of many times the representatives."""
     counts = []
