@@ -22,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import blocks_for, materialize, running_sums, table, text_or_empty
-from eventloom.llm.pretokens import Pieces, lent_pieces, pretokens, vocabulary_path
+from eventloom.llm.pretokens import Pieces, lent_pieces, vocabulary_path
 
 SEQUENCE = 4096
 END_ID = 1
 ROWS_PER_BLOCK = 4096
-#: Texts that are tokenized together, in characters, so that a worker's memory is bounded.
-CHUNK_CHARS = 2_000_000
+#: Texts that are tokenized together, in bytes, so that a worker's memory is bounded.
+CHUNK_BYTES = 4_000_000
 
 
 def tokenize_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -45,26 +46,23 @@ def tokenize_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> Dat
     def encoded(batches: Iterator[pa.RecordBatch], known: Pieces) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
             at = 0
             while at < len(texts):
-                group, chars = [], 0
-                while at + len(group) < len(texts) and (not group or chars < CHUNK_CHARS):
-                    text = texts[at + len(group)].as_py()
-                    chars += len(text)
-                    group.append(pretokens(text, path))
-                known.learn(set().union(*group))
+                done = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, "right")))
                 rows: list[tuple[int, int, int, int, int]] = []
-                for k, words in enumerate(group):
-                    tokens = np.append(known.encode(words), np.uint32(END_ID)).astype("<u4")
+                for k, found in enumerate(known.encode_texts(texts.slice(at, upto - at)), at):
+                    tokens = np.append(found, np.uint32(END_ID)).astype("<u4")
                     for piece, start in enumerate(range(0, len(tokens), sequence)):
                         part = tokens[start : start + sequence]
-                        rows.append((at + k, piece, start, len(part), zlib.crc32(part.tobytes())))
+                        rows.append((k, piece, start, len(part), zlib.crc32(part.tobytes())))
                 which, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(which)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-                at += len(group)
+                at = upto
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long"
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)

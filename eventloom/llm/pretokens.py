@@ -3,7 +3,8 @@
 The tokenizer encodes each pre-token alone, so a text's ids are its pre-tokens' ids one after
 the other. Texts of plain Latin characters are split here; whatever else could normalise
 differently (other scripts, combining or control characters, special strings) goes through
-the library's own normalizer and pre-tokenizer.
+the library's own normalizer and pre-tokenizer. No pre-token crosses white space, so the ids of
+a word, whatever stands between white space, are kept too, and only distinct words are split.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import unicodedata
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct pre-tokens whose ids a worker keeps.
-KEPT = 800_000
+#: Distinct words and pre-tokens whose ids a worker keeps, but for the pre-tokens of the last texts.
+KEPT = 1_000_000
 #: Seconds without a task after which a worker lets its ids and tokenizers go.
 IDLE_S = 3.0
 #: Pre-tokens that are encoded as one text: much faster than one by one.
@@ -68,8 +72,12 @@ def _special(path: str) -> re.Pattern[str] | None:
     return re.compile("(" + "|".join(re.escape(t.content) for t in added) + ")") if added else None
 
 
+def is_plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
 def pretokens(text: str, path: str) -> list[str]:
-    if _PLAIN.fullmatch(text) and "<|" not in text:
+    if is_plain(text):
         return _PRETOKEN.findall(text.lower())
     out: list[str] = []
     special, tok = _special(path), tokenizer(path)
@@ -101,7 +109,7 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pieces:
-    """Ids of pre-tokens; a bounded number of distinct ones is kept."""
+    """Ids of words and pre-tokens; a bounded number of distinct ones is kept."""
 
     def __init__(self, path: str):
         self.path = path
@@ -113,33 +121,83 @@ class Pieces:
         self.start = np.zeros(1 << 14, np.int64)
         self.n_ids = 0
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > KEPT:
-            self._clear()
-            new = list(words)
-        if not new:
-            return
-        found, lens = encode_words(new, self.path)
-        need, k = self.n_ids + int(lens.sum()), len(self.at)
+    def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        need, k = self.n_ids + len(ids), len(self.at)
         while need > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        while k + len(new) + 1 > len(self.start):
+        while k + len(words) + 1 > len(self.start):
             self.start = np.resize(self.start, 2 * len(self.start))
-        self.ids[self.n_ids : need] = found
-        self.start[k : k + len(new) + 1] = self.n_ids + np.concatenate(([0], np.cumsum(lens)))
-        self.at.update(zip(new, range(k, k + len(new)), strict=True))
+        self.ids[self.n_ids : need] = ids
+        self.start[k : k + len(words) + 1] = self.n_ids + np.concatenate(([0], np.cumsum(lens)))
+        self.at.update(zip(words, range(k, k + len(words)), strict=True))
         self.n_ids = need
 
+    def _add_words(self, new: list[str]) -> None:
+        """Pre-tokens are encoded; the ids of other words are their pre-tokens' ids."""
+        own, made, parts, n_parts = [], [], [], []
+        for word in new:
+            split = _PRETOKEN.findall(word) if is_plain(word) else [word]
+            if len(split) == 1:
+                own.append(word)
+            else:
+                made.append(word)
+                parts += split
+                n_parts.append(len(split))
+        own += [p for p in set(parts).difference(own) if p not in self.at]
+        if own:
+            self._add(own, *encode_words(own, self.path))
+        if made:
+            ids, ends = self._ids_of(self._places(parts))
+            self._add(made, ids, np.diff(ends[np.cumsum(n_parts)], prepend=0))
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def _ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids at places, in order, and where each place's begin, with the end of the last."""
+        start = self.start[places]
+        lens = self.start[places + 1] - start
+        ends = np.concatenate(([0], np.cumsum(lens)))
+        return self.ids[np.repeat(start - ends[:-1], lens) + np.arange(ends[-1])], ends
+
+    def _learnt(self, words: list[str]) -> np.ndarray:
+        """Places of distinct words; new ones are learnt."""
+        places = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        if not len(new):
+            return places
+        if self.at and len(self.at) + len(new) > KEPT:
+            self._clear()
+            return self._learnt(words)
+        unknown = [words[i] for i in new.tolist()]
+        self._add_words(unknown)
+        places[new] = self._places(unknown)
+        return places
+
+    def learn(self, words: set[str]) -> None:
+        self._learnt(list(words))
+
     def encode(self, words: list[str]) -> np.ndarray:
-        """Ids of learnt pre-tokens, in order."""
-        if not words:
-            return np.zeros(0, np.uint32)
-        which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        start = self.start[which]
-        lens = self.start[which + 1] - start
-        ends = np.cumsum(lens)
-        return self.ids[np.repeat(start - ends + lens, lens) + np.arange(ends[-1])]
+        """Ids of learnt words, in order."""
+        return self._ids_of(self._places(words))[0]
+
+    def encode_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Each distinct word of the texts is looked up once."""
+        whole = texts.to_pylist()
+        plain = np.array([is_plain(t) for t in whole], bool)
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(plain))))
+        order = np.flatnonzero(plain).tolist()
+        if others := np.flatnonzero(~plain).tolist():
+            words = pa.concat_arrays([words, pa.array([pretokens(whole[i], self.path) for i in others], words.type)])
+            order += others
+        each = words.flatten().dictionary_encode()
+        places = self._learnt(each.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, ends = self._ids_of(places[each.indices.to_numpy()])
+        edges = ends[words.offsets.to_numpy()].tolist()
+        out = [ids[:0]] * len(whole)
+        for i, a, b in zip(order, edges[:-1], edges[1:], strict=True):
+            out[i] = ids[a:b]
+        return out
 
 
 @cache

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.llm import divergence, fingerprints, html_extraction, jaccard_join, mixing, packing, quality, queries, resharding, secrets, shingles, suffix_dedup, token_counts, url_filters, vector_codes
+from eventloom.llm import pretokens as pretokens_module
 from eventloom.llm.dom import Forest
 from eventloom.llm.pretokens import pieces, pretokens, tokenizer, vocabulary_path
 from tests.oracle import connect, same
@@ -392,6 +393,39 @@ def test_every_plain_character_equals_the_library():
             assert known.encode(words).tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_texts_by_words(monkeypatch):
+    """Texts that are split at white space and texts of the library's way, side by side, also when ids are let go."""
+    import pyarrow as pa
+
+    path, rng = vocabulary_path(), random.Random(7)
+    parts = ["the", "Word's", "don't", "...'s", "'", "x1y22", "été", "—", "İ", "Əh", "мир", "<|endoftext|>", "<|", "|>", "e\u0301", "ﬁ", "!!", "-" * 300]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n\t", "\u00a0"]) for _ in range(rng.randrange(9))) for _ in range(2000)]
+    texts += ["", " ", "\n a", *(f" {chr(c)} {chr(c)}'S x{chr(c)}Yx\n" for c in [*range(1, 0x2B0), *range(0x2010, 0x2030)])]
+    want = [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    for kept in (pretokens_module.KEPT, 50):
+        monkeypatch.setattr(pretokens_module, "KEPT", kept)
+        known = pretokens_module.Pieces(path)
+        found = [ids.tolist() for i in range(0, len(texts), 100) for ids in known.encode_texts(pa.array(texts[i : i + 100]))]
+        assert found == want
+
+
+def test_words_are_split_once(monkeypatch):
+    """A word that comes again is neither split nor encoded anew: work on pre-tokens grows with distinct words."""
+    import pyarrow as pa
+
+    split, encoded = [], []
+    pattern, encode_words = pretokens_module._PRETOKEN, pretokens_module.encode_words
+    counting = type("Counting", (), {"findall": staticmethod(lambda text: split.append(text) or pattern.findall(text))})
+    monkeypatch.setattr(pretokens_module, "_PRETOKEN", counting)
+    monkeypatch.setattr(pretokens_module, "encode_words", lambda words, path: encoded.extend(words) or encode_words(words, path))
+    known = pretokens_module.Pieces(vocabulary_path())
+    for _ in range(3):
+        ids = known.encode_texts(pa.array(["The cat's here. The cat's there."] * 100))
+    assert len({tuple(i.tolist()) for i in ids}) == 1
+    assert Counter(split) == Counter(["the", "cat's", "here.", "there."])
+    assert Counter(encoded) == Counter(["the", "cat", "'s", "here", "there", "."])
+
+
 def test_token_counts_of_capitals_that_lower_beyond_the_plain(spark):
     tok = tokenizer(vocabulary_path())
     texts = ["xƏyxƏyxƏy", "ƏHMADIN KİTABI", "Ɔkɔ Ɛkɛ Ɓaba Ɗaɗi"]
