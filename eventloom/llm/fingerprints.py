@@ -21,7 +21,8 @@ empty result; columns other than the named ones are dropped.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,9 @@ SEED = 7
 ROWS_PER_RANGE = 3000
 MOST_RANGES = 100_000
 _BITS = 16
-#: Terms that are sampled together, so that a long text takes no more memory.
-_CHUNK = 4096
+#: Terms that are sampled together, and the most whose values are kept for the edited text, so that a long text takes no more memory.
+_CHUNK = 1024
+_KEPT = 32_768
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -52,6 +54,19 @@ def _gamma_quantiles() -> np.ndarray:
     return hi
 
 
+class Drawn(NamedTuple):
+    """What a text drew: a 16-bit code for each sample, its terms, and their values unless they are many."""
+
+    code: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray | None
+
+
+def _quantiles(of: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    # take() with machine integers is twice as fast as indexing with others.
+    return of.take((bits >> np.uint32(16)).astype(np.intp), mode="clip")
+
+
 class Sampler:
     def __init__(self, samples: int = SAMPLES, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -61,48 +76,85 @@ class Sampler:
         self.r = gamma.astype(np.float32)
         self.ln_c = np.log(gamma).astype(np.float32)
 
+    def _bits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash bits of each sample and term: those of r (upper half) and beta (lower), and those of c."""
+        lo, hi = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+        one = lo * self.a
+        one ^= hi * self.b
+        one ^= one >> np.uint32(15)
+        return one, (one + hi) * self.d
+
+    def _r_beta(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        beta = (one & np.uint32(0xFFFF)).view(np.int32).astype(np.float32)
+        beta += np.float32(0.5)
+        beta *= np.float32(1 / 65536)
+        return _quantiles(self.r, one), beta
+
+    def _values(self, x: np.ndarray) -> np.ndarray:
+        """ln c - ln y - r of terms that occur once (ln w = 0, so t = 0)."""
+        one, two = self._bits(x)
+        r, beta = self._r_beta(one)
+        r *= np.subtract(np.float32(1), beta, out=beta)
+        value = _quantiles(self.ln_c, two)
+        value -= r
+        return value
+
+    def _parts(self, terms: np.ndarray, known: Sequence[Drawn]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of terms, ascending, and a copy of their values where ``known`` has them; for the rest, some at a time."""
+        left = np.arange(len(terms))
+        for other in known:
+            if other.values is not None:
+                at = np.minimum(np.searchsorted(other.terms, terms[left]), len(other.terms) - 1)
+                same = other.terms[at] == terms[left]
+                if same.any():
+                    yield left[same], other.values.take(at[same], axis=1, mode="clip")
+                    left = left[~same]
+        for k in range(0, len(left), _CHUNK):
+            yield left[k : k + _CHUNK], self._values(terms[left[k : k + _CHUNK]])
+
     def draw(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 16-bit code of (term, t) for each sample; ``terms`` are distinct and sorted."""
+        return self.sample(terms, weights).code
+
+    def sample(self, terms: np.ndarray, weights: np.ndarray, known: Sequence[Drawn] = ()) -> Drawn:
         best = np.full(self.samples, np.inf, np.float32)
         which, level = np.zeros(self.samples, np.int64), np.zeros(self.samples, np.int64)
-        rows = np.arange(self.samples)
-        for at in range(0, len(terms), _CHUNK):
-            x, ln_w = terms[at : at + _CHUNK], np.log(weights[at : at + _CHUNK]).astype(np.float32)
-            lo, hi = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
-            one = (lo * self.a) ^ (hi * self.b)
-            one ^= one >> np.uint32(15)
-            two = (one + hi) * self.d
-            r = self.r[one >> np.uint32(16)]
-            beta = ((one & np.uint32(0xFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(1 / 65536)
-            # A term that occurs once has ln w = 0, so t = 0.
-            value = self.ln_c[two >> np.uint32(16)] - r * (1 - beta)
-            many = np.flatnonzero(ln_w > 0)
-            t = np.floor(ln_w[many] / r[:, many] + beta[:, many])
-            value[:, many] -= r[:, many] * t
+        rows, keep, kept = np.arange(self.samples), not known and len(terms) <= _KEPT, []
+        for place, value in self._parts(terms, known):
+            if keep:
+                kept.append(value)
+            many = np.flatnonzero(weights[place] > 1)
+            if len(many):
+                r, beta = self._r_beta(self._bits(terms[place[many]])[0])
+                t = np.floor(np.log(weights[place[many]]).astype(np.float32) / r + beta)
+                value = value.copy()
+                value[:, many] -= r * t
             own = value.argmin(axis=1)
-            better = value[rows, own] < best
-            levels = np.zeros((self.samples, len(x)), np.int32) if len(many) else None
-            if levels is not None:
-                levels[:, many] = t
-            best[better] = value[rows, own][better]
-            which[better] = own[better] + at
-            level[better] = levels[rows, own][better] if levels is not None else 0
-        return (mixed(terms[which] * np.uint64(31) + level.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
-
-    def fingerprint(self, text: str) -> np.ndarray | None:
+            low, term = value[rows, own], place[own]
+            better = (low < best) | ((low == best) & (term < which))
+            best[better], which[better], level[better] = low[better], term[better], 0
+            if len(many):
+                at = np.minimum(np.searchsorted(many, own), len(many) - 1)
+                better &= many[at] == own
+                level[better] = t[rows, at][better]
+        code = (mixed(terms[which] * np.uint64(31) + level.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        return Drawn(code, terms, np.concatenate(kept, axis=1) if len(kept) > 1 else kept[0] if kept else None)
+
+    def fingerprint(self, text: str, known: Sequence[Drawn] = ()) -> Drawn | None:
+        """None for a text without words. Terms of ``known`` texts aren't hashed again."""
         terms, weights = np.unique(shingle_hashes(text), return_counts=True)
-        return self.draw(terms, weights.astype(np.float64)) if len(terms) else None
+        return self.sample(terms, weights, known) if len(terms) else None
 
 
-def _hex(code: np.ndarray | None) -> str:
-    return "" if code is None else code.astype(">u2").tobytes().hex()
+def _hex(drawn: Drawn | None) -> str:
+    return "" if drawn is None else drawn.code.astype(">u2").tobytes().hex()
 
 
-def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
+def likeness(a: Drawn | None, b: Drawn | None) -> float:
     """Share of equal samples: the estimate of generalised Jaccard similarity."""
     if a is None or b is None:
         return float(a is None and b is None)
-    return float((a == b).mean())
+    return float((a.code == b.code).mean())
 
 
 def edited_text(text: str, following: str) -> str:
@@ -169,7 +221,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, seed: int = S
                 if at == open_range and held is not None:
                     doc_id, before, code = held
                     edited = edited_text(before, text)
-                    new = sampler.fingerprint(edited)
+                    # Nearly all its shingles are of one of the two texts.
+                    new = sampler.fingerprint(edited, [x for x in (code, own) if x is not None])
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((doc_id, len(before), digest, _hex(code), _hex(new), likeness(code, new), likeness(code, own)))
                 open_range = at

@@ -726,6 +726,43 @@ def test_weighted_sampling_is_unbiased():
     assert same_share == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
 
 
+def test_edited_texts_reuse_sampled_terms(monkeypatch):
+    rng, hashed = random.Random(8), []
+    bits = fingerprints.Sampler._bits
+    monkeypatch.setattr(fingerprints.Sampler, "_bits", lambda self, x: hashed.append(len(x)) or bits(self, x))
+    texts = [" ".join(f"w{rng.randrange(most)}" for _ in range(n)) for n, most in ((400, 9999), (3, 9), (300, 3), (2600, 9999), (90, 9), (500, 9999))]
+    sampler, plain = fingerprints.Sampler(), fingerprints.Sampler()
+    owns = [sampler.fingerprint(t) for t in texts]
+    for k in (0, 3):
+        hashed.clear()
+        edited = fingerprints.edited_text(texts[k], texts[k + 1])
+        sampler.fingerprint(edited, owns[k : k + 2])
+        assert sum(hashed) <= 20 < len(owns[k].terms) // 2
+    for k in range(len(texts)):
+        edited = fingerprints.edited_text(texts[k], texts[k - 1])
+        new = sampler.fingerprint(edited, [owns[k], owns[k - 1]])
+        assert (new.code == _plainly_drawn(plain, edited)).all() and (owns[k].code == _plainly_drawn(plain, texts[k])).all()
+
+
+def _plainly_drawn(sampler, text):
+    """Term by term, as the module's docstring says."""
+    code = []
+    weights = sorted(Counter(shingles.shingle_hashes(text).tolist()).items())
+    for a, b, d in zip(sampler.a.ravel().tolist(), sampler.b.ravel().tolist(), sampler.d.ravel().tolist(), strict=True):
+        found = []
+        for x, w in weights:
+            lo, hi = x & 0xFFFFFFFF, x >> 32
+            one = (lo * a ^ hi * b) & 0xFFFFFFFF
+            one ^= one >> 15
+            r, ln_c = sampler.r[one >> 16], sampler.ln_c[((one + hi) * d & 0xFFFFFFFF) >> 16]
+            beta = (np.float32(one & 0xFFFF) + np.float32(0.5)) * np.float32(1 / 65536)
+            t = np.floor(np.float32(np.log(w)) / r + beta)
+            found.append((ln_c - r * (1 - beta) - r * t, x, int(t)))
+        _, x, t = min(found)
+        code.append(int(shingles.mixed(np.array([(x * 31 + t) % (1 << 64)], np.uint64))[0] >> np.uint64(48)))
+    return np.array(code, np.uint16)
+
+
 # 9
 
 
