@@ -100,10 +100,20 @@ def each_normal(groups: Column, form) -> Column:
     return split_groups(groups, form(joined_groups(groups)))
 
 
-def joint_norm(values: list[Column]) -> Column:
-    """The normal forms of several values as one array, worked out in one go; a null value's is empty."""
-    joined = F.array_join(F.array(*(F.coalesce(v, F.lit("")) for v in values)), "\x03")
-    return F.transform(F.split(norm(joined), "\x03"), lambda x: F.trim(x))
+def joined_values(values: list[Column]) -> Column:
+    """Several values as one text, for ``joint_forms``; a null value's is empty."""
+    return F.array_join(F.array(*(F.coalesce(v, F.lit("")) for v in values)), "\x03")
+
+
+def joined_lists(lists: list[Column]) -> Column:
+    """Lists of ``joined_values`` as one text."""
+    return F.array_join(F.array(*(F.array_join(x, "\x04") for x in lists)), "\x05")
+
+
+def joint_forms(joined: Column) -> Column:
+    """For each list of ``joined_lists`` the normal forms of every element's values, worked out in one go."""
+    values = lambda text: F.transform(F.split(text, "\x03"), lambda x: F.trim(x))
+    return F.transform(F.split(norm(joined), "\x05"), lambda x: F.transform(F.split(x, "\x04"), values))
 
 
 def parse_edit_lines(text: Column, aliases: dict[str, str], cleared: tuple[str, ...] = ("-", "—", "null")) -> Column:
